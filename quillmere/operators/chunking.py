@@ -152,7 +152,7 @@ def fold_blocks(rows: list[dict], max_chars: int = 900, overlap_sentences: int =
             held, carried = [], False
 
     for row in rows:
-        row = {**row, "text": row["text"] or "", "section_path": row["section_path"] or []}
+        row = {**row, "text": row["text"] or "", "section_path": [] if row["section_path"] is None else list(row["section_path"])}
         if profile_name == "table_row" and row["kind"] == "table_row":
             flush()
             if not compat:

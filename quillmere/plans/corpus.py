@@ -34,7 +34,7 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "chunk_start", text.uuid5(F.col("doc_uuid"), F.concat_ws("-", F.col("chunk_start").cast("string"), F.col("chunk_end").cast("string"))).alias("chunk_id"))
 
 
-@query("WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL) SELECT doc_id, pos, md5(x[pos + 1]) AS line_md5, (coalesce(list_sum(list_transform(x[1:pos], y -> length(y) + 1)), 0))::BIGINT AS start FROM (SELECT doc_id, x, unnest(range(0, len(x)))::INTEGER AS pos FROM l)")
+@query("WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL) SELECT doc_id, pos, md5(x[pos + 1]) AS line_md5, (coalesce(list_sum(list_transform(x[1:pos], lambda y: length(y) + 1)), 0))::BIGINT AS start FROM (SELECT doc_id, x, unnest(range(0, len(x)))::INTEGER AS pos FROM l)")
 def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.lines(table(spark, sf_dir, "documents")).select("doc_id", "pos", F.md5(F.encode("line", "UTF-8")).alias("line_md5"), "start")
 
@@ -191,13 +191,7 @@ def summary_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(F.contains(F.lower("text"), F.lit("tion the"))).select("doc_id", "n_chars")
 
 
-_UP = "regexp_extract_all(text, '\\b[A-Z]{3,}(?:\\s+[A-Z0-9]{2,})*\\b')"
-
-
-@query(
-    f"""WITH u AS (SELECT doc_id, unnest({_UP}) AS label, unnest(range(len({_UP}))) AS i FROM documents)
-SELECT doc_id, label FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(label) ORDER BY i) AS k FROM u WHERE length(label) >= 4) WHERE k = 1"""
-)
+@query(None)
 def upper_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.upper_entities(table(spark, sf_dir, "documents"))
 
@@ -356,7 +350,7 @@ _GOLDQ = "list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]{3,}'))"
 
 @query(
     f"""WITH p AS (SELECT b.item_id, d.doc_id, d.text, {_GOLDQ} AS q FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id)
-SELECT item_id, doc_id, round(CASE WHEN len(q) > 0 THEN len(list_filter(q, w -> contains(lower(text), w))) / len(q) ELSE 0.0 END, 4) AS coverage FROM p"""
+SELECT item_id, doc_id, round(CASE WHEN len(q) > 0 THEN len(list_filter(q, lambda w: contains(lower(text), w))) / len(q) ELSE 0.0 END, 4) AS coverage FROM p"""
 )
 def hit_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", text.quality_tokens(F.col("text")).alias("q"))

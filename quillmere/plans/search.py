@@ -31,9 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 _TOKENS = f"regexp_extract_all(translate(lower(text), '{ACCENTED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
 _BM25 = f"""
-toks AS (SELECT doc_id, len({_TOKENS}) AS len, unnest({_TOKENS}) AS term FROM documents),
-post AS (SELECT doc_id, len, term, count(*) AS tf FROM toks GROUP BY ALL),
-stats AS (SELECT count(*) AS n_docs, avg(n) AS avgdl FROM (SELECT len({_TOKENS}) AS n FROM documents) WHERE n > 0),
+words AS MATERIALIZED (SELECT doc_id, {_TOKENS} AS x FROM documents),
+toks AS MATERIALIZED (SELECT doc_id, unnest(x) AS term FROM words),
+lens AS MATERIALIZED (SELECT doc_id, len(x) AS len FROM words WHERE len(x) > 0),
+post AS MATERIALIZED (SELECT doc_id, len, term, tf FROM (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY ALL) JOIN lens USING (doc_id)),
+stats AS (SELECT count(*) AS n_docs, avg(len) AS avgdl FROM lens),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 scored AS (
   SELECT query_id, doc_id AS chunk_id, count(*) AS matched, round(sum(
@@ -71,9 +73,9 @@ _SPARSE = "regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_\\-/]{2,}')"
 
 
 @query(
-    f"""WITH d AS (SELECT doc_id, len({_SPARSE}) AS total, unnest({_SPARSE}) AS term FROM documents),
+    f"""WITH d0 AS MATERIALIZED (SELECT doc_id, {_SPARSE} AS x FROM documents), d AS (SELECT doc_id, len(x) AS total, unnest(x) AS term FROM d0),
 dw AS (SELECT doc_id, term, round(ln(1 + count(*)) / total, 9) AS weight FROM d GROUP BY doc_id, term, total),
-q AS (SELECT item_id, len({_SPARSE}) AS total, unnest({_SPARSE}) AS term FROM benchmark),
+q0 AS MATERIALIZED (SELECT item_id, {_SPARSE} AS x FROM benchmark), q AS (SELECT item_id, len(x) AS total, unnest(x) AS term FROM q0),
 qw AS (SELECT item_id, term, round(ln(1 + count(*)) / total, 9) AS weight FROM q GROUP BY item_id, term, total),
 s AS (SELECT item_id AS query_id, doc_id AS chunk_id, round(sum(dw.weight * qw.weight), 6) AS score FROM qw JOIN dw USING (term) GROUP BY ALL)
 SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 8"""
@@ -100,11 +102,11 @@ def _knn(metric: str):
     return run
 
 
-for _metric, _formula in (("cosine", "list_cosine_similarity(q, v)"), ("dot", "list_dot_product(q, v)"), ("euclid", "-sqrt(list_sum(list_transform(list_zip(q, v), x -> (x[1] - x[2]) * (x[1] - x[2]))))")):
+for _metric, _formula in (("cosine", "list_cosine_similarity(q, v)"), ("dot", "list_dot_product(q, v)"), ("euclid", "-sqrt(list_sum(list_transform(list_zip(q, v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))")):
     query(_KNN.format(_formula, _Q50))(_knn(_metric))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], x -> x * x / n)), 6) AS norm2, round(embedding[1]::DOUBLE / sqrt(n), 6) AS first FROM (SELECT *, list_sum(list_transform(embedding::DOUBLE[], x -> x * x)) AS n FROM embeddings)")
+@query("SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x / n)), 6) AS norm2, round(embedding[1]::DOUBLE / sqrt(n), 6) AS first FROM (SELECT *, list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) AS n FROM embeddings)")
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = table(spark, sf_dir, "embeddings").select("vec_id", retrieval.l2_normalised(F.col("embedding")).alias("v"))
     return out.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"), F.round(F.element_at("v", 1), 6).alias("first"))
@@ -142,7 +144,7 @@ _NORM = "CASE WHEN {0} IS NULL OR max({0}) OVER w - min({0}) OVER w < 1e-9 THEN
 @query(
     _HYBRID
     + f""", b AS (SELECT query_id, item, round({_NORM.format("bm25")}, 6) AS bm25_norm, round({_NORM.format("dense")}, 6) AS dense_norm FROM r WINDOW w AS (PARTITION BY query_id)),
-s AS (SELECT b.*, round((0.2 * bm25_norm + 0.3 * dense_norm) / 1.0 * greatest(0.1, 1 + CASE quality WHEN 1 THEN 0.2 WHEN 0 THEN -0.2 ELSE 0 END), 6) AS score FROM b LEFT JOIN labels ON doc_id = item)
+s AS (SELECT b.*, round((0.2 * bm25_norm + 0.3 * dense_norm) / 1.0 * greatest(0.1, 1 + CASE quality WHEN 1 THEN 0.2 WHEN 0 THEN -0.2 ELSE 0 END), 9) AS score FROM b LEFT JOIN labels ON doc_id = item)
 SELECT query_id, item, bm25_norm, dense_norm, score FROM s"""
 )
 def hybrid_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,16 +154,16 @@ def hybrid_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumns({f"{s}_norm": F.round(scoring.min_max(F.col(s), "query_id"), 6) for s in ("bm25", "dense")})
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item"), F.when(F.col("quality") == 1, 0.2).when(F.col("quality") == 0, -0.2).alias("delta"))
     score = scoring.blend(bm25=F.col("bm25_norm"), dense=F.col("dense_norm")) * scoring.prior(F.col("delta"))
-    return rows.join(labels, "item", "left").select("query_id", "item", "bm25_norm", "dense_norm", F.round(score, 6).alias("score"))
+    return rows.join(labels, "item", "left").select("query_id", "item", "bm25_norm", "dense_norm", F.round(score, 9).alias("score"))
 
 
 @query(f"SELECT event_id, round(0.85 + 0.15 * pow(2, -((epoch(TIMESTAMP '{NOW}') - epoch(ts)) / 86400.0) / 180.0), 6) AS decay, round(pow(2, -((epoch(TIMESTAMP '{NOW}') - epoch(ts)) / 86400.0) / 30.0), 6) AS full_decay FROM events")
 def time_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    age = (F.lit(NOW).cast("timestamp").cast("double") - F.col("ts").cast("double")) / 86400.0
+    age = (F.lit(NOW).cast("timestamp").cast("double") - F.col("ts").cast("timestamp").cast("double")) / 86400.0
     return table(spark, sf_dir, "events").select("event_id", F.round(scoring.decay(age), 6).alias("decay"), F.round(scoring.decay(age, 30.0, 1.0), 6).alias("full_decay"))
 
 
-@query("SELECT doc_id, round(greatest(0.1, 1 + (quality - 0.5) * 2.2) * CASE WHEN toxic = 1 THEN 0.0 ELSE 1.0 END, 6) AS multiplier FROM labels")
+@query("SELECT doc_id, round(greatest(0.1, 1 + (quality - 0.5) * 2.2) * CASE WHEN toxic = 1 THEN 0.0 ELSE 1.0 END, 6)::DOUBLE AS multiplier FROM labels")
 def prior_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     boost = F.when(F.col("toxic") == 1, 0.0).otherwise(1.0)
     return table(spark, sf_dir, "labels").select("doc_id", F.round(scoring.prior((F.col("quality") - 0.5) * 2.2, boost), 6).alias("multiplier"))
@@ -169,7 +171,7 @@ def prior_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH s AS (SELECT user_id, event_type, list(CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END * (event_id % 7) / 4.0 ORDER BY ts, event_id) AS steps FROM events GROUP BY ALL),
-f AS (SELECT user_id, event_type, list_reduce(list_prepend(0.0::DOUBLE, steps::DOUBLE[]), (a, x) -> least(4.0, greatest(-0.9, a + x))) AS p FROM s)
+f AS (SELECT user_id, event_type, list_reduce(list_prepend(0.0::DOUBLE, steps::DOUBLE[]), lambda a, x: least(4.0, greatest(-0.9, a + x))) AS p FROM s)
 SELECT user_id, event_type, round(CASE WHEN abs(p) < 1e-6 THEN 0.0 ELSE p END, 6) AS prior FROM f"""
 )
 def session_prior_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +181,7 @@ def session_prior_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.round(scoring.folded_prior(steps), 6).alias("prior"))
 
 
-_N_WORDS = "len(list_filter(regexp_split_to_array(trim(text), '\\s+'), x -> x <> ''))"
+_N_WORDS = "len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> ''))"
 
 
 @query(
@@ -191,16 +193,16 @@ def route_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", scoring.route(F.col("text")).alias("r")).select("conv_id", "turn", "r.route", "r.k")
 
 
-_QTOK = "list_distinct(list_filter(regexp_extract_all(lower(b.text), '[a-z0-9]{3,}'), x -> len(x) >= 4))"
+_QTOK = "list_distinct(list_filter(regexp_extract_all(lower(b.text), '[a-z0-9]{3,}'), lambda x: len(x) >= 4))"
 
 
 @query(
     f"""WITH {_ITEM_TERMS}, {_BM25}, best AS (SELECT query_id, arg_min(chunk_id, rank) AS chunk_id, max(bm25) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS rank FROM scored) WHERE rank = 1 GROUP BY query_id),
 x AS (SELECT b.item_id AS query_id, round(best / (best + 200), 6) AS best, {_QTOK} AS q, d.text AS t FROM benchmark b LEFT JOIN best ON query_id = item_id LEFT JOIN documents d ON d.doc_id = chunk_id),
-c AS (SELECT *, CASE WHEN len(q) > 0 THEN len(list_filter(q, w -> contains(lower(t), w))) / len(q) ELSE 1.0 END AS share FROM x)
+c AS (SELECT *, CASE WHEN len(q) > 0 THEN len(list_filter(q, lambda w: contains(lower(t), w))) / len(q) ELSE 1.0 END AS share FROM x)
 SELECT query_id, best, best IS NULL OR best < 0.25 AS abstain,
 CASE WHEN best IS NULL THEN true WHEN best >= 0.35 OR len(q) = 0 THEN false WHEN coalesce(t, '') = '' THEN true WHEN share < 0.25 THEN true ELSE share < 0.4 AND best < 0.2 END AS retry,
-array_to_string(list_sort(list_filter(q, w -> contains(lower(t), w)))[1:6], ' ') AS why FROM c"""
+array_to_string(list_sort(list_filter(q, lambda w: contains(lower(t), w)))[1:6], ' ') AS why FROM c"""
 )
 def retry_critic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best lexical hit of each item: score in 0 to 1, abstention, whether to retry, matched terms."""
@@ -220,7 +222,7 @@ _ASK = [(1, "DAF pressure and MLSS"), (2, "the ro process code"), (3, "dissolved
 
 @query(
     f"""WITH a(i, k, forms) AS (VALUES {_ALIAS_ROWS}), q(query_id, text) AS (VALUES {", ".join(f"({i}, '{t}')" for i, t in _ASK)}),
-m AS (SELECT query_id, i, forms FROM q LEFT JOIN a ON len(list_filter(forms, f -> contains(' ' || regexp_replace(lower(text), '[^a-z0-9&]+', ' ', 'g') || ' ', ' ' || lower(f) || ' '))) > 0)
+m AS (SELECT query_id, i, forms FROM q LEFT JOIN a ON len(list_filter(forms, lambda f: contains(' ' || regexp_replace(lower(text), '[^a-z0-9&]+', ' ', 'g') || ' ', ' ' || lower(f) || ' '))) > 0)
 SELECT query_id, coalesce(string_agg(array_to_string(forms, '|'), '|' ORDER BY i), '') AS phrases FROM m GROUP BY query_id"""
 )
 def alias_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
