@@ -7,6 +7,8 @@ every window as " w1 ... wn " and each text is scanned once.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 from .common import filled, letters_and_digits, map_text, only
 
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
-_BUILT: dict[int, tuple] = {}
+#: The automaton that this Python worker built last, under the name of its benchmark's broadcast.
+_BUILT: dict[str, tuple] = {}
 
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -38,9 +41,8 @@ def grouped_windows(windows: DataFrame, max_chars: int) -> list[tuple[str, tuple
     return sorted((r["words"], tuple(r["items"])) for r in rows)
 
 
-def _automaton(sent):
-    """Built once in each Python worker for each broadcast."""
-    key = sent.id if hasattr(sent, "id") else id(sent)
+def _automaton(sent, key: str):
+    """Built once in each Python worker for each broadcast; key names the broadcast."""
     if key not in _BUILT:
         import ahocorasick
 
@@ -56,9 +58,9 @@ def _automaton(sent):
     return _BUILT[key]
 
 
-def _scanned(sent):
+def _scanned(sent, key: str):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        automaton, items = _automaton(sent)
+        automaton, items = _automaton(sent, key)
         texts = filled(batch.column("text"))
         plain = letters_and_digits(texts)
         n_words, n_hit, found_items, spans, span_at = [], [], [], [], [0]
@@ -120,7 +122,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     spark = docs.sparkSession
     docs = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     windows = item_windows(only(benchmark, item_id=item_col, text=item_text_col), "item_id", "text", window)
-    return map_text(docs, _scanned(spark.sparkContext.broadcast(grouped_windows(windows, max_chars))), SCHEMA)
+    return map_text(docs, _scanned(spark.sparkContext.broadcast(grouped_windows(windows, max_chars)), uuid.uuid4().hex), SCHEMA)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

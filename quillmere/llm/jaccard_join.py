@@ -207,12 +207,15 @@ def jaccard_components(
     labelled = buckets.select("token", "node", "n").join(labels, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("c"))
     labelled = labelled.repartition("token").withColumns({"low": F.min("c").over(w), "high": F.max("c").over(w)}).where("low <> high").select("token", "node", "n", "c")
     labelled = written(labelled, "mixed")
-    x, y = labelled.alias("x"), labelled.alias("y")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & near(F.col("x.n"), F.col("y.n")))
-    rest = rest.select(*pair(F.col("x.node"), F.col("y.node"))).distinct()
-    rest = written(rest.join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = verifier.links(rest)
-    labels = components(links.union(more))
+    rest = None
+    if not labelled.isEmpty():
+        x, y = labelled.alias("x"), labelled.alias("y")
+        rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & near(F.col("x.n"), F.col("y.n")))
+        rest = rest.select(*pair(F.col("x.node"), F.col("y.node"))).distinct()
+        rest = written(rest.join(stars, ["a", "b"], "left_anti"), "pairs")
+        more = verifier.links(rest)
+        if not more.isEmpty():
+            labels = components(links.union(more))
     for table in (buckets, stars, labelled, rest):
         dropped(table)
     members = profiles.select("doc_id", "n_shingles", "fp1", "fp2")
