@@ -23,15 +23,18 @@ def top_k(rows: DataFrame, k: int, key: str, score: str, item: str) -> DataFrame
 
 def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(term, chunk_id, tf, len); null texts have none. Term frequencies are counted within the row."""
-    tokens = chunks.select(F.col(id_col).alias("chunk_id"), text.index_tokens(F.col(text_col)).alias("w")).where(F.size("w") > 0)
-    exploded = tokens.select("chunk_id", F.size("w").cast("long").alias("len"), F.explode("w").alias("term"))
+    words = text.index_tokens(F.col(text_col))
+    # One projection, so that the expression is evaluated once; explode leaves empty arrays out.
+    tokens = chunks.select(F.col(id_col).alias("chunk_id"), F.size(words).cast("long").alias("len"), words.alias("w"))
+    exploded = tokens.select("chunk_id", "len", F.explode("w").alias("term"))
     return exploded.groupBy("term", "chunk_id", "len").agg(F.count("*").alias("tf"))
 
 
 def index_stats(chunks: DataFrame, text_col: str) -> DataFrame:
     """One row: number of chunks with tokens, mean length."""
     n = F.size(text.index_tokens(F.col(text_col)))
-    return chunks.select(n.alias("n")).where("n > 0").agg(F.count("*").alias("n_docs"), F.avg("n").alias("avgdl"))
+    some = F.when(F.col("n") > 0, F.col("n"))
+    return chunks.select(n.alias("n")).agg(F.count(some).alias("n_docs"), F.avg(some).alias("avgdl"))
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
