@@ -42,7 +42,7 @@ def test_decay_prior_and_fold(spark):
     row = spark.range(1).select(
         scoring.decay(F.lit(180.0)).alias("d"), scoring.decay(F.lit(None).cast("double")).alias("n"), scoring.prior(F.lit(-5.0)).alias("p"), scoring.folded_prior(F.array(*map(F.lit, [-2.0, 0.5, 9.0]))).alias("f")
     ).first()
-    assert (row["d"], row["n"], row["p"], row["f"]) == (0.925, 1.0, 0.1, 4.0)
+    assert (row["d"], row["n"], row["p"], row["f"]) == pytest.approx((0.925, 1.0, 0.1, 4.0))
 
 
 def test_uuid5(spark):
