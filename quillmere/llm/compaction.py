@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import delete_path, new_path
 
+#: Files whose rows one task counts.
+FOOTERS = 256
 MANIFEST = "shard string, bytes long, n_rows long, tier int, run string"
 
 
@@ -62,7 +64,10 @@ class ShardStore:
     def _described(self, run: str) -> DataFrame:
         """The shards that a job has written under data/run: size by the files' own metadata, rows counted."""
         path = f"{self.path}/data/{run}"
-        found = self.spark.read.schema("n long").parquet(path)
+        fs, at = self._fs(path)
+        tasks = math.ceil(sum(x.getPath().getName().endswith(".parquet") for x in fs.listStatus(at)) / FOOTERS)
+        # One task holds all rows of its files, so up to FOOTERS files are counted without a shuffle.
+        found = self.spark.read.schema("n long").parquet(path).coalesce(max(1, tasks))
         found = found.groupBy(F.col("_metadata.file_path").alias("shard"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("n_rows"))
         return found.select("shard", "bytes", "n_rows", self._tier(F.col("bytes")).alias("tier"), F.lit(run).alias("run"))
 
@@ -74,10 +79,10 @@ class ShardStore:
         return self._commit(self.manifest(version).unionByName(self._described(run)), version + 1)
 
     def _groups(self, manifest: DataFrame) -> list:
-        """Tiers to merge, the smallest first: (tier, shards, bytes)."""
-        small = manifest.where(F.col("bytes") < self.target_bytes / 2)
-        rows = small.groupBy("tier").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where(F.col("n") >= self.fan_in).orderBy("tier")
-        return [(r["tier"], r["n"], r["bytes"]) for r in rows.collect()]
+        """Tiers to merge, the smallest first: (tier, shard names, bytes): metadata of the merges, not rows."""
+        small = manifest.where(F.col("bytes") < self.target_bytes / 2).coalesce(1)
+        rows = small.groupBy("tier").agg(F.collect_list("shard").alias("shards"), F.sum("bytes").alias("bytes")).where(F.size("shards") >= self.fan_in)
+        return sorted((r["tier"], sorted(r["shards"]), r["bytes"]) for r in rows.collect())
 
     def compact(self) -> int:
         """Merges until no tier below half the target size has fan_in shards; a version a round.
@@ -86,31 +91,25 @@ class ShardStore:
         tier differ by at most fan_in in size, so dealing them evenly gives files of about one size."""
         while True:
             version = self.version()
-            manifest = self.manifest(version).cache()
-            try:
-                groups = self._groups(manifest)
-                if not groups:
-                    return version
-                kept, added = manifest, []
-                for tier, count, size in groups:
-                    chosen = (F.col("tier") == tier) & (F.col("bytes") < self.target_bytes / 2)
-                    # Names of one tier's shards: metadata of the merge, not rows.
-                    shards = [r["shard"] for r in manifest.where(chosen).select("shard").orderBy("shard").collect()]
-                    run = uuid.uuid4().hex
-                    files = min(count // 2, max(1, math.ceil(size / self.target_bytes)))
-                    self.spark.read.option("mergeSchema", "true").parquet(*shards).coalesce(files).write.parquet(f"{self.path}/data/{run}")
-                    kept = kept.where(~chosen)
-                    added.append(self._described(run))
-                for more in added:
-                    kept = kept.unionByName(more)
-                self._commit(kept, version + 1)
-            finally:
-                manifest.unpersist()
+            manifest = self.manifest(version)
+            groups = self._groups(manifest)
+            if not groups:
+                return version
+            kept, added = manifest, []
+            for tier, shards, size in groups:
+                run = uuid.uuid4().hex
+                files = min(len(shards) // 2, max(1, math.ceil(size / self.target_bytes)))
+                self.spark.read.option("mergeSchema", "true").parquet(*shards).coalesce(files).write.parquet(f"{self.path}/data/{run}")
+                kept = kept.where(~((F.col("tier") == tier) & (F.col("bytes") < self.target_bytes / 2)))
+                added.append(self._described(run))
+            for more in added:
+                kept = kept.unionByName(more)
+            self._commit(kept, version + 1)
 
     def vacuum(self) -> None:
         """Deletes data of runs and manifests that the newest version doesn't name."""
         version = self.version()
-        needed = {r["run"] for r in self.manifest(version).select("run").distinct().collect()}
+        needed = {r["run"] for r in self.manifest(version).select("run").coalesce(1).distinct().collect()}
         for folder, keep in (("data", needed), ("manifests", {f"v{version:08d}"}), ("pending", set())):
             fs, at = self._fs(f"{self.path}/{folder}")
             if fs.exists(at):
@@ -121,7 +120,7 @@ class ShardStore:
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version with the shard's name and tier as ``_shard`` and ``_tier``. An empty store raises."""
         manifest = self.manifest(version)
-        shards = [r["shard"] for r in manifest.select("shard").orderBy("shard").collect()]
+        shards = sorted(r["shard"] for r in manifest.select("shard").collect())
         rows = self.spark.read.option("mergeSchema", "true").parquet(*shards)
         return rows.withColumn("_shard", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
 
