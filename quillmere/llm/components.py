@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, written
 
 
+#: Edges that one task holds in a round.
+EDGES = 1 << 17
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    # Both directions by explode, not union, which would double the partitions.
+    both = edges.select(F.inline(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return least.select("u", F.col("m").alias("v")).union(moved).distinct()
+    moved = edges.join(least, "u")
+    # An edge to the least node stays; every other one becomes an edge from its end to the least node.
+    return moved.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -35,7 +43,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == (count, total) or not count:
             break
         state = (count, total)
-        after = written(_small_star(_large_star(now)), "stars")
+        # As few tasks as can hold the edges: up to EDGES of them, a round shuffles nothing.
+        after = written(_small_star(_large_star(now.coalesce(math.ceil(count / EDGES)))), "stars")
         dropped(now)
         now = after
     centres = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))

@@ -7,7 +7,7 @@ order; pairs come from the first order, must also meet under the others, and onl
 sets compared. Rare shingles come first, so passages that many texts share stay out of prefixes.
 
 Equal sets are one class. In a bucket of classes that share a prefix shingle, each is first compared
-with two fixed members; buckets whose members have by then joined one component need nothing more,
+with two members, the one with the fewest rarer shingles and one by hash; buckets whose members have by then joined one component need nothing more,
 in the others all pairs from different components are compared. So a large group of near copies
 costs a few comparisons a member, and no link between different components is missed.
 """
@@ -185,32 +185,39 @@ def jaccard_components(
         .agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"))
     )
     w = Window.partitionBy("token")
-    tag = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"), F.col("n").alias("n"))
+    mark = F.xxhash64("node").alias("h")
+    own = [F.col("node"), F.col("n"), F.col("pos")]
     buckets = written(
-        classes.select(F.explode("prefix").alias("token"), "node", F.col("n_shingles").alias("n"))
+        classes.select(F.posexplode("prefix").alias("pos", "token"), "node", F.col("n_shingles").alias("n"))
         .repartition("token")
-        .withColumns({"members": F.count("*").over(w), "c1": F.min(tag).over(w), "c2": F.max(tag).over(w)})
+        .withColumns({"members": F.count("*").over(w), "c1": F.min(F.struct(F.col("pos").alias("least"), mark, *own)).over(w), "c2": F.max(F.struct(mark, *own)).over(w)})
         .where("members > 1")
-        .select("token", "node", "n", F.col("c1.node").alias("m1"), F.col("c1.n").alias("n1"), F.col("c2.node").alias("m2"), F.col("c2.n").alias("n2")),
+        .select("token", *own, *[F.col(f"c{k}.{x}").alias(f"{x}{k}") for k in (1, 2) for x in ("node", "n", "pos")]),
         "buckets",
     )
-    near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (x.isNotNull())
+
+    def may_link(n, i, m, j):
+        """Up to their first common shingle, at i and j, the sets share nothing: min(n - i, m - j) are left to share.
+        Of the rows of a pair that links, that of its first common shingle passes."""
+        return (100 + percent) * F.least(n - i, m - j) >= percent * (n + m)
+
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     stars = None
-    for m, k in (("m1", "n1"), ("m2", "n2")):
-        some = buckets.where((F.col("node") != F.col(m)) & near(F.col("n"), F.col(k))).select(*pair(F.col("node"), F.col(m)))
+    for k in (1, 2):
+        node, n, pos = (F.col(f"{x}{k}") for x in ("node", "n", "pos"))
+        some = buckets.where((F.col("node") != node) & may_link(F.col("n"), F.col("pos"), n, pos)).select(*pair(F.col("node"), node))
         stars = some if stars is None else stars.union(some)
     stars = written(stars.distinct(), "pairs")
     verifier = _Verifier(docs, size, percent, levels, orders, broadcast_rows)
     links = verifier.links(stars)
     labels = components(links)
-    labelled = buckets.select("token", "node", "n").join(labels, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("c"))
-    labelled = labelled.repartition("token").withColumns({"low": F.min("c").over(w), "high": F.max("c").over(w)}).where("low <> high").select("token", "node", "n", "c")
+    labelled = buckets.select("token", *own).join(labels, "node", "left").select("token", *own, F.coalesce("component", "node").alias("c"))
+    labelled = labelled.repartition("token").withColumns({"low": F.min("c").over(w), "high": F.max("c").over(w)}).where("low <> high").select("token", *own, "c")
     labelled = written(labelled, "mixed")
     rest = None
     if not labelled.isEmpty():
         x, y = labelled.alias("x"), labelled.alias("y")
-        rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & near(F.col("x.n"), F.col("y.n")))
+        rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
         rest = rest.select(*pair(F.col("x.node"), F.col("y.node"))).distinct()
         rest = written(rest.join(stars, ["a", "b"], "left_anti"), "pairs")
         more = verifier.links(rest)
