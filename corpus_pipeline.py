@@ -49,7 +49,7 @@ STAGES = [
     ("decontamination", drop_contaminated),
     ("packing", pack),
 ]
-#: SQL can't express the learned weights of the first stage; tests hold the stages against brute force.
+#: SQL can't express the learned weights of the first stage; tests hold the operators, not yet the stages as a whole, against brute force.
 ORACLE_SQL = None
 
 
