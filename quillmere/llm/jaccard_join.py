@@ -3,8 +3,8 @@
 A shingle is a 64-bit hash. An order ranks shingles by how common they are (a fixed-size counting
 sketch over all documents, in powers of two) and then by a seeded hash, so each seed is another
 global order. Two sets that reach the threshold share a shingle within their prefixes under *every*
-order; pairs come from the first order, must also meet under the others, and only then are whole
-sets compared. Rare shingles come first, so passages that many texts share stay out of prefixes.
+order; pairs come from the first order, must have bitmaps that leave room for the threshold, must also meet
+under the other orders, and only then are whole sets compared. Rare shingles come first, so passages that many texts share stay out of prefixes.
 
 Equal sets are one class. In a bucket of classes that share a prefix shingle, each is first compared
 with two members, the one with the fewest rarer shingles and one by hash; buckets whose members have by then joined one component need nothing more,
@@ -25,46 +25,65 @@ from .common import ascii_words, dropped, gathered, list_array, lower_ascii, map
 from .components import components
 
 CHUNK = 1 << 12
+#: Bits of a set's bitmap.
+BITMAP = 1 << 10
 
 
-def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct shingles, sorted, one text after the other, and where each text's begin.
+def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's shingles in order, repeats included, one text after the other, and where each text's begin.
 
     A text of fewer words, but not none, has its whole sequence as its one shingle."""
     codes, offsets, words = ascii_words(lower_ascii(texts))
     h = word_hashes(words)[codes]
     counts = np.diff(offsets)
-    values, rows = [], []
-    for length in range(1, size + 1):
-        in_length = counts >= size if length == size else counts == length
-        starts = np.where(in_length, counts - length + 1, 0)
-        at = gathered(offsets[:-1], starts)
-        acc = np.full(len(at), length, np.uint64)
-        for i in range(length):
-            acc = mixed(acc * np.uint64(0x9E3779B97F4A7C15) + h[at + i])
-        values.append(acc)
-        rows.append(np.repeat(np.arange(len(counts)), starts))
-    value, row = np.concatenate(values), np.concatenate(rows)
-    order = np.lexsort((value, row))
-    value, row = value[order], row[order]
+    length = np.minimum(counts, size)
+    starts = np.where(counts > 0, counts - length + 1, 0)
+    at = gathered(offsets[:-1], starts)
+    of = np.repeat(length, starts)
+    value = of.astype(np.uint64)
+    least = int(length[counts > 0].min(initial=size))
+    for i in range(size):
+        some = slice(None) if i < least else np.flatnonzero(of > i)
+        value[some] = mixed(value[some] * np.uint64(0x9E3779B97F4A7C15) + h[at[some] + i])
+    return value, np.concatenate(([0], np.cumsum(starts)))
+
+
+def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct shingles, sorted, one text after the other, and where each text's begin."""
+    value, offsets = shingles(texts, size)
     fresh = np.ones(len(value), bool)
-    fresh[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
-    value, row = value[fresh], row[fresh]
-    return value, np.searchsorted(row, np.arange(len(counts) + 1))
+    for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        if high - low > 1:
+            value[low:high].sort()
+    fresh[1:] = value[1:] != value[:-1]
+    fresh[offsets[:-1][np.diff(offsets) > 0]] = True
+    return value[fresh], np.concatenate(([0], np.cumsum(fresh)))[offsets]
+
+
+def bitmaps(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each set, BITMAP bits: how often, odd or even, a shingle hashes to each. Where two sets' bits
+    differ, so does a shingle of theirs, so sets have at least as many unshared shingles as bits that differ."""
+    width = BITMAP.bit_length() - 1
+    at = row_ids(offsets) * BITMAP + (mixed(values, 201) >> np.uint64(64 - width)).astype(np.int64)
+    odd = np.bincount(at, minlength=(len(offsets) - 1) * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def prefixes(values: np.ndarray, offsets: np.ndarray, levels: np.ndarray, percent: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles in each set's prefix under the order of ``seed``, and where each set's begin."""
     bits = int(levels.size).bit_length() - 1
     key = (levels[(values >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (mixed(values, seed) >> np.uint64(8))
-    by = np.lexsort((key, row_ids(offsets)))
+    by = np.empty(len(values), np.int64)
+    for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        by[low:high] = key[low:high].argsort()
+        by[low:high] += low
     n = np.diff(offsets)
     length = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
     return values[by[gathered(offsets[:-1], length)]], np.concatenate(([0], np.cumsum(length)))
 
 
 def common_levels(docs: DataFrame, size: int, bits: int) -> np.ndarray:
-    """For each of 2**bits hash ranges, the bit length of the number of shingles of all documents in it.
+    """For each of 2**bits hash ranges, the bit length of the number of shingles of all documents in it, repeats included.
 
     Its size is fixed by ``bits``. Each task adds up its own counts and sends them in chunks."""
     chunk = min(CHUNK, 1 << bits)
@@ -74,7 +93,7 @@ def common_levels(docs: DataFrame, size: int, bits: int) -> np.ndarray:
         total = np.zeros(1 << bits, np.int64)
         seen = False
         for batch in text_batches(batches):
-            values, _ = shingle_sets(batch.column(0), size)
+            values, _ = shingles(batch.column(0), size)
             total += np.bincount((values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
             seen = True
         if seen:
@@ -105,8 +124,14 @@ def _profiled(size: int, percent: int, levels):
         sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(values, seed)))) for seed in (101, 102)]
         prints = [(x[offsets[1:]] - x[offsets[:-1]]).view(np.int64) for x in sums]
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.diff(offsets)), *map(pa.array, prints), list_array(first.view(np.int64), first_at, pa.int64())],
-            ["doc_id", "n_shingles", "fp1", "fp2", "prefix"],
+            [
+                batch.column("doc_id"),
+                pa.array(np.diff(offsets)),
+                *map(pa.array, prints),
+                list_array(first.view(np.int64), first_at, pa.int64()),
+                list_array(bitmaps(values, offsets), np.arange(len(offsets)) * (BITMAP // 64), pa.int64()),
+            ],
+            ["doc_id", "n_shingles", "fp1", "fp2", "prefix", "bits"],
         )
 
     return run
@@ -124,18 +149,34 @@ def _detailed(size: int, percent: int, levels, orders: int):
 
 
 class _Verifier:
-    """Compares pairs of classes: prefixes under the further orders first, whole sets of what is left."""
+    """Compares pairs of classes: bitmaps and prefixes under the further orders first, whole sets of what is left."""
 
-    def __init__(self, docs: DataFrame, size: int, percent: int, levels, orders: int, broadcast_rows: int):
-        self.docs, self.percent, self.orders, self.broadcast_rows = docs, percent, orders, broadcast_rows
+    def __init__(self, docs: DataFrame, profiles: DataFrame, size: int, percent: int, levels, orders: int, broadcast_rows: int):
+        self.docs, self.profiles, self.percent, self.broadcast_rows = docs, profiles, percent, broadcast_rows
         self.detail = _detailed(size, percent, levels, orders)
         self.names = [f"p{k}" for k in range(2, orders + 1)]
 
+    def _ends(self, pairs: DataFrame) -> tuple[DataFrame, bool]:
+        """The pairs' nodes, and whether they are few enough to broadcast, at 8 bytes each."""
+        nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "nodes")
+        return nodes, nodes.count() <= self.broadcast_rows
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Written table of those (a, b) whose bitmaps leave room for the threshold."""
+        nodes, small = self._ends(pairs)
+        bits = self.profiles.where("n_shingles > 0").join(F.broadcast(nodes) if small else nodes, "doc_id").select("doc_id", "n_shingles", "bits")
+        found = pairs.select("a", "b")
+        for end in "ab":
+            found = found.join(bits.select(F.col("doc_id").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")), end)
+        differ = " + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(BITMAP // 64))
+        found = written(found.where(f"{100 + self.percent} * (n_a + n_b - ({differ})) >= {2 * self.percent} * (n_a + n_b)").select("a", "b").distinct(), "near")
+        dropped(nodes)
+        return found
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """Written table of those (a, b) that reach the threshold; pairs is a written table."""
-        nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "nodes")
-        # 8 bytes a node; beyond broadcast_rows of them both sides are shuffled.
-        small = nodes.count() <= self.broadcast_rows
+        pairs = near = self.near(pairs)
+        nodes, small = self._ends(pairs)
         chosen = self.docs.join(F.broadcast(nodes) if small else nodes, "doc_id")
         arrays = "".join(f", {x} array<long>" for x in self.names)
         details = written(map_text(chosen, self.detail, f"node long, set array<long>{arrays}"), "sets")
@@ -150,8 +191,8 @@ class _Verifier:
         both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
         union = F.size("set_a") + F.size("set_b") - both
         found = written(pairs.where(100 * both >= self.percent * union).select("a", "b").distinct(), "links")
-        dropped(details)
-        dropped(nodes)
+        for table in (details, nodes, near):
+            dropped(table)
         return found
 
 
@@ -178,7 +219,7 @@ def jaccard_components(
     docs = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(common_levels(docs, size, sketch_bits))
-    profiles = written(map_text(docs, _profiled(size, percent, levels), "doc_id long, n_shingles long, fp1 long, fp2 long, prefix array<long>"), "profiles")
+    profiles = written(map_text(docs, _profiled(size, percent, levels), "doc_id long, n_shingles long, fp1 long, fp2 long, prefix array<long>, bits array<long>"), "profiles")
     classes = (
         profiles.where("n_shingles > 0 and doc_id is not null")
         .groupBy("fp1", "fp2", "n_shingles")
@@ -208,7 +249,7 @@ def jaccard_components(
         some = buckets.where((F.col("node") != node) & may_link(F.col("n"), F.col("pos"), n, pos)).select(*pair(F.col("node"), node))
         stars = some if stars is None else stars.union(some)
     stars = written(stars.distinct(), "pairs")
-    verifier = _Verifier(docs, size, percent, levels, orders, broadcast_rows)
+    verifier = _Verifier(docs, profiles, size, percent, levels, orders, broadcast_rows)
     links = verifier.links(stars)
     labels = components(links)
     labelled = buckets.select("token", *own).join(labels, "node", "left").select("token", *own, F.coalesce("component", "node").alias("c"))
