@@ -27,6 +27,8 @@ from .components import components
 CHUNK = 1 << 12
 #: Bits of a set's bitmap.
 BITMAP = 1 << 10
+#: Sets whose bitmaps are counted at once.
+BITMAP_ROWS = 512
 
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,9 +66,14 @@ def bitmaps(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For each set, BITMAP bits: how often, odd or even, a shingle hashes to each. Where two sets' bits
     differ, so does a shingle of theirs, so sets have at least as many unshared shingles as bits that differ."""
     width = BITMAP.bit_length() - 1
-    at = row_ids(offsets) * BITMAP + (mixed(values, 201) >> np.uint64(64 - width)).astype(np.int64)
-    odd = np.bincount(at, minlength=(len(offsets) - 1) * BITMAP) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    out = np.zeros((len(offsets) - 1, BITMAP // 8), np.uint8)
+    for low in range(0, len(out), BITMAP_ROWS):  # the counts of all sets at once would be large
+        part = offsets[low : low + BITMAP_ROWS + 1]
+        rows = len(part) - 1
+        at = row_ids(part) * BITMAP + (mixed(values[part[0] : part[-1]], 201) >> np.uint64(64 - width)).astype(np.int64)
+        odd = np.bincount(at, minlength=rows * BITMAP) & 1
+        out[low : low + rows] = np.packbits(odd.astype(np.uint8).reshape(rows, BITMAP), axis=1, bitorder="little")
+    return out.reshape(-1).view(np.int64)
 
 
 def prefixes(values: np.ndarray, offsets: np.ndarray, levels: np.ndarray, percent: int, seed: int) -> tuple[np.ndarray, np.ndarray]:

@@ -255,3 +255,20 @@ def test_call_levels(spark):
     needs = spark.createDataFrame([(1, "b", "a"), (1, "c", "b"), (1, "c", "a"), (1, "x", "y"), (1, "y", "x"), (1, "d", "unknown")], "conv_id long, call_id string, needs_id string")
     got = {r["call_id"]: r["level"] for r in tool_links.call_levels(calls, needs).collect()}
     assert got == {"a": 0, "b": 1, "c": 2, "d": 0, "x": None, "y": None}
+
+
+def test_bitmaps_never_exceed_unshared_shingles():
+    """Differing bits bound the symmetric difference from below, for empty, short, repeated and long texts."""
+    texts = pa.array(["", None, " ", "a", "a b", "a b c d", "a b c d e", "a b a b a b", "a b a b a b", " ".join(f"w{i % 700}" for i in range(3000)), " ".join(f"w{i}" for i in range(3000))] * 60)
+    values, offsets = jaccard_join.shingle_sets(texts, 3)
+    bits = jaccard_join.bitmaps(values, offsets).view(np.uint64).reshape(len(texts), -1)
+    sets = [set(values[a:b].tolist()) for a, b in zip(offsets, offsets[1:])]
+    for i in (*range(11), *range(len(texts) - 11, len(texts))):
+        for j in range(11):
+            assert sum(int(x).bit_count() for x in bits[i] ^ bits[j]) <= len(sets[i] ^ sets[j])
+        assert (bits[i] == bits[i % 11]).all()
+
+
+def test_no_bitmaps_of_no_sets():
+    values, offsets = jaccard_join.shingle_sets(pa.array([], pa.string()), 3)
+    assert len(values) == 0 and len(jaccard_join.bitmaps(values, offsets)) == 0
