@@ -62,25 +62,31 @@ def problems(arguments: dict[str, Column], schema: dict[str, dict]) -> Column:
 
 
 def linked_calls(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """One row a call and one for each result without a call.
+    """One row a call and one for each result that no call takes.
 
     calls: conv_id, call_id, turn and any others. results: conv_id, call_id, result_turn, result. A call
     takes the first result (by turn, then text) of its identifier that isn't before it; the identifier
     belongs to the first call that has it (by turn), later ones are status ``duplicate``. status is
-    linked, pending, duplicate or orphan (a result without a call, or before it). Null identifiers link nothing.
+    linked, pending, duplicate, surplus (a further result of a linked call; copies of one count one by one) or
+    orphan (a result without a call, or before it). Null identifiers link nothing.
     Both sides are reduced to a row an identifier before they meet.
     """
     keys = ["conv_id", "call_id"]
     first = calls.where("call_id is not null").groupBy(*keys).agg(F.min("turn").alias("first_turn"))
     due = results.join(first, keys, "left")
     valid = F.col("result_turn") >= F.col("first_turn")
-    best = due.where(valid).groupBy(*keys).agg(F.min(F.struct("result_turn", "result")).alias("best"), F.count("*").alias("n_results"))
+    # Copies of a result are one row with their number, so that all but one of the first's are surplus too.
+    counted = due.where(valid).groupBy(*keys, "result_turn", "result").agg(F.count("*").alias("n"))
+    best = counted.groupBy(*keys).agg(F.min(F.struct("result_turn", "result")).alias("best"), F.sum("n").alias("n_results"))
     out = calls.join(first, keys, "left").join(best, keys, "left")
     status = F.when(F.col("call_id").isNull(), "pending").when(F.col("turn") > F.col("first_turn"), "duplicate").when(F.col("best").isNull(), "pending").otherwise("linked")
     out = out.withColumn("status", status).withColumn("best", F.when(status == "linked", F.col("best"))).withColumn("n_results", F.when(status == "linked", F.col("n_results")).otherwise(0))
     out = out.withColumns({"result_turn": F.col("best.result_turn"), "result": F.col("best.result")}).drop("best", "first_turn")
     orphans = due.where(~F.coalesce(valid, F.lit(False))).select(*keys, "result_turn", "result", F.lit("orphan").alias("status"))
-    return out.unionByName(orphans, allowMissingColumns=True)
+    spare = F.col("n") - F.struct("result_turn", "result").eqNullSafe(F.col("best")).cast("int")
+    further = counted.join(best.select(*keys, "best"), keys).withColumn("spare", spare).where("spare > 0")
+    surplus = further.select(*keys, "result_turn", "result", F.lit("surplus").alias("status"), F.explode(F.sequence(F.lit(1), F.col("spare").cast("int"))).alias("copy")).drop("copy")
+    return out.unionByName(orphans, allowMissingColumns=True).unionByName(surplus, allowMissingColumns=True)
 
 
 def call_levels(calls: DataFrame, needs: DataFrame, max_rounds: int = 1000) -> DataFrame:
@@ -111,12 +117,13 @@ RESPOND = {"prompt": {"required": True, "min_length": 1, "max_length": 100_000},
 
 
 def formatted_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """A row for each user turn as a call of "respond" and for each result without a call.
+    """A row for each user turn as a call of "respond", for each result that no call takes and for each other turn.
 
     A user turn's identifier is "conv:turn"; an assistant turn answers the identifier of the turn before it.
-    conv_id, call_id, turn, result_turn, status, n_results, order_key (turn, then 0 for a call and 1 for a
-    result alone; sorts a conversation so that each result follows its call), valid, problems and json, the
-    canonical record. A null conversation, turn or role takes no part in links: a user turn with a null
+    conv_id, call_id, turn, result_turn, status, n_results, order_key (turn, then 0 for a call or message and 1 for
+    a result alone; sorts a conversation so that each result follows its call), valid, problems and json, the
+    canonical record. A turn of any other role (system, null, ...) has status message, no identifier and a
+    record with its role, text and turn under "message". A null conversation, turn or role takes no part in links: a user turn with a null
     turn or conversation is a pending call without an identifier, an assistant's an orphan. Turns of one number
     and role in a conversation: the first by text links, as ``linked_calls`` says. Repeated rows stay repeated calls
     (status linked each, as they are the identifier's first). Extra columns play no part.
@@ -126,11 +133,15 @@ def formatted_conversations(messages: DataFrame, conv_col: str = "conv_id", turn
     named = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
     calls = rows.where("role = 'user'").select("conv_id", named(F.col("turn")).alias("call_id"), "turn", F.col("text").alias("prompt"))
     results = rows.where("role = 'assistant'").select("conv_id", named(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("result_turn"), F.col("text").alias("result"))
-    out = linked_calls(calls, results)
-    is_call = F.col("status") != "orphan"
+    others = rows.where(~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False)))
+    others = others.select("conv_id", "turn", "role", F.col("text").alias("message"), F.lit("message").alias("status"))
+    out = linked_calls(calls, results).unionByName(others, allowMissingColumns=True)
+    is_call, is_message = ~F.col("status").isin("orphan", "surplus", "message"), F.col("status") == "message"
     found = F.when(is_call, problems({"prompt": F.col("prompt"), "turn": F.col("turn")}, RESPOND)).otherwise(F.array().cast("array<string>"))
     call = canonical_object({"arguments": ("json", canonical_object({"prompt": ("string", F.col("prompt")), "turn": ("integer", F.col("turn"))})), "id": ("string", F.col("call_id")), "name": ("string", F.lit("respond"))})
-    record = canonical_object({"call": ("json", F.when(is_call, call)), "conversation": ("integer", F.col("conv_id")), "result": ("string", F.col("result")), "status": ("string", F.col("status"))})
+    message = canonical_object({"role": ("string", F.col("role")), "text": ("string", F.col("message")), "turn": ("integer", F.col("turn"))})
+    fields = {"call": ("json", F.when(is_call, call)), "conversation": ("integer", F.col("conv_id")), "result": ("string", F.col("result")), "status": ("string", F.col("status"))}
+    record = F.when(is_message, canonical_object(fields | {"message": ("json", message)})).otherwise(canonical_object(fields))
     return out.select(
         "conv_id",
         "call_id",
@@ -138,7 +149,7 @@ def formatted_conversations(messages: DataFrame, conv_col: str = "conv_id", turn
         "result_turn",
         "status",
         F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"),
-        F.format_string("%019d.%d", F.coalesce("turn", "result_turn"), F.when(is_call, 0).otherwise(1)).alias("order_key"),
+        F.format_string("%019d.%d", F.coalesce("turn", "result_turn"), F.when(is_call | is_message, 0).otherwise(1)).alias("order_key"),
         (F.size(found) == 0).alias("valid"),
         F.array_join(found, "; ").alias("problems"),
         record.alias("json"),

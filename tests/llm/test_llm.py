@@ -250,6 +250,24 @@ def test_tool_links(spark):
     assert record["call"]["arguments"]["prompt"] == rows[0][3] and by[1, 0, 1]["json"] == json.dumps(record, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def test_tool_links_keep_every_turn(spark):
+    """Turns of other roles and further results of a call, copies and null texts among them, are rows too."""
+    import json
+
+    rows = [(1, 0, "system", 'be "brief"'), (1, 1, "user", "q"), (1, 2, "assistant", "b"), (1, 2, "assistant", "a"), (1, 2, "assistant", "a"), (1, 3, None, "odd"), (1, 4, "tool", None)]
+    rows += [(2, 0, "user", "p"), (2, 1, "assistant", None), (2, 1, "assistant", "z"), (None, None, "system", "lost")]
+    got = tool_links.formatted_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    records = [(r, json.loads(r["json"])) for r in got]
+    assert all(r["json"] == json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False) and r["status"] == x["status"] for r, x in records)
+    told = [(r["conv_id"], x["message"]["turn"], x["message"]["role"], x["message"]["text"]) for r, x in records if r["status"] == "message"]
+    told += [(r["conv_id"], r["turn"], "user", x["call"]["arguments"]["prompt"]) for r, x in records if x["call"]]
+    told += [(r["conv_id"], r["result_turn"], "assistant", x["result"]) for r, x in records if r["result_turn"] is not None]
+    assert sorted(told, key=str) == sorted(rows, key=str)
+    by = {(r["conv_id"], r["status"], x["result"]): r for r, x in records}
+    assert by[1, "linked", "a"]["n_results"] == 3 and by[2, "linked", None]["n_results"] == 2
+    assert by[1, "surplus", "b"]["call_id"] == "1:1" and by[1, "surplus", "a"]["n_results"] == 0 and by[2, "surplus", "z"]["valid"]
+
+
 def test_call_levels(spark):
     calls = spark.createDataFrame([(1, x) for x in "abcdxy"], "conv_id long, call_id string")
     needs = spark.createDataFrame([(1, "b", "a"), (1, "c", "b"), (1, "c", "a"), (1, "x", "y"), (1, "y", "x"), (1, "d", "unknown")], "conv_id long, call_id string, needs_id string")
