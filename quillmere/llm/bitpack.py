@@ -154,7 +154,7 @@ def write_token_files(docs: DataFrame, out: str, vocabulary: str, end_id: int =
         for batch in text_batches(batches):
             if writer is None:
                 writer = Writer(uri, max(1, (vocabulary_size(vocabulary) - 1).bit_length()), block_ids)
-            writer.add(batch.column(0), *text_ids(batch.column(1), vocabulary, end_id))
+            writer.add(batch.column(0), *text_ids(batch.column(1), vocabulary, end_id, added=True))
         if writer is not None:
             n_docs, n_ids = writer.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "uri": uri, "n_docs": n_docs, "n_ids": n_ids}])

@@ -27,7 +27,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id:
     ids_crc32, doc_tokens and, with with_ids, the ids themselves."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, offsets = text_ids(batch.column("text"), vocabulary, end_id)
+        ids, offsets = text_ids(batch.column("text"), vocabulary, end_id, added=True)
         total = np.diff(offsets)
         count = -(-total // capacity)
         row = np.repeat(np.arange(len(total)), count)

@@ -4,7 +4,8 @@ The word-level BPE splits at white space and drops it, so a text's ids are those
 separated pieces in order. Each slice's pieces are dictionary-coded by Arrow; a distinct piece is
 lower-cased, split into pre-tokens, and each distinct pre-token goes once to the library's model.
 Pieces outside printable ASCII and Latin-1 letters go whole through the library's own normaliser
-and splitter, where Unicode details matter.
+and splitter, where Unicode details matter; so do pieces that hold a token added to the vocabulary
+('<|endoftext|>'), which the library finds before it normalises.
 """
 
 from __future__ import annotations
@@ -37,11 +38,13 @@ def _loaded(path: str) -> tuple:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         # The byte-level alphabet: printable bytes stand for themselves, the others for 256 and on.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         alphabet = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(printable))}
-        _LOADED[path] = (tokenizer, alphabet, {})
+        added = tokenizer.get_added_tokens_decoder().values()
+        if any(x.normalized or x.content.split() != [x.content] for x in added):
+            raise ValueError(f"{path} adds tokens that hold white space or are found after normalising")
+        _LOADED[path] = (tokenizer, alphabet, {}, [x.content for x in added])
     return _LOADED[path]
 
 
@@ -63,7 +66,7 @@ def _composed(values: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[
 
 def _pretoken_ids(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each pre-token, one after the other, and where each begins; new ones go to the model."""
-    tokenizer, alphabet, cache = _loaded(path)
+    tokenizer, alphabet, cache, _ = _loaded(path)
     if len(cache) > CACHE:
         cache.clear()
     missing = [w for w in words if w not in cache]
@@ -78,11 +81,14 @@ def _pretoken_ids(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.int32), np.concatenate(([0], np.cumsum(lengths)))
 
 
-def piece_ids(pieces: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+def piece_ids(pieces: pa.Array, path: str, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each distinct white-space separated piece, one after the other, and where each begins."""
     if not len(pieces):
         return np.empty(0, np.int32), np.zeros(1, np.int64)
-    plain = np.asarray(pc.match_substring_regex(pieces, PLAIN))
+    plain = np.array(pc.match_substring_regex(pieces, PLAIN))
+    tokenizer, _, _, tokens = _loaded(path)
+    for token in tokens if added else ():
+        plain &= ~np.asarray(pc.match_substring(pieces, token))
     lower = pc.utf8_lower(pieces.filter(pa.array(plain)))
     # A space after each match of the split rule: what is between spaces is then a pre-token.
     split = pc.replace_substring_regex(lower, f"({SPLIT})", r"\1 ")
@@ -92,7 +98,8 @@ def piece_ids(pieces: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     starts = starts[at]
     if plain.all():
         return ids, starts
-    odd = [x.ids for x in _loaded(path)[0].encode_batch(pieces.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)]
+    tokenizer.encode_special_tokens = not added
+    odd = [x.ids for x in tokenizer.encode_batch(pieces.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)]
     more, more_at = _ragged(odd)
     values, offsets = np.concatenate((ids, more)), np.concatenate((starts, starts[-1] + more_at[1:]))
     order = np.empty(len(plain), np.int64)
@@ -100,10 +107,13 @@ def piece_ids(pieces: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return _composed(values, offsets, order)
 
 
-def text_ids(texts: pa.Array, path: str, end_id: int | None = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of each text (null: empty) with end_id appended, one text after the other, and where each begins."""
+def text_ids(texts: pa.Array, path: str, end_id: int | None = 2, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of each text (null: empty) with end_id appended, one text after the other, and where each begins.
+
+    added: tokens added to the vocabulary are one id where a text holds them, as by the library's plain
+    call; else their letters are text like any other, as by encode_special_tokens."""
     codes, offsets, pieces = ascii_words(texts)
-    values, starts = piece_ids(pieces, path)
+    values, starts = piece_ids(pieces, path, added)
     if end_id is not None:
         # The end id is one more piece, put after each text's last.
         values, starts = np.append(values, np.int32(end_id)), np.append(starts, starts[-1] + 1)

@@ -184,6 +184,26 @@ def test_token_files_round_trip(spark, odd, none):
     assert bitpack.token_files(none, tokens.vocabulary_path()).count() == 0
 
 
+def test_added_tokens_as_the_plain_call(spark):
+    """Token files and pieces have the ids of an untouched tokenizer, texts with added tokens among them."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.vocabulary_path())
+    texts = ["hello <|endoftext|> world", "a<|endoftext|><|startoftext|>B", "<|ENDOFTEXT|> <|end oftext|>", "é<|startoftext|>\u0301日\x85<|endoftext|>", "<|endoftext|>" * 3, "plain", ""]
+    want = [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert want[0] == [3306, 49407, 1002, 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    files = bitpack.token_files(docs, tokens.vocabulary_path()).collect()
+    sums = [zlib.crc32(np.array(ids, "<u4").tobytes()) for ids in want]
+    starts = [0, *itertools.accumulate(map(len, want))]
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in files) == [(i, starts[i], len(ids), sums[i]) for i, ids in enumerate(want)]
+    pieces = packing.pack_documents(docs, tokens.vocabulary_path()).collect()
+    assert sorted((r["doc_id"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in pieces) == [(i, len(ids), sums[i], len(ids)) for i, ids in enumerate(want)]
+    for special in (True, False):  # one worker may do both, in any order
+        ids, at = tokens.text_ids(pa.array(texts), tokens.vocabulary_path(), added=not special)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == ([library_ids(t) for t in texts] if special else want)
+
+
 def test_packing_is_gapless(spark, odd, none):
     rows = packing.pack_documents(odd, tokens.vocabulary_path(), capacity=64).collect()
     assert sum(r["length"] for r in rows) == sum(len(library_ids(t)) for _, t in ODD)
