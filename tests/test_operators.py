@@ -130,3 +130,15 @@ def test_scan_filters(spark, tmp_path):
         (tmp_path / name).write_text("hello")
     found = files.scan(spark, str(tmp_path), skip=("*/skip/*",)).collect()
     assert sorted(r["path"].rsplit("/", 1)[-1] for r in found) == ["a.txt", "b.pdf"]
+
+
+def test_hit_coverage_measures_each_items_best_hits(spark, tmp_path):
+    """Items of any id meet the documents that their words find, and no others."""
+    from quillmere.plans import corpus as plans
+
+    docs = [(1, "red fox den"), (2, "blue whale sea"), (3, "red fox and hound"), (45, "green tea"), (46, "filler words here"), (47, "more filler")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(1, "blue whale krill"), (45, "red fox hound"), (199, "green tea leaves cup"), (200, "nowhere")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r["item_id"], r["doc_id"]): r["coverage"] for r in plans.hit_coverage(spark, str(tmp_path)).collect()}
+    assert got == {(1, 2): 0.6667, (45, 1): 0.6667, (45, 3): 1.0, (199, 45): 0.5}
