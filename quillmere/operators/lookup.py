@@ -33,6 +33,14 @@ def neighbours(chunks: DataFrame, anchors: DataFrame, n: int) -> DataFrame:
     return near.join(numbered, ["doc_id", "no"]).select("doc_id", "anchor_start", "chunk_start")
 
 
+def near_all(chunks: DataFrame, n: int) -> DataFrame:
+    """``neighbours`` with every chunk as an anchor, by numbered join: linear in chunks, however many a document has."""
+    w = Window.partitionBy("doc_id").orderBy("chunk_start")
+    numbered = chunks.select("doc_id", "chunk_start").distinct().withColumn("no", F.row_number().over(w))
+    near = numbered.select("doc_id", F.col("chunk_start").alias("anchor_start"), F.explode(F.sequence(F.col("no") - n, F.col("no") + n)).alias("no"))
+    return near.join(numbered, ["doc_id", "no"]).select("doc_id", "anchor_start", "chunk_start")
+
+
 def context(chunks: DataFrame, n: int = 1) -> DataFrame:
     """Each chunk with the text of n chunks on either side as context_text, and the span that they cover."""
     w = Window.partitionBy("doc_id").orderBy("chunk_start").rowsBetween(-n, n)

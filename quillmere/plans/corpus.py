@@ -114,8 +114,8 @@ a AS (SELECT doc_id, chunk_start AS anchor_start, no FROM n WHERE chunk_start %
 SELECT a.doc_id, anchor_start, n.chunk_start FROM a JOIN n ON n.doc_id = a.doc_id AND n.no BETWEEN a.no - 2 AND a.no + 2"""
 )
 def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _chunks(spark, sf_dir)
-    return lookup.neighbours(chunks, chunks.where("chunk_start % 3000 = 0"), 2)
+    """Two chunks before and after each chunk."""
+    return lookup.near_all(_chunks(spark, sf_dir), 2)
 
 
 @query(

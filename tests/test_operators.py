@@ -142,3 +142,14 @@ def test_hit_coverage_measures_each_items_best_hits(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {(r["item_id"], r["doc_id"]): r["coverage"] for r in plans.hit_coverage(spark, str(tmp_path)).collect()}
     assert got == {(1, 2): 0.6667, (45, 1): 0.6667, (45, 3): 1.0, (199, 45): 0.5}
+
+
+def test_neighbors_has_every_chunk_as_anchor(spark, tmp_path):
+    from quillmere.plans import corpus as plans
+
+    docs = [(1, "word " * 900), (2, "short"), (3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    starts = list(range(0, 4500, 750))
+    want = {(1, a, b) for i, a in enumerate(starts) for b in starts[max(0, i - 2) : i + 3]} | {(2, 0, 0)}
+    got = [tuple(r) for r in plans.neighbors(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
