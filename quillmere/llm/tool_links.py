@@ -89,34 +89,42 @@ def linked_calls(calls: DataFrame, results: DataFrame) -> DataFrame:
     return out.unionByName(orphans, allowMissingColumns=True).unionByName(surplus, allowMissingColumns=True)
 
 
-def call_levels(calls: DataFrame, needs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def call_levels(calls: DataFrame, needs: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(conv_id, call_id, level): 0 without needs, else one more than the highest level among the calls
-    that it needs; null for calls on a cycle or behind one.
+    that it needs; null for calls on a cycle or behind one. Where calls have a turn, also after_turn: the
+    highest turn among the call and all that it depends on.
 
     needs: conv_id, call_id, needs_id. Needs of unknown calls count as met. Rounds settle calls whose
-    needs are all settled, as a topological sort does, until none is left to settle."""
+    needs are all settled, as a topological sort does, until none is left to settle; more than max_rounds
+    of them, where that is set, raise an error."""
     keys = ["conv_id", "call_id"]
-    known = calls.select(*keys).where("call_id is not null").distinct()
-    edges = needs.join(known.withColumnRenamed("call_id", "needs_id"), ["conv_id", "needs_id"], "left_semi").join(known, keys, "left_semi").distinct()
-    settled = written(known.join(edges, keys, "left_anti").withColumn("level", F.lit(0)), "levels")
-    edges = written(edges, "needs")
-    size = settled.count()
-    for _ in range(max_rounds):
-        got = edges.join(settled.select("conv_id", F.col("call_id").alias("needs_id"), "level"), ["conv_id", "needs_id"], "left").join(settled, keys, "left_anti")
-        ready = got.groupBy(*keys).agg(F.max("level").alias("level"), F.count("*").alias("n"), F.count("level").alias("met")).where("n = met")
-        after = written(settled.unionByName(ready.select(*keys, (F.col("level") + 1).alias("level"))), "levels")
+    turn = "turn" if "turn" in calls.columns else F.lit(None).cast("long").alias("turn")
+    known = calls.select(*keys, turn).where("call_id is not null").groupBy(*keys).agg(F.min("turn").alias("turn"))
+    edges = needs.join(known.select("conv_id", F.col("call_id").alias("needs_id")), ["conv_id", "needs_id"], "left_semi").join(known, keys, "left_semi").select(*keys, "needs_id").distinct()
+    settled = written(known.join(edges, keys, "left_anti").select(*keys, F.lit(0).alias("level"), F.col("turn").alias("after_turn")), "levels")
+    edges = written(edges.join(known, keys), "needs")
+    size, rounds = settled.count(), 0
+    while True:
+        got = edges.join(settled.select("conv_id", F.col("call_id").alias("needs_id"), "level", "after_turn"), ["conv_id", "needs_id"], "left").join(settled, keys, "left_anti")
+        ready = got.groupBy(*keys).agg(F.max("level").alias("level"), F.max(F.greatest("after_turn", "turn")).alias("after_turn"), F.count("*").alias("n"), F.count("level").alias("met")).where("n = met")
+        after = written(settled.unionByName(ready.select(*keys, (F.col("level") + 1).alias("level"), "after_turn")), "levels")
         dropped(settled)
         settled, before, size = after, size, after.count()
         if size == before:
             break
-    return known.join(settled, keys, "left")
+        rounds += 1
+        if max_rounds is not None and rounds > max_rounds:
+            raise RuntimeError(f"calls depend on each other over more than {max_rounds} rounds")
+    dropped(edges)
+    out = known.select(*keys).join(settled, keys, "left")
+    return out if "turn" in calls.columns else out.drop("after_turn")
 
 
 #: What a turn of the ``conversations`` table must have as a call of "respond".
 RESPOND = {"prompt": {"required": True, "min_length": 1, "max_length": 100_000}, "turn": {"required": True, "minimum": 0}}
 
 
-def formatted_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def formatted_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", needs: DataFrame | None = None) -> DataFrame:
     """A row for each user turn as a call of "respond", for each result that no call takes and for each other turn.
 
     A user turn's identifier is "conv:turn"; an assistant turn answers the identifier of the turn before it.
@@ -127,6 +135,10 @@ def formatted_conversations(messages: DataFrame, conv_col: str = "conv_id", turn
     turn or conversation is a pending call without an identifier, an assistant's an orphan. Turns of one number
     and role in a conversation: the first by text links, as ``linked_calls`` says. Repeated rows stay repeated calls
     (status linked each, as they are the identifier's first). Extra columns play no part.
+
+    needs (conv_id, call_id, needs_id; none by default): calls that a call depends on. order_key is then
+    topological: a call's turn is the highest among its own and those that it depends on, and twice its level is
+    added to the last number (from 9 on: 9 and 19 digits); its surplus results follow it. Calls on a cycle, or behind one, keep their own turn.
     """
     rows = only(messages, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col)
     rows = rows.withColumn("conv_id", F.col("conv_id").cast("long")).withColumn("turn", F.col("turn").cast("long")).withColumn("text", F.col("text").cast("string"))
@@ -136,12 +148,18 @@ def formatted_conversations(messages: DataFrame, conv_col: str = "conv_id", turn
     others = rows.where(~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False)))
     others = others.select("conv_id", "turn", "role", F.col("text").alias("message"), F.lit("message").alias("status"))
     out = linked_calls(calls, results).unionByName(others, allowMissingColumns=True)
+    if needs is not None:
+        levels = call_levels(calls, needs)
+        out = out.join(levels, ["conv_id", "call_id"], "left")
+    else:
+        out = out.withColumns({"level": F.lit(0), "after_turn": F.lit(None).cast("long")})
     is_call, is_message = ~F.col("status").isin("orphan", "surplus", "message"), F.col("status") == "message"
     found = F.when(is_call, problems({"prompt": F.col("prompt"), "turn": F.col("turn")}, RESPOND)).otherwise(F.array().cast("array<string>"))
     call = canonical_object({"arguments": ("json", canonical_object({"prompt": ("string", F.col("prompt")), "turn": ("integer", F.col("turn"))})), "id": ("string", F.col("call_id")), "name": ("string", F.lit("respond"))})
     message = canonical_object({"role": ("string", F.col("role")), "text": ("string", F.col("message")), "turn": ("integer", F.col("turn"))})
     fields = {"call": ("json", F.when(is_call, call)), "conversation": ("integer", F.col("conv_id")), "result": ("string", F.col("result")), "status": ("string", F.col("status"))}
     record = F.when(is_message, canonical_object(fields | {"message": ("json", message)})).otherwise(canonical_object(fields))
+    step = F.coalesce("level", F.lit(0)) * 2 + F.when(is_call | is_message, 0).otherwise(1)
     return out.select(
         "conv_id",
         "call_id",
@@ -149,7 +167,7 @@ def formatted_conversations(messages: DataFrame, conv_col: str = "conv_id", turn
         "result_turn",
         "status",
         F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"),
-        F.format_string("%019d.%d", F.coalesce("turn", "result_turn"), F.when(is_call | is_message, 0).otherwise(1)).alias("order_key"),
+        F.concat(F.format_string("%019d.", F.greatest(F.coalesce("turn", "result_turn"), "after_turn")), F.when(step < 9, step.cast("string")).otherwise(F.format_string("9%019d", step))).alias("order_key"),
         (F.size(found) == 0).alias("valid"),
         F.array_join(found, "; ").alias("problems"),
         record.alias("json"),

@@ -295,6 +295,26 @@ def test_call_levels(spark):
     assert got == {"a": 0, "b": 1, "c": 2, "d": 0, "x": None, "y": None}
 
 
+def test_call_levels_never_stop_silently(spark):
+    calls = spark.createDataFrame([(1, x) for x in "abcde"], "conv_id long, call_id string")
+    needs = spark.createDataFrame([(1, b, a) for a, b in itertools.pairwise("abcde")], "conv_id long, call_id string, needs_id string")
+    with pytest.raises(RuntimeError):
+        tool_links.call_levels(calls, needs, max_rounds=2)
+    assert {r["call_id"]: r["level"] for r in tool_links.call_levels(calls, needs).collect()} == dict(zip("abcde", range(5), strict=True))
+
+
+def test_order_key_is_topological(spark):
+    """A call sorts after all that it depends on, later turns and long chains among them; without needs by turn."""
+    rows = [(1, t, "user", f"q{t}") for t in range(0, 16, 2)] + [(1, 1, "assistant", "r"), (1, 1, "assistant", "s")]
+    chain = [(1, f"1:{b}", f"1:{a}") for a, b in itertools.pairwise([14, 12, 10, 8, 6, 0])] + [(1, "1:2", "1:4"), (1, "1:4", "1:2")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    needs = spark.createDataFrame(chain, "conv_id long, call_id string, needs_id string")
+    got = [(r["order_key"], r["status"], r["turn"]) for r in tool_links.formatted_conversations(turns, needs=needs).collect()]
+    assert [x[1:] for x in sorted(got)] == [("pending", 2), ("pending", 4), ("pending", 14), ("pending", 12), ("pending", 10), ("pending", 8), ("pending", 6), ("linked", 0), ("surplus", None)]
+    plain = [(r["order_key"], r["turn"]) for r in tool_links.formatted_conversations(turns).collect()]
+    assert sorted(plain)[:3] == [(f"{0:019d}.0", 0), (f"{1:019d}.1", None), (f"{2:019d}.0", 2)]
+
+
 def test_bitmaps_never_exceed_unshared_shingles():
     """Differing bits bound the symmetric difference from below, for empty, short, repeated and long texts."""
     texts = pa.array(["", None, " ", "a", "a b", "a b c d", "a b c d e", "a b a b a b", "a b a b a b", " ".join(f"w{i % 700}" for i in range(3000)), " ".join(f"w{i}" for i in range(3000))] * 60)
