@@ -203,29 +203,9 @@ class _Verifier:
         return found
 
 
-def jaccard_components(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    size: int = 5,
-    percent: int = 80,
-    orders: int = 3,
-    sketch_bits: int = 20,
-    broadcast_rows: int = 1 << 20,
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each row of docs.
-
-    A-Z are lower-cased; words are ``[^\\x20\\x09-\\x0D]+``. Documents link when
-    100 * intersection >= percent * union of their sets of distinct ``size``-word shingles.
-    component_id is the least doc_id that links reach. Null, empty and blank texts have no shingles,
-    link with nothing and are their own component. A null doc_id is never a component and links
-    nothing (its component_id is null, or its equal texts' least id). Rows with one doc_id count as
-    one document, whose links are those of all its rows.
-    sketch_bits fixes the size of the table of common hash ranges (2**20: 1 MB to each executor).
-    """
-    docs = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    spark = docs.sparkSession
-    levels = spark.sparkContext.broadcast(common_levels(docs, size, sketch_bits))
+def _prepared(docs: DataFrame, size: int, percent: int, orders: int, sketch_bits: int, broadcast_rows: int):
+    """Profiles of all rows, classes of equal sets, buckets of classes by token of their prefixes, and a verifier."""
+    levels = docs.sparkSession.sparkContext.broadcast(common_levels(docs, size, sketch_bits))
     profiles = written(map_text(docs, _profiled(size, percent, levels), "doc_id long, n_shingles long, fp1 long, fp2 long, prefix array<long>, bits array<long>"), "profiles")
     classes = (
         profiles.where("n_shingles > 0 and doc_id is not null")
@@ -243,12 +223,43 @@ def jaccard_components(
         .select("token", *own, *[F.col(f"c{k}.{x}").alias(f"{x}{k}") for k in (1, 2) for x in ("node", "n", "pos")]),
         "buckets",
     )
+    return profiles, classes, buckets, _Verifier(docs, profiles, size, percent, levels, orders, broadcast_rows)
+
 
+def _may_link(percent: int):
     def may_link(n, i, m, j):
         """Up to their first common shingle, at i and j, the sets share nothing: min(n - i, m - j) are left to share.
         Of the rows of a pair that links, that of its first common shingle passes."""
         return (100 + percent) * F.least(n - i, m - j) >= percent * (n + m)
 
+    return may_link
+
+
+def jaccard_components(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = 5,
+    percent: int = 80,
+    orders: int = 3,
+    sketch_bits: int = 20,
+    broadcast_rows: int = 1 << 20,
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row for each row of docs.
+
+    A-Z are lower-cased; words are ``[^\\x20\\x09-\\x0D]+``. Documents link when
+    100 * intersection >= percent * union of their sets of distinct ``size``-word shingles.
+    component_id is the least doc_id that links reach. Null, empty and blank texts have no shingles,
+    link with nothing and are their own component. A null doc_id is never a component and links
+    nothing (its component_id is null, or its equal texts' least id). Rows with one doc_id count as
+    one document, whose links are those of all its rows.
+    sketch_bits fixes the size of the table of common hash ranges (2**20: 1 MB to each executor).
+    """
+    docs = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    profiles, classes, buckets, verifier = _prepared(docs, size, percent, orders, sketch_bits, broadcast_rows)
+    w = Window.partitionBy("token")
+    own = [F.col("node"), F.col("n"), F.col("pos")]
+    may_link = _may_link(percent)
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     stars = None
     for k in (1, 2):
@@ -256,7 +267,6 @@ def jaccard_components(
         some = buckets.where((F.col("node") != node) & may_link(F.col("n"), F.col("pos"), n, pos)).select(*pair(F.col("node"), node))
         stars = some if stars is None else stars.union(some)
     stars = written(stars.distinct(), "pairs")
-    verifier = _Verifier(docs, profiles, size, percent, levels, orders, broadcast_rows)
     links = verifier.links(stars)
     labels = components(links)
     labelled = buckets.select("token", *own).join(labels, "node", "left").select("token", *own, F.coalesce("component", "node").alias("c"))
@@ -280,6 +290,31 @@ def jaccard_components(
     return linked.select("doc_id", "n_shingles", "component_id").union(alone.select("doc_id", "n_shingles", "component_id"))
 
 
+def jaccard_links(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = 5,
+    percent: int = 80,
+    orders: int = 3,
+    sketch_bits: int = 20,
+    broadcast_rows: int = 1 << 20,
+) -> DataFrame:
+    """(a, b), a < b: every link between classes of equal sets, each named by its least doc_id.
+
+    Links are those of ``jaccard_components``, which compares only what components need; here each pair
+    of a bucket that may link is compared, so a group of n near copies costs up to n * (n - 1) / 2 of them."""
+    docs = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    profiles, _, buckets, verifier = _prepared(docs, size, percent, orders, sketch_bits, broadcast_rows)
+    x, y = buckets.alias("x"), buckets.alias("y")
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & _may_link(percent)(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
+    pairs = written(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
+    links = verifier.links(pairs)
+    for table in (buckets, pairs, profiles):
+        dropped(table)
+    return links
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that stay when one document of each component does: that with the least id.
 

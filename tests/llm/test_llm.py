@@ -327,6 +327,23 @@ def test_bitmaps_never_exceed_unshared_shingles():
         assert (bits[i] == bits[i % 11]).all()
 
 
+def test_links_between_classes_are_complete(spark, none):
+    """Every pair of classes that reaches the threshold, also within one component; two words, 50 %."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(w if rng.random() > 0.08 else f"x{rng.randrange(40)}" for w in base)) for i in range(40)]
+    docs += [(100 + i, docs[i][1]) for i in range(5)] + [(200 + i, " ".join(f"w{rng.randrange(6)}" for _ in range(8))) for i in range(30)] + [(300, None), (301, "one")]
+    sets = {}
+    for i, t in sorted(docs):
+        w = words((t or "").lower())
+        if w:
+            sets.setdefault(frozenset(tuple(w[k : k + 2]) for k in range(max(len(w) - 1, 1))), i)
+    want = {tuple(sorted((i, j))) for (a, i), (b, j) in itertools.combinations(sets.items(), 2) if 2 * len(a & b) >= len(a | b)}
+    got = [tuple(r) for r in jaccard_join.jaccard_links(spark.createDataFrame(docs, "doc_id long, text string"), size=2, percent=50).collect()]
+    assert len(want) > 100 and len(got) == len(want) and set(got) == want
+    assert jaccard_join.jaccard_links(none).count() == 0
+
+
 def test_no_bitmaps_of_no_sets():
     values, offsets = jaccard_join.shingle_sets(pa.array([], pa.string()), 3)
     assert len(values) == 0 and len(jaccard_join.bitmaps(values, offsets)) == 0
