@@ -16,13 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text in a slice; one longer text makes a slice of its own.
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 6 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of our own
+    in local mode, as in tests, and an error on a cluster, whose machines would not see it."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not set_dir:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         set_dir = "file:///tmp/checkpoints"
     return set_dir.rstrip("/")
 
@@ -55,8 +59,8 @@ def delete_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of at most SLICE_BYTES of text; nulls in ``column`` stay null."""
+def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", slice_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most slice_bytes of text; nulls in ``column`` stay null."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -65,17 +69,17 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Ite
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, before + slice_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
 
 
-def map_text(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
+def map_text(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over bounded slices of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_cpu_count(1)
-        for batch in text_batches(batches, column):
+        for batch in text_batches(batches, column, slice_bytes):
             yield function(batch)
 
     return df.mapInArrow(run, schema)

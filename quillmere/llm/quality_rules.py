@@ -1,11 +1,13 @@
 """Repetition rules from a suffix array over the words of each text.
 
-A suffix array of all texts of a slice is built at once by prefix doubling. A word's first key
-holds its text's number, so suffixes of different texts never compare equal and every interval of
-equal prefixes lies inside one text. The longest common prefix of neighbours in the array comes
-from the doubling ranks; the deepest interval that a suffix lies in is the larger of its two
-neighbours' prefixes, and that many words from its start are a maximal repeat's occurrence. The
-union of those spans is what repeats.
+A suffix array of all texts of a slice is built at once by prefix doubling. Equal words of different
+texts are different symbols, so suffixes of different texts share no prefix and every interval of
+equal prefixes lies inside one text. Longest common prefixes come in text order (Kärkkäinen, Manzini
+and Puglisi, "Permuted longest-common-prefix array", 2009): where the words before two neighbouring
+suffixes are equal, the prefix is that of the position before less one; only the other, irreducible
+ones are compared, and their sum is O(n log n). The deepest interval that a suffix lies in is the larger
+of its two neighbours' prefixes, and that many words from its start are a maximal repeat's occurrence.
+The union of those spans is what repeats.
 """
 
 from __future__ import annotations
@@ -25,68 +27,93 @@ SCHEMA = (
 SYMBOLS = "[#*$%&|<>]"
 
 
+#: Words that one step of comparisons gathers.
+STEP_WORDS = 1 << 20
+
+
+def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes' order and each suffix's place in it, by prefix doubling; symbols are small integers."""
+    n = len(symbols)
+    order = np.argsort(symbols, kind="stable").astype(np.int32)
+    first = symbols[order]
+    # A rank is the place of its group's first suffix, so ranks stay comparable while groups are split.
+    rank = np.empty(n, np.int32)
+    rank[order] = _heads(np.append(True, first[1:] != first[:-1]))
+    counts = np.bincount(rank, minlength=n)
+    open_at, step = np.flatnonzero(counts[rank] > 1).astype(np.int32), 1
+    del first, counts
+    while len(open_at):  # only suffixes that still share their rank need a longer key
+        follow = open_at.astype(np.int64) + step
+        second = np.where(follow < n, rank[np.minimum(follow, n - 1)].astype(np.int64) + 1, 0)
+        key = rank[open_at].astype(np.int64) * (n + 1) + second
+        by = np.argsort(key, kind="stable")
+        key, open_at = key[by], open_at[by]
+        group = key // (n + 1)
+        head = _heads(np.append(True, key[1:] != key[:-1]))
+        start = _heads(np.append(True, group[1:] != group[:-1]))
+        rank[open_at] = (group + head - start).astype(np.int32)
+        alone = np.append(head[1:] != head[:-1], True) & np.append(True, head[1:] != head[:-1])
+        open_at, step = open_at[~alone], 2 * step
+    order[rank] = np.arange(n, dtype=np.int32)
+    return order, rank
+
+
+def _heads(new: np.ndarray) -> np.ndarray:
+    """For each place the last one at or before it where new is set."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new), dtype=np.int32), 0))
+
+
+def _common(symbols: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Words that the suffixes at left and right have in common, compared in runs of growing length."""
+    n, out = len(symbols), np.zeros(len(left), np.int32)
+    for low in range(0, len(left), STEP_WORDS):
+        part = np.arange(low, min(low + STEP_WORDS, len(left)))
+        width = 1
+        while len(part):
+            rest = []
+            each = max(1, STEP_WORDS // width)
+            for some in (part[i : i + each] for i in range(0, len(part), each)):
+                reach = np.arange(min(width, n), dtype=np.int64)
+                at, to = (x[some].astype(np.int64)[:, None] + out[some][:, None] + reach for x in (left, right))
+                same = (symbols[np.minimum(at, n - 1)] == symbols[np.minimum(to, n - 1)]) & (np.maximum(at, to) < n)
+                whole = same.all(axis=1)
+                out[some] += np.where(whole, same.shape[1], same.argmin(axis=1)).astype(np.int32)
+                rest.append(some[whole])
+            part, width = np.concatenate(rest), min(2 * width, STEP_WORDS)
+    return out
+
+
 def repeat_lengths(codes: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """For each word position, the words of the longest substring that starts there and occurs
     elsewhere in the same text (0: none)."""
     n = len(codes)
     if n < 2:
-        return np.zeros(n, np.int64)
-    ends = np.searchsorted(rows, rows, side="right")  # one past the text's last word
+        return np.zeros(n, np.int32)
     key = rows.astype(np.int64) * (int(codes.max()) + 1) + codes
     order = np.argsort(key, kind="stable")
-    ranks = [_ranked(key[order], order)]
-    step = 1
-    # Only suffixes that still share their rank need a longer key.
-    while True:
-        rank = ranks[-1]
-        counts = np.bincount(rank, minlength=n)
-        open_at = np.flatnonzero(counts[rank] > 1)
-        if not len(open_at):
-            break
-        second = open_at + step
-        inside = second < ends[open_at]
-        # A text that ends first sorts before all, and each such end is distinct by its position.
-        tail = np.where(inside, rank[np.minimum(second, n - 1)] + n, open_at)
-        by = np.lexsort((tail, rank[open_at]))
-        sorted_at, first, tail = open_at[by], rank[open_at][by], tail[by]
-        new = np.ones(len(by), bool)
-        new[1:] = (first[1:] != first[:-1]) | (tail[1:] != tail[:-1])
-        group_start = np.ones(len(by), bool)
-        group_start[1:] = first[1:] != first[:-1]
-        # Ranks are the array slot of the group's first suffix, so they stay comparable.
-        slot = np.arange(len(by)) - np.maximum.accumulate(np.where(group_start, np.arange(len(by)), 0)) + first
-        heads = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
-        fresh = rank.copy()
-        fresh[sorted_at] = slot[heads]
-        ranks.append(fresh)
-        step *= 2
-    array = np.empty(n, np.int64)
-    array[ranks[-1]] = np.arange(n)
-    left, right = array[:-1].copy(), array[1:].copy()
-    common = np.zeros(n - 1, np.int64)
-    for level in range(len(ranks) - 1, -1, -1):
-        width, rank = 1 << level, ranks[level]
-        at, to = left + common, right + common
-        fits = (at < ends[left]) & (to < ends[right])
-        same = np.zeros(n - 1, bool)
-        i = np.flatnonzero(fits)
-        same[i] = rank[at[i]] == rank[to[i]]
-        # A rank shared at this level means width equal words, all inside the text.
-        common[same] += width
-    longest = np.zeros(n, np.int64)
-    longest[array[:-1]] = common
-    longest[array[1:]] = np.maximum(longest[array[1:]], common)
+    symbols = np.empty(n, np.int32)
+    symbols[order] = np.cumsum(np.append(0, key[order][1:] != key[order][:-1]), dtype=np.int32)
+    del key, order
+    array, rank = suffix_array(symbols)
+    # Each suffix with the one before it in the array; the first has none and shares nothing.
+    before = np.empty(n, np.int32)
+    before[array[1:]] = array[:-1]
+    before[array[0]] = n
+    place = np.arange(n, dtype=np.int32)
+    reducible = np.zeros(n, bool)
+    some = np.flatnonzero((before[1:] > 0) & (before[1:] < n)) + 1
+    reducible[some] = symbols[some - 1] == symbols[before[some] - 1]
+    at = np.flatnonzero(~reducible & (before < n)).astype(np.int32)
+    own = np.zeros(n, np.int32)
+    own[at] = _common(symbols, at, before[at])
+    last = _heads(~reducible)
+    shared = own[last] - (place - last)
+    shared[array[0]] = 0
+    longest = shared.copy()
+    longest[array[:-1]] = np.maximum(longest[array[:-1]], shared[array[1:]])
     return longest
 
 
-def _ranked(sorted_keys: np.ndarray, order: np.ndarray) -> np.ndarray:
-    new = np.ones(len(order), bool)
-    new[1:] = sorted_keys[1:] != sorted_keys[:-1]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    return rank
-
-
 def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     """Which of n positions lie in the union of the spans."""
     delta = np.bincount(starts, minlength=n + 1) - np.bincount(starts + lengths, minlength=n + 1)
@@ -105,6 +132,10 @@ def _duplicate_lines(texts: list[str]) -> list[int]:
     return out
 
 
+#: Bytes of text whose suffix array is built at once: some 60 bytes a word are held.
+SLICE = 4 << 20
+
+
 def _measured(min_repeat_words: int, window: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = filled(batch.column("text"))
@@ -118,7 +149,9 @@ def _measured(min_repeat_words: int, window: int):
         far = np.flatnonzero(longest >= min_repeat_words)
         in_repeat = covered(far, longest[far], n)
         top = np.zeros(len(offsets) - 1, np.int64)
-        np.maximum.at(top, rows[far], longest[far])
+        if len(far):
+            heads = np.flatnonzero(np.append(True, rows[far][1:] != rows[far][:-1]))
+            top[rows[far[heads]]] = np.maximum.reduceat(longest[far], heads)
         # Runs of covered words; a run never crosses into the next text.
         at = np.flatnonzero(in_repeat)
         new = np.ones(len(at), bool)
@@ -164,9 +197,10 @@ def quality_rules(
     hold at most max_covered_percent of the words, and none is longer than max_repeat_words.
     A null or empty text has no words, fails the base rule and isn't kept. Null and repeated ids
     stay as they are, a row each. Other columns of docs don't matter. No shuffle; memory is bounded
-    by a slice of text, or by one text if that is longer.
+    by a slice of SLICE bytes of text, or by one text if that is longer, however much it repeats.
     """
-    measured = map_text(only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")), _measured(min_repeat_words, window), SCHEMA)
+    chosen = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    measured = map_text(chosen, _measured(min_repeat_words, window), SCHEMA, slice_bytes=SLICE)
     n = F.col("n_words")
     failed = (n < min_words) | (100 * F.col("n_repeat_words") > max_window_percent * n)
     verdict = (100 * F.col("n_covered_words") <= max_covered_percent * n) & (F.col("longest_repeat") <= max_repeat_words)
