@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bitpack, compaction, decontaminate, html_mincut, jaccard_join, packing, quality_rules, token_counts, tokens, tool_links, toxicity
+from .common import dropped
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +30,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = toxicity.train(toxicity.labelled_documents(docs, _table(spark, sf_dir, "labels"), hold_out=True))
-    out = toxicity.score(docs, model)
-    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    rows = toxicity.training_rows(docs, _table(spark, sf_dir, "labels"), hold_out=True)
+    out = toxicity.score(docs, toxicity.train(rows))
+    dropped(rows)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))  # a null id is never learned from, nor held out
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +46,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = compaction.sharded(_table(spark, sf_dir, "documents"))
-    return store.read().select("doc_id", F.length("text").cast("long").alias("n_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "_shard")
+    return store.read().select("doc_id", "lang", "source", F.length("text").cast("long").alias("n_chars"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,9 +14,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, gathered, letters_and_digits, list_array, map_text, mixed, only, row_ids, word_hashes
+from .common import ascii_words, delete_path, gathered, letters_and_digits, map_text, mixed, new_path, only, row_ids, word_hashes, written
 
 STEMS = (3, 4, 5, 6)
+#: Bytes of text whose features are made at once: there are some 8 a word, of 16 bytes while they are sorted.
+SLICE = 2 << 20
 
 
 def features(texts: pa.Array, bits: int, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -85,34 +87,64 @@ class FTRL:
         return at.astype(np.int64), w[1:][at], float(w[0])
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", max_rows_per_label: int = 4000, epochs: int = 4, bits: int = 22, **options) -> tuple[np.ndarray, np.ndarray, float]:
-    """Learns from at most max_rows_per_label rows of either label: those with the least hashes of the id.
+#: Letters of training text in a shard; the driver holds the features of one shard at a time, some 15 bytes a letter.
+SHARD_LETTERS = 1 << 21
 
-    Rows with a null label or text aren't used. Without rows of both labels all weights are 0 and the
-    bias tells the one label there is (none: the bias is 0)."""
-    rows = only(labelled, doc_id=id_col, text=text_col, label=label_col).where("label is not null and text is not null and doc_id is not null")
+
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows_per_label: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", hold_out: bool = False) -> DataFrame:
+    """Written table (doc_id, label, text, key) of at most max_rows_per_label documents of either label:
+    those with the least hashes of the id among labelled ids that docs holds.
+
+    With hold_out only ids with crc32(id as text) mod 5 not 0. Of several labels of one id the greatest
+    counts, of several texts the least. Null ids, labels and texts take no part. Only ids meet in a
+    shuffle; the chosen ones, bounded by the parameter, are broadcast to one scan of the texts.
+    """
+    ids = only(docs, doc_id=id_col).where("doc_id is not null").select(F.col("doc_id").cast("long"))
+    rows = only(labels, doc_id=label_id_col, label=label_col).where("doc_id is not null and label is not null")
+    rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("label").cast("int").alias("label"))
+    if hold_out:
+        rows = rows.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    rows = rows.join(ids, "doc_id", "left_semi").withColumn("key", F.xxhash64("doc_id"))
     chosen = None
     for label in (0, 1):
-        # The ids alone are ordered; texts follow by a join with that bounded list.
-        some = rows.where(F.col("label") == label).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows_per_label)
+        some = rows.where(F.col("label") == label).orderBy("key", "doc_id").limit(max_rows_per_label)
         chosen = some if chosen is None else chosen.union(some)
-    rows = rows.join(F.broadcast(chosen.distinct()), "doc_id")
+    texts = only(docs, doc_id=id_col, text=text_col).where("text is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return written(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "key").agg(F.min("text").alias("text")), "training")
+
+
+def train(rows: DataFrame, epochs: int = 4, bits: int = 22, **options) -> tuple[np.ndarray, np.ndarray, float]:
+    """Learns from a table of ``training_rows`` (doc_id, label, text, key): sorted numbers of features with
+    weights that aren't 0, those weights, and the bias.
+
+    Features are made by tasks and written in shards by the key's hash; the driver reads one shard after
+    the other, epochs times, each in the order of a hash. Without rows of both labels all
+    weights are 0 and the bias tells the one label there is (none: the bias is 0).
+    """
+    spark = rows.sparkSession
+    found = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.sum(F.length("text")).alias("n")).collect()}
+    if len(found) < 2:
+        return np.empty(0, np.int64), np.empty(0), 5.0 if 1 in found else -5.0 if found else 0.0
+    shards = max(1, -(-sum(found.values()) // SHARD_LETTERS))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, offsets = features(batch.column("text"), bits)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), list_array(x, offsets, pa.int32())], ["doc_id", "label", "x"])
+        raw, ends = x.astype("<i4").tobytes(), (4 * offsets).tolist()
+        parts = pa.array([raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), batch.column("shard"), parts], ["doc_id", "label", "shard", "x"])
 
-    found = map_text(rows.select(F.col("doc_id").cast("long"), "text", F.col("label").cast("int")), run, "doc_id long, label int, x array<int>").toArrow()
-    doc_id, label = np.asarray(found["doc_id"]), np.asarray(found["label"])
-    lists = found["x"].combine_chunks()
-    values, offsets = np.asarray(lists.values), np.asarray(lists.offsets)
+    dealt = rows.select("doc_id", "label", F.pmod(F.col("key"), F.lit(shards)).cast("int").alias("shard"), "text")
+    path = new_path(spark, "features")
+    map_text(dealt, run, "doc_id long, label int, shard int, x binary", slice_bytes=SLICE).repartition("shard").write.partitionBy("shard").parquet(path)
     model = FTRL(bits, **options)
-    order = np.argsort(mixed(doc_id.astype(np.uint64) * np.uint64(2) + label.astype(np.uint64), 77), kind="stable")
-    for _ in range(epochs if len(set(label.tolist())) == 2 else 0):
-        for i in order:
-            model.learn(values[offsets[i] : offsets[i + 1]], float(label[i]))
-    if len(order) and len(set(label.tolist())) == 1:
-        return np.empty(0, np.int64), np.empty(0), 5.0 if label[0] else -5.0
+    for _ in range(epochs):
+        for shard in range(shards):
+            table = spark.read.schema("doc_id long, label int, x binary, shard int").parquet(path).where(F.col("shard") == shard).select("doc_id", "label", "x").toArrow()
+            doc_id, label = np.asarray(table["doc_id"]), np.asarray(table["label"])
+            order = np.argsort(mixed(doc_id.astype(np.uint64) * np.uint64(2) + label.astype(np.uint64), 77), kind="stable")
+            for i in order.tolist():
+                model.learn(np.frombuffer(table["x"][i].as_buffer(), "<i4"), float(label[i]))
+    delete_path(spark, path)
     return model.sparse()
 
 
@@ -129,14 +161,4 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
         total = np.clip(bias + sums[offsets[1:]] - sums[offsets[:-1]], -35, 35)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-total)))], ["doc_id", "score"])
 
-    return map_text(only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")), run, "doc_id long, score double")
-
-
-def labelled_documents(docs: DataFrame, labels: DataFrame, hold_out: bool) -> DataFrame:
-    """Documents with their label as ``label``; with hold_out only those with crc32(doc_id as text) mod 5 not 0.
-
-    Of several labels of one id the greatest counts."""
-    per_id = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    if hold_out:
-        per_id = per_id.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    return docs.select("doc_id", "text").join(per_id, "doc_id")
+    return map_text(only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")), run, "doc_id long, score double", slice_bytes=SLICE)
