@@ -3,9 +3,13 @@
 A page becomes blocks: runs of text between block-level tags. A linear classifier (tags, class and id
 words, link share, length) gives each block a cost for either label, its capacities to the two
 terminals. Neighbouring blocks, and blocks that follow each other in one parent, are joined by edges
-that cost what splitting them costs; an edge across a sectioning element costs little. The minimum cut
-labels all blocks of a page at once. Blocks whose terminal costs outweigh all their edges are settled
-beforehand, which leaves the cut the same and most pages without a flow to find.
+that cost what splitting them costs; an edge across a sectioning element costs less. The minimum cut
+labels all blocks of a page at once; costs and edges are of one size, so a block's surroundings decide where
+its own costs are weak or wrong. Blocks whose terminal costs outweigh all their edges are settled
+beforehand, which leaves the cut the same and less of a flow to find.
+
+The parser reads a page once, from left to right, with a stack and the places of open tags in it, so
+its time grows with the page's length however deep it is nested and whatever it leaves open.
 """
 
 from __future__ import annotations
@@ -20,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import filled, map_text, only
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: What can end a tag, or start a quoted value in it.
+EDGE = re.compile(r">|=\s*[\"']?")
+ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|style|hidden|aria-hidden|itemprop)(?![^\s=/])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: Fixed values of the HTML standard: elements that are empty, that hold no markup, and that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math canvas object audio video".split())
@@ -31,14 +37,15 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot option optgroup label button legend caption body html head".split())
 #: Which open elements a start tag ends, and where the search for them stops.
 IMPLIED = {
-    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select", "datalist"}),
+    "li": (("li",), ("ul", "ol", "menu", "dir")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr",), ("table",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "option": (("option",), ("select", "datalist")),
 }
+P_STOPS = ("table", "td", "th", "button")
 SECTION = frozenset("nav aside footer header form dialog menu search".split())
 #: Words in class, id or role that speak for or against main text.
 AGAINST = frozenset(
@@ -46,13 +53,19 @@ AGAINST = frozenset(
 )
 FOR = frozenset("article articlebody content main maincontent post entry story body text prose".split())
 SCALE = 1000
+#: Weights of the classifier and of edges, in one unit: what a block's own evidence or a neighbour is worth.
+BASE, PER_WORD, MOST_WORDS, LINKS = -0.4, 1 / 15, 2.0, -3.0
+TAGS = {"p": 0.8, "blockquote": 0.8, "pre": 0.8, "h1": 0.9, "h2": 0.9, "h3": 0.9, "h4": 0.9, "h5": 0.9, "h6": 0.9, "li": -0.3}
+OUTSIDE, INSIDE, HEADER = -4.0, 2.5, -5.0
+SAME_PARENT, NEXT, SIBLING, APART = 0.8, 0.4, 0.4, 0.35
 
 
 class _Node:
-    __slots__ = ("bad", "good", "link", "number", "parent", "tag")
+    __slots__ = ("bad", "block", "good", "header", "link", "number", "parent", "tag")
 
-    def __init__(self, tag: str, number: int, parent: _Node | None, bad: bool, good: bool, link: bool):
-        self.tag, self.number, self.parent, self.bad, self.good, self.link = tag, number, parent, bad, good, link
+    def __init__(self, tag: str, number: int, parent: _Node | None, bad: bool, good: bool, header: bool, link: bool):
+        self.tag, self.number, self.parent, self.bad, self.good, self.header, self.link = tag, number, parent, bad, good, header, link
+        self.block = self if parent is None or tag in BLOCK else parent.block  # the nearest block-level element
 
 
 class _Block:
@@ -63,12 +76,11 @@ class _Block:
 
 
 def _opened(tag: str, attributes: str, number: int, parent: _Node) -> _Node:
-    bad, good = parent.bad, parent.good
-    in_article = good and not bad
+    bad, good, header = parent.bad, parent.good, parent.header
     if tag in ("article", "main"):
-        bad, good = bad and parent.tag in SECTION, True
-    elif tag == "header" and in_article:
-        pass  # an article's own header: headings in it count, see _costs
+        bad, good, header = bad and parent.tag in SECTION, True, False
+    elif tag == "header" and good and not bad:
+        header = True  # an article's own header: headings in it count
     elif tag in SECTION or tag in ("button", "select", "label", "fieldset"):
         bad, good = True, False
     if attributes and tag not in ("html", "body"):
@@ -82,136 +94,174 @@ def _opened(tag: str, attributes: str, number: int, parent: _Node) -> _Node:
                     bad, good = True, False
                 elif words & FOR and not bad:
                     good = True
-    return _Node(tag, number, parent, bad, good, parent.link or tag == "a")
+    return _Node(tag, number, parent, bad, good, header, parent.link or tag == "a")
+
+
+class _Stack:
+    """Open elements, and for each tag where in the stack it is open."""
+
+    def __init__(self):
+        self.nodes, self.at, self.blocks = [_Node("", 0, None, False, False, False, False)], {}, []
+
+    def top(self) -> _Node:
+        return self.nodes[-1]
+
+    def last(self, *tags: str) -> int:
+        """Where the innermost of these tags is open; 0: none is."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def push(self, node: _Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        """Closes the element at place and all inside it."""
+        while len(self.nodes) > place:
+            node = self.nodes.pop()
+            self.at[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+
+
+def _tag_end(html: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag's > is. A quoted value may hold one; a quote that nothing closes is an ordinary character."""
+    while True:
+        found = EDGE.search(html, at)
+        if found is None:
+            return len(html)
+        at, mark = found.end(), html[found.end() - 1]
+        if mark == ">":
+            return at - 1
+        if mark in last and at <= last[mark]:
+            at = html.index(mark, at) + 1
 
 
 def page_blocks(html: str) -> list[_Block]:
     """Blocks with text, in page order; comments, scripts, styles and other raw elements are left out."""
-    root = _Node("", 0, None, False, False, False)
-    top, number, at, end = root, 0, 0, len(html)
-    blocks, now = [], _Block(root)
+    stack, number, at, end = _Stack(), 0, 0, len(html)
+    last = {mark: html.rfind(mark) for mark in "\"'>"}
+    blocks, now = [], _Block(stack.top())
 
-    def cut() -> None:
+    def finish() -> None:
         nonlocal now
         if now.parts:
             text = " ".join(unescape("".join(now.parts)).split())
             if text:
                 now.text = text
                 blocks.append(now)
-        now = _Block(top)
+        now = _Block(stack.top())
 
     def add(text: str) -> None:
         if not now.parts:
             if text.isspace():
                 return
-            now.node = top
+            now.node = stack.top()
         now.parts.append(text)
-        if top.link:
+        if stack.top().link:
             now.links += len(text)
 
+    def imply(tag: str) -> None:
+        """Closes what a block-level start tag ends: a p, and list items, cells and the like."""
+        if tag in CLOSES_P:
+            stops = P_STOPS if tag in ("li", "dt", "dd") else (*P_STOPS, "li", "dd", "dt")
+            place = stack.last("p")
+            if place > stack.last(*stops):
+                stack.cut(place)
+        if tag in IMPLIED:
+            ends, stops = IMPLIED[tag]
+            place = stack.last(*ends)
+            if place > stack.last(*stops):
+                stack.cut(place)
+
     while at < end:
-        found = TOKEN.search(html, at)
-        if not found:
-            add(html[at:])
+        start = html.find("<", at)
+        if start < 0 or start > last[">"]:  # no tag can end any more: what is left is text, up to an unfinished tag
+            rest = html[at:] if start < 0 or not NAME.match(html, start + 1) else html[at:start]
+            if rest:
+                add(rest)
             break
-        if found.start() > at:
-            add(html[at : found.start()])
-        at, tag = found.end(), found[2]
-        if not tag:
+        if start > at:
+            add(html[at:start])
+        if html.startswith("<!--", start):
+            close = html.find("-->", start + 2)
+            at = close + 3 if close >= 0 else end
             continue
-        tag = tag.lower()
-        if not found[1]:
+        if html[start + 1 : start + 2] in ("!", "?"):
+            at = html.index(">", start) + 1
+            continue
+        named = NAME.match(html, start + 1)
+        if not named:
+            add("<")
+            at = start + 1
+            continue
+        stop = _tag_end(html, named.end(), last)
+        attributes, tag, at = html[named.end() : stop], named[2].lower(), stop + 1
+        if not named[1]:
             if tag in RAW:
-                if not found[3].rstrip().endswith("/"):
-                    close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-                    at = close.end() if close else end
+                if not attributes.rstrip().endswith("/"):
+                    close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
+                    stop = html.find(">", close.end()) if close else -1
+                    at = stop + 1 if stop >= 0 else end
                 continue
             if tag == "br":
                 if now.parts:
                     now.parts.append(" ")
                 continue
             if tag in BLOCK:
-                cut()
-                ends, stops = IMPLIED.get(tag, ((), ()))
-                if tag in CLOSES_P:
-                    ends, stops = {*ends, "p"}, {*stops, "table", "td", "th", "button"}
-                    if tag not in ("li", "dt", "dd"):
-                        stops = stops | {"li", "dd", "dt"}
-                node = top
-                while node.parent and node.tag not in stops:
-                    if node.tag in ends:
-                        top = node.parent
-                        if tag not in ("li", "dt", "dd") or node.tag != "p":
-                            break
-                    node = node.parent
+                finish()
+                imply(tag)
             if tag not in VOID:
                 number += 1
-                top = _opened(tag, found[3], number, top)
-                if tag in BLOCK:
-                    now.node = top
+                stack.push(_opened(tag, attributes, number, stack.top()))
+            if tag in BLOCK:
+                now.node = stack.top()
         else:
-            node = top
-            while node.parent and node.tag != tag:
-                # A stray inline end tag doesn't close blocks.
-                if tag not in BLOCK and node.tag in BLOCK:
-                    node = root
-                    break
-                node = node.parent
-            if node.parent:
-                if tag in BLOCK:
-                    cut()
-                top = node.parent
+            place = stack.last(tag)
+            if tag in BLOCK:
+                finish()
+            elif stack.blocks and place < stack.blocks[-1]:
+                place = 0  # a stray inline end tag doesn't close blocks
+            if place:
+                stack.cut(place)
                 if tag in BLOCK:
-                    now.node = top
-            elif tag in BLOCK:
-                cut()
-    cut()
+                    now.node = stack.top()
+    finish()
     return blocks
 
 
-def _parent(block: _Block) -> _Node:
-    node = block.node
-    while node.tag not in BLOCK and node.parent:
-        node = node.parent
-    return node
-
-
-def _costs(block: _Block, own: _Node) -> int:
+def block_cost(block: _Block) -> int:
     """Positive: speaks for main text; what labelling it otherwise costs."""
-    text, node = block.text, block.node
-    words = text.count(" ") + 1
-    value = -0.4 + min(2.0, words / 15)
-    value -= 3.0 * min(1.0, block.links / max(1, len(text)))
-    if own.tag in ("p", "blockquote", "pre"):
-        value += 0.8
-    elif own.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        value += 0.9
-    elif own.tag == "li":
-        value -= 0.3
+    own, node, text = block.node.block, block.node, block.text
+    value = BASE + min(MOST_WORDS, PER_WORD * (text.count(" ") + 1)) + LINKS * min(1.0, block.links / max(1, len(text))) + TAGS.get(own.tag, 0.0)
     if node.bad:
-        value -= 12.0
+        value += OUTSIDE
     elif node.good:
-        value += 9.0
-        up = own
-        while up.parent and up.tag not in ("article", "main"):
-            if up.tag == "header" and own.tag[:1] != "h":
-                value -= 18.0
-                break
-            up = up.parent
+        value += INSIDE
+        if node.header and own.tag[:1] != "h":
+            value += HEADER
     return round(SCALE * value)
 
 
-def _edges(blocks: list[_Block], own: list[_Node]) -> list[tuple[int, int, int]]:
+def block_edges(blocks: list[_Block]) -> list[tuple[int, int, int]]:
+    """Adjacent blocks, and blocks that follow each other in one parent; less where only one of them is in a
+    sectioning element, or one named as such."""
     out, last_in = [], {}
+    own = [b.node.block for b in blocks]
+
+    def edge(i: int, j: int, weight: float) -> None:
+        apart = (blocks[i].node.bad, blocks[i].node.good) != (blocks[j].node.bad, blocks[j].node.good)
+        out.append((i, j, round(SCALE * weight * (APART if apart else 1.0))))
+
     for i, node in enumerate(own):
         above = node.parent or node
         if i:
             same = own[i - 1].parent is node.parent or own[i - 1] is above or own[i - 1].parent is node
-            apart = (blocks[i - 1].node.bad, blocks[i - 1].node.good) != (blocks[i].node.bad, blocks[i].node.good)
-            out.append((i - 1, i, round(SCALE * (0.05 if apart else 0.8 if same else 0.3))))
+            edge(i - 1, i, SAME_PARENT if same else NEXT)
         before = last_in.get(above.number)
         if before is not None and before < i - 1:
-            out.append((before, i, round(SCALE * 0.4)))
+            edge(before, i, SIBLING)
         last_in[above.number] = i
     return out
 
@@ -307,17 +357,17 @@ def main_text(html: str | None) -> str:
     blocks = page_blocks(html or "")
     if not blocks:
         return ""
-    own = [_parent(b) for b in blocks]
-    labels = minimum_cut([_costs(b, o) for b, o in zip(blocks, own, strict=True)], _edges(blocks, own))
+    labels = minimum_cut([block_cost(b) for b in blocks], block_edges(blocks))
     return "\n\n".join(b.text for b, keep in zip(blocks, labels, strict=True) if keep)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars), a row for each row of pages, nulls and repeats kept. A null or
-    empty html, and one without main text, gives an empty text. Nothing is cut or capped."""
+    empty html, and one without main text, gives an empty text; an empty table gives none. Nothing is cut or
+    capped: a page of any length and depth is read whole. Other columns, whatever their names, play no part. No shuffle."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [main_text(x) for x in filled(batch.column("html")).to_pylist()]
+        texts = list(map(main_text, filled(batch.column("html")).to_pylist()))
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     chosen = only(pages, page_id=id_col, url=url_col, html=html_col).withColumn("page_id", F.col("page_id").cast("long"))
