@@ -2,18 +2,22 @@
 
 An append writes small immutable Parquet shards, never touching others. Compaction takes tiers of
 similarly sized shards that have ``fan_in`` members or more and merges each into files of the target
-size, reading and writing once without a shuffle. A state is a manifest version, a small Parquet
-table of shards that is renamed into place when it is whole; readers see the versions before or after, never
-between. Files that no version needs any more go with ``vacuum``.
+size, reading and writing once without a shuffle. A state is a manifest, a small Parquet table of shards
+in a folder of its own. A version is a file that is created only if it doesn't exist and names its
+manifest, which is whole by then: of two writers of one version the second fails, and readers see the
+version before or after, never between. Creating a file if absent is atomic on HDFS and local disks; it doesn't
+need folders to be renamed at once, which object stores can't. Files that no kept version needs go with ``vacuum``.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import delete_path, new_path
 
@@ -23,38 +27,62 @@ MANIFEST = "shard string, bytes long, n_rows long, tier int, run string"
 
 
 class ShardStore:
-    """Shards and manifests under ``path``, a folder that all executors share; one writer at a time
-    (of two that commit the same version, the second fails)."""
+    """Shards and manifests under ``path``, a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, path: str, target_bytes: int = 128 << 20, fan_in: int = 4, base_bytes: int = 1 << 20):
+    def __init__(self, spark: SparkSession, path: str, target_bytes: int = 128 << 20, fan_in: int = 4, base_bytes: int = 1 << 20, keep_versions: int = 2):
         self.spark, self.path, self.target_bytes, self.fan_in, self.base_bytes = spark, path.rstrip("/"), target_bytes, fan_in, base_bytes
+        self.keep_versions = max(1, keep_versions)
 
     def _fs(self, path: str):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
+    def versions(self) -> list[int]:
+        """All versions there are, ascending."""
+        fs, at = self._fs(f"{self.path}/versions")
+        if not fs.exists(at):
+            return []
+        names = [x.getPath().getName() for x in fs.listStatus(at) if x.getLen() > 0]
+        return sorted(int(x[1:]) for x in names if x[:1] == "v" and x[1:].isdigit())
+
     def version(self) -> int:
         """The newest version; 0 before the first commit."""
-        fs, at = self._fs(f"{self.path}/manifests")
-        if not fs.exists(at):
-            return 0
-        names = [x.getPath().getName() for x in fs.listStatus(at)]
-        return max((int(x[1:]) for x in names if x[:1] == "v" and x[1:].isdigit()), default=0)
+        return max(self.versions(), default=0)
 
-    def manifest(self, version: int | None = None) -> DataFrame:
-        version = self.version() if version is None else version
+    def _head(self, version: int) -> dict:
+        """What a version's file says: its manifest's folder and the rows' schema."""
         if not version:
-            return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifests/v{version:08d}")
-
-    def _commit(self, manifest: DataFrame, version: int) -> int:
-        """Writes aside, then renames: a version exists whole or not at all."""
-        aside = f"{self.path}/pending/{uuid.uuid4().hex}"
-        manifest.select("shard", "bytes", "n_rows", "tier", "run").coalesce(1).write.parquet(aside)
-        fs, to = self._fs(f"{self.path}/manifests/v{version:08d}")
-        fs.mkdirs(to.getParent())
-        if fs.exists(to) or not fs.rename(self._fs(aside)[1], to):
-            raise RuntimeError(f"version {version} was committed by another writer")
+            return {"manifest": None, "schema": None}
+        fs, at = self._fs(f"{self.path}/versions/v{version:08d}")
+        stream = fs.open(at)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def manifest(self, version: int | None = None) -> DataFrame:
+        """The shards of a version, the newest by default; without versions, none."""
+        name = self._head(self.version() if version is None else version)["manifest"]
+        if name is None:
+            return self.spark.range(0).selectExpr(*[f"cast(null as {kind}) as {column}" for column, kind in (x.split() for x in MANIFEST.split(", "))])
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifests/{name}")
+
+    def schema(self, version: int | None = None) -> StructType:
+        """The rows' schema in a version: columns of all appends, in the order of their coming."""
+        said = self._head(self.version() if version is None else version)["schema"]
+        return StructType.fromJson(json.loads(said)) if said else StructType([])
+
+    def _commit(self, manifest: DataFrame, version: int, schema: StructType) -> int:
+        name = uuid.uuid4().hex
+        manifest.select("shard", "bytes", "n_rows", "tier", "run").coalesce(1).write.parquet(f"{self.path}/manifests/{name}")
+        fs, at = self._fs(f"{self.path}/versions/v{version:08d}")
+        fs.mkdirs(at.getParent())
+        try:
+            stream = fs.create(at, False)  # fails where the file exists
+        except Exception as error:
+            raise RuntimeError(f"version {version} was committed by another writer") from error
+        stream.write(bytearray(json.dumps({"manifest": name, "schema": schema.json()}).encode()))
+        stream.close()
         return version
 
     def _tier(self, size):
@@ -72,11 +100,20 @@ class ShardStore:
         return found.select("shard", "bytes", "n_rows", self._tier(F.col("bytes")).alias("tier"), F.lit(run).alias("run"))
 
     def append(self, rows: DataFrame) -> int:
-        """Adds rows as new shards, one a task, in one version."""
+        """Adds rows as new shards, one a task, in one version. Columns that the store has not had come in; of a
+        column of one name, case apart, the kind must be the one before."""
+        version = self.version()
+        schema = self.schema(version)
+        had = {x.name.lower(): x for x in schema.fields}
+        for x in rows.schema.fields:
+            old = had.get(x.name.lower())
+            if old is None:
+                schema = schema.add(x.name, x.dataType, True)
+            elif old.dataType != x.dataType:
+                raise ValueError(f"column {x.name} was {old.dataType.simpleString()}, not {x.dataType.simpleString()}")
         run = uuid.uuid4().hex
         rows.write.parquet(f"{self.path}/data/{run}")
-        version = self.version()
-        return self._commit(self.manifest(version).unionByName(self._described(run)), version + 1)
+        return self._commit(self.manifest(version).unionByName(self._described(run)), version + 1, schema)
 
     def _groups(self, manifest: DataFrame) -> list:
         """Tiers to merge, the smallest first: (tier, shard names, bytes): metadata of the merges, not rows."""
@@ -91,7 +128,7 @@ class ShardStore:
         tier differ by at most fan_in in size, so dealing them evenly gives files of about one size."""
         while True:
             version = self.version()
-            manifest = self.manifest(version)
+            manifest, schema = self.manifest(version), self.schema(version)
             groups = self._groups(manifest)
             if not groups:
                 return version
@@ -99,36 +136,61 @@ class ShardStore:
             for tier, shards, size in groups:
                 run = uuid.uuid4().hex
                 files = min(len(shards) // 2, max(1, math.ceil(size / self.target_bytes)))
-                self.spark.read.option("mergeSchema", "true").parquet(*shards).coalesce(files).write.parquet(f"{self.path}/data/{run}")
+                self.spark.read.schema(schema).parquet(*shards).coalesce(files).write.parquet(f"{self.path}/data/{run}")
                 kept = kept.where(~((F.col("tier") == tier) & (F.col("bytes") < self.target_bytes / 2)))
                 added.append(self._described(run))
             for more in added:
                 kept = kept.unionByName(more)
-            self._commit(kept, version + 1)
+            self._commit(kept, version + 1, schema)
 
     def vacuum(self) -> None:
-        """Deletes data of runs and manifests that the newest version doesn't name."""
-        version = self.version()
-        needed = {r["run"] for r in self.manifest(version).select("run").coalesce(1).distinct().collect()}
-        for folder, keep in (("data", needed), ("manifests", {f"v{version:08d}"}), ("pending", set())):
+        """Deletes all versions but the newest keep_versions, and data and manifests that none of those names.
+        A writer's data that no version names yet would go too: vacuum when none is writing."""
+        kept = self.versions()[-self.keep_versions :]
+        runs = None
+        for version in kept:
+            some = self.manifest(version).select("run")
+            runs = some if runs is None else runs.unionByName(some)
+        needed = {r["run"] for r in runs.coalesce(1).distinct().collect()} if kept else set()
+        for folder, keep in (("versions", {f"v{v:08d}" for v in kept}), ("manifests", {self._head(v)["manifest"] for v in kept}), ("data", needed)):
             fs, at = self._fs(f"{self.path}/{folder}")
             if fs.exists(at):
                 for x in fs.listStatus(at):
                     if x.getPath().getName() not in keep:
                         delete_path(self.spark, x.getPath().toString())
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """All rows of a version with the shard's name and tier as ``_shard`` and ``_tier``. An empty store raises."""
-        manifest = self.manifest(version)
-        shards = sorted(r["shard"] for r in manifest.select("shard").collect())
-        rows = self.spark.read.option("mergeSchema", "true").parquet(*shards)
-        return rows.withColumn("_shard", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    def read(self, version: int | None = None, shard_col: str = "_shard", tier_col: str = "_tier") -> DataFrame:
+        """All rows of a version with their shard's name and tier as shard_col and tier_col; where the rows
+        have columns of those names, case apart, underscores go before them until they are free. A
+        version without shards or rows gives an empty table of the rows' schema. Columns that came
+        with a later append are null in rows before."""
+        version = self.version() if version is None else version
+        schema, manifest = self.schema(version), self.manifest(version)
+        taken = {x.lower() for x in schema.names}
+        named = []
+        for name in (shard_col, tier_col):
+            while name.lower() in taken:
+                name = f"_{name}"
+            taken.add(name.lower())
+            named.append(name)
+        shards = sorted((r["tier"], r["shard"]) for r in manifest.select("tier", "shard").collect())
+        out = None
+        for tier in sorted({t for t, _ in shards}):  # tiers are few: their number is the logarithm of a shard's size
+            rows = self.spark.read.schema(schema).parquet(*[x for t, x in shards if t == tier])
+            path = rows.metadataColumn("_metadata")["file_path"]
+            rows = rows.select("*", F.element_at(F.split(path, "/"), -1).alias(named[0]), F.lit(tier).alias(named[1]))
+            out = rows if out is None else out.unionAll(rows)
+        if out is None:
+            kinds = [(x.name, x.dataType.simpleString()) for x in schema.fields] + [(named[0], "string"), (named[1], "int")]
+            return self.spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in kinds])
+        return out
 
 
 def sharded(rows: DataFrame, arrivals: int = 6, path: str | None = None, key: str = "doc_id", **options) -> ShardStore:
     """A store that took rows in as many appends as ``arrivals``, by a hash of the key, compacting after
     each as a service would; rows with a null key arrive too. Columns of any names and nulls in them
-    pass through as they are; repeated rows stay repeated. Empty arrivals add no rows."""
+    pass through as they are; repeated rows stay repeated. Empty arrivals add no rows, and a store of an empty table
+    is an empty table of the same columns."""
     spark = rows.sparkSession
     store = ShardStore(spark, path or new_path(spark, "shards"), **options)
     for arrival in range(arrivals):
