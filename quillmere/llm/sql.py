@@ -103,6 +103,9 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
 
+OP6 = "SELECT doc_id, lang, source, length(text) AS n_chars, md5(text) AS text_md5 FROM documents"
+
+
 def _json_string(text: str) -> str:
     out = f"replace(replace({text}, '\\', '\\\\'), '\"', '\\\"')"
     for code in range(1, 32):
@@ -112,31 +115,47 @@ def _json_string(text: str) -> str:
 
 
 def _op10() -> str:
-    prompt, result = (f"coalesce({_json_string(x)}, 'null')" for x in ("prompt", "result"))
-    call = f"""'{{"arguments":{{"prompt":' || {prompt} || ',"turn":' || turn || '}},"id":"' || call_id || '","name":"respond"}}'"""
+    prompt, result, role, message = (f"coalesce({_json_string(x)}, 'null')" for x in ("prompt", "result", "role", "message"))
+    call = f"""'{{"arguments":{{"prompt":' || {prompt} || ',"turn":' || coalesce(CAST(turn AS VARCHAR), 'null') || '}},"id":' || coalesce('"' || call_id || '"', 'null') || ',"name":"respond"}}'"""
+    told = f"""'{{"role":' || {role} || ',"text":' || {message} || ',"turn":' || coalesce(CAST(turn AS VARCHAR), 'null') || '}}'"""
     return f"""
-WITH calls AS (
+WITH c AS (
   SELECT conv_id, conv_id || ':' || turn AS call_id, turn, text AS prompt FROM conversations WHERE role = 'user'
-), results AS (
+), r AS (
   SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, turn AS result_turn, text AS result FROM conversations WHERE role = 'assistant'
-), best AS (
-  SELECT conv_id, call_id, min(result_turn) AS result_turn, min(result) AS result, count(*) AS n FROM results GROUP BY ALL
+), known AS (
+  SELECT conv_id, call_id, min(turn) AS turn FROM c WHERE call_id IS NOT NULL GROUP BY ALL
+), due AS (
+  SELECT r.*, k.turn IS NOT NULL AND result_turn >= k.turn AS ok,
+    row_number() OVER (PARTITION BY r.conv_id, r.call_id, k.turn IS NOT NULL AND result_turn >= k.turn ORDER BY result_turn, result NULLS FIRST) AS nth,
+    count(*) OVER (PARTITION BY r.conv_id, r.call_id) AS n
+  FROM r LEFT JOIN known k ON k.conv_id = r.conv_id AND k.call_id = r.call_id
+), chain AS (
+  SELECT conv_id, call_id, turn,
+    sum(CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.conv_id = k.conv_id AND r.result_turn = k.turn - 1) AND EXISTS (SELECT 1 FROM known b WHERE b.conv_id = k.conv_id AND b.turn = k.turn - 2)
+      THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island
+  FROM known k
+), levels AS (
+  SELECT conv_id, call_id, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS level FROM chain
 ), x AS (
-  SELECT c.conv_id, c.call_id, c.turn, b.result_turn, CASE WHEN b.call_id IS NULL THEN 'pending' ELSE 'linked' END AS status,
-    coalesce(b.n, 0) AS n_results, c.prompt, b.result
-  FROM calls c LEFT JOIN best b USING (conv_id, call_id)
+  SELECT c.conv_id, c.call_id, c.turn, d.result_turn, CASE WHEN d.call_id IS NULL THEN 'pending' ELSE 'linked' END AS status, coalesce(d.n, 0) AS n_results,
+    coalesce(level, 0) AS level, prompt, result, NULL AS role, NULL AS message
+  FROM c LEFT JOIN due d ON d.ok AND d.nth = 1 AND d.conv_id = c.conv_id AND d.call_id = c.call_id LEFT JOIN levels v ON v.conv_id = c.conv_id AND v.call_id = c.call_id
+  UNION ALL
+  SELECT d.conv_id, d.call_id, NULL, result_turn, CASE WHEN ok THEN 'surplus' ELSE 'orphan' END, 0, CASE WHEN ok THEN level ELSE 0 END, NULL, result, NULL, NULL
+  FROM due d LEFT JOIN levels v ON v.conv_id = d.conv_id AND v.call_id = d.call_id WHERE NOT ok OR nth > 1
   UNION ALL
-  SELECT conv_id, call_id, NULL, result_turn, 'orphan', 0, NULL, result FROM results
-  WHERE (conv_id, call_id) NOT IN (SELECT (conv_id, call_id) FROM calls)
+  SELECT conv_id, NULL, turn, NULL, 'message', 0, 0, NULL, NULL, role, text FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 )
-SELECT conv_id, call_id, turn, result_turn, status, CAST(n_results AS BIGINT) AS n_results,
-  lpad(CAST(coalesce(turn, result_turn) AS VARCHAR), 19, '0') || CASE WHEN status = 'orphan' THEN '.1' ELSE '.0' END AS order_key,
+SELECT conv_id, call_id, turn, result_turn, status, CAST(n_results AS BIGINT) AS n_results, CAST(level AS BIGINT) AS level,
+  lpad(CAST(coalesce(turn, result_turn, 0) AS VARCHAR), 19, '0') || '.' || lpad(CAST(2 * level + CASE WHEN status IN ('orphan', 'surplus') THEN 1 ELSE 0 END AS VARCHAR), 19, '0') AS order_key,
   NOT problem AS valid,
   CASE WHEN NOT problem THEN '' WHEN prompt IS NULL THEN 'prompt: missing' WHEN length(prompt) < 1 THEN 'prompt: too short' ELSE 'prompt: too long' END AS problems,
-  '{{"call":' || CASE WHEN status = 'orphan' THEN 'null' ELSE {call} END || ',"conversation":' || conv_id || ',"result":' || {result} || ',"status":"' || status || '"}}' AS json
-FROM (SELECT *, status <> 'orphan' AND (prompt IS NULL OR length(prompt) < 1 OR length(prompt) > 100000) AS problem FROM x)
+  '{{"call":' || CASE WHEN status IN ('linked', 'pending') THEN {call} ELSE 'null' END || ',"conversation":' || coalesce(CAST(conv_id AS VARCHAR), 'null')
+    || CASE WHEN status = 'message' THEN ',"message":' || {told} ELSE '' END || ',"result":' || {result} || ',"status":"' || status || '"}}' AS json
+FROM (SELECT *, status IN ('linked', 'pending') AND (prompt IS NULL OR length(prompt) < 1 OR length(prompt) > 100000) AS problem FROM x)
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op2_ngram_jaccard": OP2, "op5_decontamination": OP5, "op10_tool_links": _op10()}
+    return {"op1_quality_rules": OP1, "op2_ngram_jaccard": OP2, "op5_decontamination": OP5, "op6_compaction": OP6, "op10_tool_links": _op10()}
