@@ -1,15 +1,19 @@
 """Word-shingle Jaccard join by prefix filters under several global token orders.
 
-A shingle is a 64-bit hash. An order ranks shingles by how common they are (a fixed-size counting
-sketch over all documents, in powers of two) and then by a seeded hash, so each seed is another
-global order. Two sets that reach the threshold share a shingle within their prefixes under *every*
-order; pairs come from the first order, must have bitmaps that leave room for the threshold, must also meet
-under the other orders, and only then are whole sets compared. Rare shingles come first, so passages that many texts share stay out of prefixes.
-
-Equal sets are one class. In a bucket of classes that share a prefix shingle, each is first compared
-with two members, the one with the fewest rarer shingles and one by hash; buckets whose members have by then joined one component need nothing more,
-in the others all pairs from different components are compared. So a large group of near copies
-costs a few comparisons a member, and no link between different components is missed.
+A shingle is a 64-bit hash. Two sets that reach the threshold share a shingle within their prefixes under
+*every* global order of shingles. There are three: rare first by a fixed-size counting sketch over all documents
+(in powers of two, then a hash); a hash alone, which knows nothing of how common shingles are; and rare first
+by a second sketch of other hash ranges, then the hash backwards. Pairs come from the first order, must
+meet under the other two, must have bitmaps that leave room for the threshold, and only then are whole sets compared. Rare
+shingles come first, so passages that many texts share stay out of prefixes of the first order.
+
+Equal sets are one class. A bucket holds the classes that share a prefix shingle. In buckets of up to SMALL
+classes all pairs are candidates. A larger one is dealt by a hash into more sub-buckets the commoner its shingle's
+hash range is; each class is compared with two members of its sub-bucket, the one with the fewest rarer shingles
+and one by hash, and those with two of the whole bucket. Buckets whose members have by then joined one component
+need nothing more; in the others, pairs from different components are candidates, in buckets of over MIXED
+classes only where they share a prefix shingle of the second order too, by a join on both. So a large group of near copies costs a few comparisons a
+member, no task holds a whole large bucket, and no link between different components is missed.
 """
 
 from __future__ import annotations
@@ -18,18 +22,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_words, dropped, gathered, list_array, lower_ascii, map_text, mixed, only, row_ids, text_batches, word_hashes, written
 from .components import components
 
 CHUNK = 1 << 12
+#: Branches of the tree that adds the tasks' sketches up.
+BRANCHES = 64
 #: Bits of a set's bitmap.
 BITMAP = 1 << 10
 #: Sets whose bitmaps are counted at once.
 BITMAP_ROWS = 512
-
+#: Classes of a bucket whose pairs are all candidates, before and after components are known.
+SMALL, MIXED = 16, 64
+#: A bucket has 2**s sub-buckets, s being by how many powers of two over 2**FLAT times the median its shingle's range is, up to SPREAD.
+FLAT, SPREAD = 2, 8
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Each text's shingles in order, repeats included, one text after the other, and where each text's begin.
@@ -76,10 +86,37 @@ def bitmaps(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.reshape(-1).view(np.int64)
 
 
-def prefixes(values: np.ndarray, offsets: np.ndarray, levels: np.ndarray, percent: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles in each set's prefix under the order of ``seed``, and where each set's begin."""
-    bits = int(levels.size).bit_length() - 1
-    key = (levels[(values >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (mixed(values, seed) >> np.uint64(8))
+class _Orders:
+    """Key functions of the global orders from two sketches' levels (arrays of 2**bits)."""
+
+    def __init__(self, levels: np.ndarray):
+        self.levels, self.bits = levels, int(levels.shape[1]).bit_length() - 1
+        some = levels[0][levels[0] > 0]
+        self.median = int(np.median(some)) if len(some) else 0
+
+    def _level(self, sketch: int, values: np.ndarray) -> np.ndarray:
+        return self.levels[sketch][_ranges(values, sketch, self.bits)]
+
+    def key(self, order: int, values: np.ndarray) -> np.ndarray:
+        if order == 2:
+            return mixed(values, 2)
+        tail = mixed(values, order) >> np.uint64(8)
+        if order == 3:
+            tail ^= np.uint64((1 << 56) - 1)
+        return (self._level(order // 2, values).astype(np.uint64) << np.uint64(56)) | tail
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        return np.clip(self._level(0, values).astype(np.int64) - self.median - FLAT, 0, SPREAD).astype(np.int8)
+
+
+def _ranges(values: np.ndarray, sketch: int, bits: int) -> np.ndarray:
+    """The hash range of each shingle in a sketch; the two sketches' ranges have nothing to do with each other."""
+    return ((mixed(values, 301) if sketch else values) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def prefixes(values: np.ndarray, offsets: np.ndarray, orders: _Orders, percent: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles in each set's prefix under an order, and where each set's begin."""
+    key = orders.key(order, values)
     by = np.empty(len(values), np.int64)
     for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         by[low:high] = key[low:high].argsort()
@@ -90,144 +127,143 @@ def prefixes(values: np.ndarray, offsets: np.ndarray, levels: np.ndarray, percen
 
 
 def common_levels(docs: DataFrame, size: int, bits: int) -> np.ndarray:
-    """For each of 2**bits hash ranges, the bit length of the number of shingles of all documents in it, repeats included.
+    """For each of 2**bits hash ranges of either sketch, the bit length of the number of shingles of all documents in it,
+    repeats included.
 
-    Its size is fixed by ``bits``. Each task adds up its own counts and sends them in chunks."""
+    Its size is fixed by ``bits``. Each task adds up its own counts and sends them in chunks, in as many bytes a count as
+    they need; those are added up in BRANCHES parts first, then whole, so no task gets more than a small share."""
     chunk = min(CHUNK, 1 << bits)
+    schema = "chunk int, branch int, counts binary"
+
+    def packed(parts: dict[int, np.ndarray], branch: int) -> pa.RecordBatch:
+        kinds = [np.min_scalar_type(int(x.max())) for x in parts.values()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(parts), pa.int32()), pa.array([branch] * len(parts), pa.int32()), pa.array([x.astype(k).tobytes() for x, k in zip(parts.values(), kinds, strict=True)], pa.binary())],
+            ["chunk", "branch", "counts"],
+        )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_cpu_count(1)
-        total = np.zeros(1 << bits, np.int64)
-        seen = False
+        total = np.zeros((2, 1 << bits), np.int64)
         for batch in text_batches(batches):
             values, _ = shingles(batch.column(0), size)
-            total += np.bincount((values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-            seen = True
-        if seen:
-            parts = total.reshape(-1, chunk)
-            wide = np.int32 if total.max() < 1 << 31 else np.int64
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.astype(wide).tobytes() for x in parts], pa.binary())], ["chunk", "counts"])
+            for sketch in (0, 1):
+                total[sketch] += np.bincount(_ranges(values, sketch, bits), minlength=1 << bits)
+        parts = {i: x for i, x in enumerate(total.reshape(-1, chunk)) if x.any()}
+        if parts:
+            yield packed(parts, TaskContext.get().partitionId() % BRANCHES)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
+        totals: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for at, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(counts, np.int32 if len(counts) == 4 * chunk else np.int64).astype(np.int64)
-                totals[at] = totals.get(at, 0) + x
-        if totals:
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], ["chunk", "counts"])
+            for at, branch, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = np.frombuffer(counts, f"<u{len(counts) // chunk}").astype(np.int64)
+                totals[at, branch] = totals.get((at, branch), 0) + x
+        for branch in {b for _, b in totals}:
+            yield packed({a: x for (a, b), x in totals.items() if b == branch}, branch)
+
+    counted = docs.select("text").mapInArrow(count, schema).repartition("chunk", "branch").mapInArrow(add, schema)
+    counted = counted.withColumn("branch", F.lit(0)).repartition("chunk").mapInArrow(add, schema)
+    out = np.zeros((2 << bits) // chunk * chunk, np.int64)
+    for at, _, counts in counted.toLocalIterator():
+        raw = bytes(counts)
+        out[at * chunk : (at + 1) * chunk] = np.frombuffer(raw, f"<u{len(raw) // chunk}")
+    return np.frexp(out.astype(np.float64))[1].astype(np.uint8).reshape(2, -1)
+
+
+PROFILE = "doc_id long, n_shingles long, fp1 long, fp2 long, prefix array<long>, spread array<tinyint>, p2 array<int>, p3 array<int>, bits array<long>"
+
 
-    counted = docs.select("text").mapInArrow(count, "chunk int, counts binary").repartition(16, "chunk").mapInArrow(add, "chunk int, counts binary")
-    out = np.zeros(1 << bits, np.int64)
-    for at, counts in counted.toLocalIterator():
-        out[at * chunk : (at + 1) * chunk] = np.frombuffer(bytes(counts), np.int64)
-    return np.frexp(out.astype(np.float64))[1].astype(np.uint8)
+def _spreads(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A list for each set; null where all are 0, as nearly always."""
+    some = np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(values > 0)))[offsets]))
+    kept = np.zeros(len(offsets) - 1, bool)
+    kept[some] = True
+    lengths = np.where(kept, np.diff(offsets), 0)
+    at = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(values[gathered(offsets[:-1], lengths)], pa.int8()), mask=pa.array(~kept))
 
 
 def _profiled(size: int, percent: int, levels):
+    """Set size, a fingerprint of the set, prefixes (32 bits a shingle do for the further orders, as they only rule out) and bitmap."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        orders = _Orders(levels.value)
         values, offsets = shingle_sets(batch.column("text"), size)
-        first, first_at = prefixes(values, offsets, levels.value, percent, 1)
+        first, first_at = prefixes(values, offsets, orders, percent, 1)
         sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(values, seed)))) for seed in (101, 102)]
         prints = [(x[offsets[1:]] - x[offsets[:-1]]).view(np.int64) for x in sums]
+        more = [list_array((x >> np.uint64(32)).astype(np.uint32).view(np.int32), at, pa.int32()) for x, at in (prefixes(values, offsets, orders, percent, k) for k in (2, 3))]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 pa.array(np.diff(offsets)),
                 *map(pa.array, prints),
                 list_array(first.view(np.int64), first_at, pa.int64()),
+                _spreads(orders.spread(first), first_at),
+                *more,
                 list_array(bitmaps(values, offsets), np.arange(len(offsets)) * (BITMAP // 64), pa.int64()),
             ],
-            ["doc_id", "n_shingles", "fp1", "fp2", "prefix", "bits"],
+            ["doc_id", "n_shingles", "fp1", "fp2", "prefix", "spread", "p2", "p3", "bits"],
         )
 
     return run
 
 
-def _detailed(size: int, percent: int, levels, orders: int):
-    """Whole sets and the prefixes under the further orders."""
-
+def _sets(size: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         values, offsets = shingle_sets(batch.column("text"), size)
-        more = [list_array(x.view(np.int64), at, pa.int64()) for x, at in (prefixes(values, offsets, levels.value, percent, k) for k in range(2, orders + 1))]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), list_array(values.view(np.int64), offsets, pa.int64()), *more], ["node", "set", *(f"p{k}" for k in range(2, orders + 1))])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), list_array(values.view(np.int64), offsets, pa.int64())], ["node", "set"])
 
     return run
 
 
 class _Verifier:
-    """Compares pairs of classes: bitmaps and prefixes under the further orders first, whole sets of what is left."""
+    """Compares pairs of classes: prefixes under the further orders, then bitmaps, then whole sets of what is left."""
 
-    def __init__(self, docs: DataFrame, profiles: DataFrame, size: int, percent: int, levels, orders: int, broadcast_rows: int):
-        self.docs, self.profiles, self.percent, self.broadcast_rows = docs, profiles, percent, broadcast_rows
-        self.detail = _detailed(size, percent, levels, orders)
-        self.names = [f"p{k}" for k in range(2, orders + 1)]
+    def __init__(self, docs: DataFrame, profiles: DataFrame, size: int, percent: int, broadcast_rows: int):
+        self.docs, self.profiles, self.size, self.percent, self.broadcast_rows = docs, profiles, size, percent, broadcast_rows
 
     def _ends(self, pairs: DataFrame) -> tuple[DataFrame, bool]:
         """The pairs' nodes, and whether they are few enough to broadcast, at 8 bytes each."""
         nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "nodes")
         return nodes, nodes.count() <= self.broadcast_rows
 
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """Written table of those (a, b) whose bitmaps leave room for the threshold."""
+    def met(self, pairs: DataFrame, bitmap: bool = True) -> DataFrame:
+        """Those (a, b) that share a prefix shingle under the second and third order and, with bitmap, whose bitmaps
+        leave room for the threshold."""
         nodes, small = self._ends(pairs)
-        bits = self.profiles.where("n_shingles > 0").join(F.broadcast(nodes) if small else nodes, "doc_id").select("doc_id", "n_shingles", "bits")
+        ends = self.profiles.where("n_shingles > 0").join(F.broadcast(nodes) if small else nodes, "doc_id").select("doc_id", "n_shingles", "p2", "p3", "bits")
         found = pairs.select("a", "b")
         for end in "ab":
-            found = found.join(bits.select(F.col("doc_id").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")), end)
-        differ = " + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(BITMAP // 64))
-        found = written(found.where(f"{100 + self.percent} * (n_a + n_b - ({differ})) >= {2 * self.percent} * (n_a + n_b)").select("a", "b").distinct(), "near")
+            found = found.join(ends.select(F.col("doc_id").alias(end), *[F.col(x).alias(f"{x}_{end}") for x in ("n_shingles", "p2", "p3", "bits")]), end)
+        found = found.where(F.arrays_overlap("p2_a", "p2_b")).where(F.arrays_overlap("p3_a", "p3_b"))
+        if bitmap:
+            n = F.col("n_shingles_a") + F.col("n_shingles_b")
+            differ = F.expr(" + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(BITMAP // 64)))
+            found = found.where((100 + self.percent) * (n - differ) >= 2 * self.percent * n)
+        found = written(found.select("a", "b").distinct(), "met")
         dropped(nodes)
         return found
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Written table of those (a, b) that reach the threshold; pairs is a written table."""
-        pairs = near = self.near(pairs)
-        nodes, small = self._ends(pairs)
-        chosen = self.docs.join(F.broadcast(nodes) if small else nodes, "doc_id")
-        arrays = "".join(f", {x} array<long>" for x in self.names)
-        details = written(map_text(chosen, self.detail, f"node long, set array<long>{arrays}"), "sets")
-        for end in "ab":
-            side = details.select(F.col("node").alias(end), *[F.col(x).alias(f"{x}_{end}") for x in self.names])
-            pairs = pairs.join(side, end)
-        for x in self.names:
-            pairs = pairs.where(F.arrays_overlap(f"{x}_a", f"{x}_b"))
-        pairs = pairs.select("a", "b")
+        near = self.met(pairs)
+        nodes, small = self._ends(near)
+        sets = written(map_text(self.docs.join(F.broadcast(nodes) if small else nodes, "doc_id"), _sets(self.size), "node long, set array<long>"), "sets")
+        found = near
         for end in "ab":
-            pairs = pairs.join(details.select(F.col("node").alias(end), F.col("set").alias(f"set_{end}")), end)
+            found = found.join(sets.select(F.col("node").alias(end), F.col("set").alias(f"set_{end}")), end)
         both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
         union = F.size("set_a") + F.size("set_b") - both
-        found = written(pairs.where(100 * both >= self.percent * union).select("a", "b").distinct(), "links")
-        for table in (details, nodes, near):
+        found = written(found.where(100 * both >= self.percent * union).select("a", "b").distinct(), "links")
+        for table in (sets, nodes, near):
             dropped(table)
         return found
 
 
-def _prepared(docs: DataFrame, size: int, percent: int, orders: int, sketch_bits: int, broadcast_rows: int):
-    """Profiles of all rows, classes of equal sets, buckets of classes by token of their prefixes, and a verifier."""
-    levels = docs.sparkSession.sparkContext.broadcast(common_levels(docs, size, sketch_bits))
-    profiles = written(map_text(docs, _profiled(size, percent, levels), "doc_id long, n_shingles long, fp1 long, fp2 long, prefix array<long>, bits array<long>"), "profiles")
-    classes = (
-        profiles.where("n_shingles > 0 and doc_id is not null")
-        .groupBy("fp1", "fp2", "n_shingles")
-        .agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"))
-    )
-    w = Window.partitionBy("token")
-    mark = F.xxhash64("node").alias("h")
-    own = [F.col("node"), F.col("n"), F.col("pos")]
-    buckets = written(
-        classes.select(F.posexplode("prefix").alias("pos", "token"), "node", F.col("n_shingles").alias("n"))
-        .repartition("token")
-        .withColumns({"members": F.count("*").over(w), "c1": F.min(F.struct(F.col("pos").alias("least"), mark, *own)).over(w), "c2": F.max(F.struct(mark, *own)).over(w)})
-        .where("members > 1")
-        .select("token", *own, *[F.col(f"c{k}.{x}").alias(f"{x}{k}") for k in (1, 2) for x in ("node", "n", "pos")]),
-        "buckets",
-    )
-    return profiles, classes, buckets, _Verifier(docs, profiles, size, percent, levels, orders, broadcast_rows)
-
-
 def _may_link(percent: int):
-    def may_link(n, i, m, j):
+    def may_link(n: Column, i: Column, m: Column, j: Column) -> Column:
         """Up to their first common shingle, at i and j, the sets share nothing: min(n - i, m - j) are left to share.
         Of the rows of a pair that links, that of its first common shingle passes."""
         return (100 + percent) * F.least(n - i, m - j) >= percent * (n + m)
@@ -235,13 +271,95 @@ def _may_link(percent: int):
     return may_link
 
 
+def _pair(x: Column, y: Column) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+class _Prepared:
+    """Profiles of all rows, classes of equal sets, and the buckets of classes by shingle of their first prefix.
+
+    buckets: rows of small buckets have ``near``, the earlier members that they may link to; rows of large ones
+    have token, salt and the two members that their sub-bucket compares with."""
+
+    def __init__(self, docs: DataFrame, size: int, percent: int, sketch_bits: int, broadcast_rows: int):
+        levels = docs.sparkSession.sparkContext.broadcast(common_levels(docs, size, sketch_bits))
+        self.may_link = _may_link(percent)
+        self.profiles = written(map_text(docs, _profiled(size, percent, levels), PROFILE), "profiles")
+        self.verifier = _Verifier(docs, self.profiles, size, percent, broadcast_rows)
+        self.classes = (
+            self.profiles.where("n_shingles > 0 and doc_id is not null")
+            .groupBy("fp1", "fp2", "n_shingles")
+            .agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"), F.first("spread").alias("spread"))
+        )
+        rows = self.classes.select(F.posexplode("prefix").alias("pos", "token"), "node", F.col("n_shingles").alias("n"), "spread")
+        spread = F.coalesce(F.get("spread", F.col("pos")), F.lit(0).cast("tinyint"))
+        salt = F.pmod(F.xxhash64("node"), F.expr("shiftleft(1L, cast(spread as int))"))
+        rows = rows.withColumn("spread", spread).withColumn("salt", F.when(F.col("spread") > 0, salt.cast("int")))
+        # One key for a sub-bucket, so that four narrow columns are all that the shuffle carries.
+        rows = rows.select(
+            F.when(F.col("spread") > 0, F.xxhash64("token", "salt")).otherwise(F.col("token")).alias("key"),
+            "node",
+            F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("n_pos"),
+            F.when(F.col("spread") > 0, F.struct("token", "salt", "spread")).alias("hot"),
+        ).repartition("key")
+        rows = rows.select(
+            "key", "node", F.shiftright("n_pos", 32).alias("n"), F.col("n_pos").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), F.xxhash64("node").alias("h"),
+            F.coalesce("hot.token", "key").alias("token"), F.coalesce("hot.salt", F.lit(0)).alias("salt"), F.coalesce("hot.spread", F.lit(0).cast("tinyint")).alias("spread"),
+        )
+        w = Window.partitionBy("key")
+        own = F.struct("node", "n", "pos")
+        before = w.orderBy("node").rowsBetween(-(SMALL - 1), -1)
+        rows = rows.withColumns({"peers": F.collect_list(own).over(before)}).withColumns(
+            {"members": F.count("*").over(w), "c1": F.min(F.struct("pos", "h", "node", "n")).over(w), "c2": F.max(F.struct("h", "node", "n", "pos")).over(w)}
+        )
+        small = (F.col("spread") == 0) & (F.col("members") <= SMALL)
+        may = F.filter("peers", lambda x: (x["node"] != F.col("node")) & self.may_link(F.col("n"), F.col("pos"), x["n"], x["pos"]))
+        near = F.when(small, F.transform(may, lambda x: x["node"]))
+        large = lambda x: F.when(~small, x)
+        rows = rows.where("members > 1 or spread > 0").select(
+            "node", near.alias("near"), *[large(F.col(x)).alias(x) for x in ("token", "salt", "spread", "n", "pos")], *[large(F.col(f"c{k}.{x}")).alias(f"{x}{k}") for k in (1, 2) for x in ("node", "n", "pos")]
+        )
+        self.buckets = written(rows.where("near is null or size(near) > 0"), "buckets")
+        self.large = self.buckets.where("near is null").drop("near")
+
+    def small_pairs(self) -> DataFrame:
+        return self.buckets.where("near is not null").select("node", F.explode("near").alias("other")).select(*_pair(F.col("node"), F.col("other")))
+
+    def star_pairs(self) -> DataFrame:
+        """Members of large buckets with the centres of their sub-buckets, and those with the centres of the bucket."""
+        out = None
+        for k in (1, 2):
+            node, n, pos = (F.col(f"{x}{k}") for x in ("node", "n", "pos"))
+            some = self.large.where((F.col("node") != node) & self.may_link(F.col("n"), F.col("pos"), n, pos)).select(*_pair(F.col("node"), node))
+            out = some if out is None else out.unionByName(some)
+        named = [F.struct(*[F.col(f"{x}{k}").alias(x) for x in ("pos", "node", "n")]) for k in (1, 2)]
+        subs = self.large.where("spread > 0").select("token", F.explode(F.array(*named)).alias("s")).distinct()
+        tops = subs.groupBy("token").agg(F.min("s").alias("t1"), F.max(F.struct(F.xxhash64("s.node").alias("h"), "s")).alias("x")).select("token", "t1", F.col("x.s").alias("t2"))
+        met = subs.join(tops, "token").select("s", F.explode(F.array("t1", "t2")).alias("t"))
+        met = met.where((F.col("s.node") != F.col("t.node")) & self.may_link(F.col("s.n"), F.col("s.pos"), F.col("t.n"), F.col("t.pos")))
+        return out.unionByName(met.select(*_pair(F.col("s.node"), F.col("t.node"))))
+
+    def doubly_met(self, rows: DataFrame, differ: str, keys: list[str]) -> DataFrame:
+        """Pairs of rows (node, n, pos, differ, keys) with equal keys that may link and whose ``differ`` isn't equal."""
+        x, y = rows.alias("x"), rows.alias("y")
+        same = F.col(f"x.{keys[0]}") == F.col(f"y.{keys[0]}")
+        for k in keys[1:]:
+            same = same & (F.col(f"x.{k}") == F.col(f"y.{k}"))
+        met = x.join(y, same & (F.col(f"x.{differ}") < F.col(f"y.{differ}")) & self.may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
+        return met.select(*_pair(F.col("x.node"), F.col("y.node")))
+
+    def with_second(self, rows: DataFrame) -> DataFrame:
+        """rows once for each prefix shingle of the second order, as ``second``."""
+        more = self.profiles.where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("node"), "p2")
+        return rows.join(more, "node").select(rows["*"], F.explode("p2").alias("second")).distinct()
+
+
 def jaccard_components(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     size: int = 5,
     percent: int = 80,
-    orders: int = 3,
     sketch_bits: int = 20,
     broadcast_rows: int = 1 << 20,
 ) -> DataFrame:
@@ -252,40 +370,35 @@ def jaccard_components(
     component_id is the least doc_id that links reach. Null, empty and blank texts have no shingles,
     link with nothing and are their own component. A null doc_id is never a component and links
     nothing (its component_id is null, or its equal texts' least id). Rows with one doc_id count as
-    one document, whose links are those of all its rows.
-    sketch_bits fixes the size of the table of common hash ranges (2**20: 1 MB to each executor).
+    one document, whose links are those of all its rows. An empty table gives none; other columns play no part.
+    sketch_bits fixes the size of the tables of common hash ranges (2**20: 2 MB to each executor);
+    broadcast_rows is the most ids (8 bytes each) that are broadcast, beyond it they are joined by a shuffle.
     """
     docs = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    profiles, classes, buckets, verifier = _prepared(docs, size, percent, orders, sketch_bits, broadcast_rows)
-    w = Window.partitionBy("token")
-    own = [F.col("node"), F.col("n"), F.col("pos")]
-    may_link = _may_link(percent)
-    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    stars = None
-    for k in (1, 2):
-        node, n, pos = (F.col(f"{x}{k}") for x in ("node", "n", "pos"))
-        some = buckets.where((F.col("node") != node) & may_link(F.col("n"), F.col("pos"), n, pos)).select(*pair(F.col("node"), node))
-        stars = some if stars is None else stars.union(some)
-    stars = written(stars.distinct(), "pairs")
-    links = verifier.links(stars)
+    made = _Prepared(docs, size, percent, sketch_bits, broadcast_rows)
+    stars = written(made.small_pairs().unionByName(made.star_pairs()).distinct(), "pairs")
+    links = made.verifier.links(stars)
     labels = components(links)
-    labelled = buckets.select("token", *own).join(labels, "node", "left").select("token", *own, F.coalesce("component", "node").alias("c"))
-    labelled = labelled.repartition("token").withColumns({"low": F.min("c").over(w), "high": F.max("c").over(w)}).where("low <> high").select("token", *own, "c")
-    labelled = written(labelled, "mixed")
+    labelled = made.large.select("token", "salt", "spread", "node", "n", "pos").join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    # Members are counted a sub-bucket at a time, then a bucket, and mixed buckets are found again by sub-bucket.
+    state = labelled.groupBy("token", "spread").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("members")).where("low <> high")
+    state = state.select("token", "members", F.explode(F.expr("sequence(0, cast(shiftleft(1L, cast(spread as int)) - 1 as int))")).alias("salt"))
+    left = written(labelled.drop("spread").join(state, ["token", "salt"]), "mixed")
     rest = None
-    if not labelled.isEmpty():
-        x, y = labelled.alias("x"), labelled.alias("y")
-        rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
-        rest = rest.select(*pair(F.col("x.node"), F.col("y.node"))).distinct()
-        rest = written(rest.join(stars, ["a", "b"], "left_anti"), "pairs")
-        more = verifier.links(rest)
+    if not left.isEmpty():
+        few, many = left.where(F.col("members") <= MIXED), left.where(F.col("members") > MIXED)
+        rest = made.doubly_met(few, "c", ["token"]).unionByName(made.doubly_met(made.with_second(many), "c", ["token", "second"]))
+        rest = written(rest.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+        more = made.verifier.links(rest)
         if not more.isEmpty():
             labels = components(links.union(more))
-    for table in (buckets, stars, labelled, rest):
+    for table in (made.buckets, stars, left, rest):
         dropped(table)
-    members = profiles.select("doc_id", "n_shingles", "fp1", "fp2")
-    keyed = classes.select("fp1", "fp2", "n_shingles", "node").join(labels, "node", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    linked = members.where("n_shingles > 0").join(keyed, ["fp1", "fp2", "n_shingles"], "left")
+    members = made.profiles.select("doc_id", "n_shingles", "fp1", "fp2")
+    keys = ["fp1", "fp2", "n_shingles"]
+    classes = members.where("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("node"))
+    keyed = classes.join(labels, "node", "left").select(*keys, F.coalesce("component", "node").alias("component_id"))
+    linked = members.where("n_shingles > 0").join(keyed, keys, "left")
     alone = members.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     return linked.select("doc_id", "n_shingles", "component_id").union(alone.select("doc_id", "n_shingles", "component_id"))
 
@@ -296,21 +409,20 @@ def jaccard_links(
     text_col: str = "text",
     size: int = 5,
     percent: int = 80,
-    orders: int = 3,
     sketch_bits: int = 20,
     broadcast_rows: int = 1 << 20,
 ) -> DataFrame:
     """(a, b), a < b: every link between classes of equal sets, each named by its least doc_id.
 
     Links are those of ``jaccard_components``, which compares only what components need; here each pair
-    of a bucket that may link is compared, so a group of n near copies costs up to n * (n - 1) / 2 of them."""
+    of a bucket that may link, and meets under the second order, is compared, so a group of n near copies costs up to n * (n - 1) / 2 of them."""
     docs = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    profiles, _, buckets, verifier = _prepared(docs, size, percent, orders, sketch_bits, broadcast_rows)
-    x, y = buckets.alias("x"), buckets.alias("y")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & _may_link(percent)(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
-    pairs = written(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
-    links = verifier.links(pairs)
-    for table in (buckets, pairs, profiles):
+    made = _Prepared(docs, size, percent, sketch_bits, broadcast_rows)
+    rows = made.large.select("token", "node", "n", "pos")
+    pairs = made.small_pairs().unionByName(made.doubly_met(made.with_second(rows), "node", ["token", "second"]))
+    pairs = written(pairs.distinct(), "pairs")
+    links = made.verifier.links(pairs)
+    for table in (made.buckets, pairs, made.profiles):
         dropped(table)
     return links
 
