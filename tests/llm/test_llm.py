@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from quillmere.llm import bitpack, compaction, components, decontaminate, html_mincut, jaccard_join, packing, quality_rules, token_counts, tokens, tool_links, toxicity
 
@@ -84,6 +85,19 @@ def test_jaccard_brute_force(spark):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(docs, size, percent)
 
 
+def test_jaccard_large_buckets(spark):
+    """Many near copies, and many short texts that share a phrase but no link: sub-buckets, stars and mixed buckets."""
+    rng, docs = random.Random(12), []
+    base = [f"w{k}" for k in range(40)]
+    for i in range(120):
+        docs.append((i, " ".join(w if rng.random() > 0.02 else f"x{rng.randrange(300)}" for w in base)))
+    docs += [(1000 + i, f"p q r s u{i} v{rng.randrange(60)} z{rng.randrange(60)}") for i in range(150)]
+    docs += [(2000 + i, "same text of six words here") for i in range(100)] + [(3000 + i, "a b c d" + f" e{i % 3}") for i in range(90)]
+    for size, percent in ((3, 50), (2, 80)):
+        got = jaccard_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), size=size, percent=percent, sketch_bits=14).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(docs, size, percent)
+
+
 def test_jaccard_odd_rows(odd, none):
     got = jaccard_join.jaccard_components(odd, sketch_bits=12).collect()
     assert len(got) == len(ODD)
@@ -107,14 +121,90 @@ def test_token_counts_equal_the_library(spark, odd):
     assert [r["n_tokens"] for r in token_counts.token_counts(odd).collect() if r["n_words"] == 0] == [0, 0, 0]
 
 
+def brute_features(text, bits):
+    """Distinct features of a text by plain loops over its words."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    full, shift, out = 2**64, 64 - bits, set()
+
+    def mix(x, seed):
+        x ^= 0x9E3779B97F4A7C15 * (2 * seed + 1) % full
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % full
+        return x ^ x >> 31
+
+    h = [xxhash.xxh3_64_intdigest(x.encode(), 1) for x in w]
+    for i, x in enumerate(w):
+        out.add(mix(h[i], 1) >> shift)
+        for gap in (1, 2):
+            if i + gap < len(w):
+                out.add(mix((h[i] * 3 + mix(h[i + gap], 5)) % full, 1 + gap) >> shift)
+        for n in toxicity.STEMS:
+            if len(x) > n:
+                out.add(mix(xxhash.xxh3_64_intdigest(x[:n].encode(), 2), 10 + n) >> shift)
+    return sorted(out)
+
+
+def test_toxicity_features_brute_force():
+    texts = ["Some words, AND some words again", None, "", "éa übermäßig word", "one", "a b c d a b c d", "x1 " * 50]
+    x, at = toxicity.features(pa.array(texts), 18)
+    assert [x[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [brute_features(t, 18) for t in texts]
+
+
+def test_ftrl_brute_force():
+    """The vector form against the published update, one coordinate at a time."""
+    import math
+
+    rng = random.Random(6)
+    rows = [(sorted(rng.sample(range(30), rng.randrange(9))), rng.randrange(2)) for _ in range(300)]
+    model, z, n = toxicity.FTRL(5, alpha=0.4, beta=0.7, l1=0.5, l2=0.3), [0.0] * 33, [0.0] * 33
+
+    def weight(i):
+        l1 = 0.0 if i == 0 else 0.5
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((0.7 + math.sqrt(n[i])) / 0.4 + 0.3)
+
+    for x, label in rows:
+        at = [0, *(i + 1 for i in x)]
+        w = {i: weight(i) for i in at}
+        p = 1 / (1 + math.exp(-sum(w.values())))
+        assert abs(model.learn(np.array(x, np.int64), label) - p) < 1e-9
+        for i in at:
+            g = p - label
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.4 * w[i]
+            n[i] += g * g
+    at, weights, bias = model.sparse()
+    want = {i: weight(i + 1) for i in range(32) if weight(i + 1)}
+    assert at.tolist() == sorted(want) and np.allclose(weights, [want[i] for i in sorted(want)]) and abs(bias - weight(0)) < 1e-9
+
+
 def test_toxicity_learns_and_stands_odd_rows(spark, odd, none):
-    rows = [(i, f"nice {'idiot' if i % 2 else 'day'} w{i}", i % 2) for i in range(200)]
-    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, label int"), epochs=8, bits=16)
+    docs = spark.createDataFrame([(i, f"nice {'idiot' if i % 2 else 'day'} w{i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.train(toxicity.training_rows(docs, labels), epochs=8, bits=16)
     got = toxicity.score(spark.createDataFrame([(1, "you idiot"), (2, "a day"), (3, None)], "doc_id long, text string"), model, bits=16).collect()
     assert got[0]["score"] > 0.5 > got[1]["score"] and 0 <= got[2]["score"] <= 1
     assert toxicity.score(odd, model, bits=16).count() == len(ODD) and toxicity.score(none, model, bits=16).count() == 0
-    blank = toxicity.train(spark.createDataFrame([], "doc_id long, text string, label int"), bits=8)
+    blank = toxicity.train(toxicity.training_rows(none, labels), bits=8)
     assert blank[2] == 0.0
+    one = toxicity.train(toxicity.training_rows(docs, labels.where("toxic = 1")), bits=8)
+    assert one[2] > 0 and not len(one[0])
+
+
+def test_toxicity_training_rows(spark):
+    """Bounded a label, held-out ids never, one row an id: the greatest label and the least text; ties and nulls."""
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(60)] + [(3, "a"), (3, "a"), (4, None), (None, "x"), (99, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(4, 1), (None, 1), (5, None), (99, 1), (1000, 0)], "doc_id long, toxic int")
+    got = {r["doc_id"]: (r["label"], r["text"]) for r in toxicity.training_rows(docs, labels, hold_out=True).collect()}
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    assert got == {i: (1 if i == 4 else i % 2, "a" if i == 3 else f"t{i}") for i in ids}
+    few = toxicity.training_rows(docs, labels, max_rows_per_label=7).collect()
+    assert sum(r["label"] == 0 for r in few) == 7 and sum(r["label"] == 1 for r in few) in (6, 7) and len({r["doc_id"] for r in few}) == len(few)
+
+
+def test_very_long_repeats(spark):
+    """One text of 4 MB that repeats all through: whole results, no history of ranks."""
+    text = "word " * 800_000
+    got = quality_rules.quality_rules(spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string")).orderBy("doc_id").first()
+    assert (got["n_words"], got["n_repeat_words"], got["longest_repeat"], got["n_covered_words"]) == (800_000, 800_000, 799_999, 800_000)
 
 
 def brute_hits(text, items, window):
@@ -139,6 +229,9 @@ def test_decontamination_brute_force(spark, odd):
     got = decontaminate.benchmark_hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=4).collect()
     for r, (_, t) in zip(sorted(got), docs, strict=True):
         assert (r["n_words"], r["n_hit"], r["items"]) == brute_hits(t, items, 4)
+    # Several automata, a pass each: the same rows.
+    parts = decontaminate.benchmark_hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=4, max_nodes=9)
+    assert sorted(parts.collect()) == sorted(got)
     one = decontaminate.benchmark_hits(spark.createDataFrame([(1, "Ünd -- Foo,BAR baz!")], "doc_id long, text string"), spark.createDataFrame([(1, "foo bar")], "item_id long, text string")).first()
     assert [(s["start"], s["end"]) for s in one["spans"]] == [(7, 14)]
     assert decontaminate.benchmark_hits(odd, spark.createDataFrame([], "item_id long, text string")).where("n_hit > 0").count() == 0
@@ -146,10 +239,34 @@ def test_decontamination_brute_force(spark, odd):
 
 def test_compaction_round_trip(spark, odd, tmp_path):
     store = compaction.sharded(odd, arrivals=5, path=f"file://{tmp_path}/s", fan_in=2)
-    assert sorted(map(str, store.read().select(odd.columns).collect())) == sorted(map(str, odd.collect()))
-    assert store.manifest().count() < 5
+    got = store.read()
+    assert sorted(map(str, got.select(odd.columns).collect())) == sorted(map(str, odd.collect()))
+    assert store.manifest().count() < 5 and set(got.columns) == {*odd.columns, "_shard", "_tier"} and got.where("_tier = 0").count() == len(ODD)
     with pytest.raises(RuntimeError):
-        store._commit(store.manifest(), store.version())
+        store._commit(store.manifest(), store.version(), store.schema())
+
+
+def test_compaction_keeps_versions_for_readers(spark, tmp_path):
+    """A reader of the version before the newest still finds its files; older ones go; a new column is null before."""
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/s", fan_in=3)
+    for i in range(4):
+        store.append(spark.createDataFrame([(i, "x")] if i < 3 else [(i, "x", 2)], "doc_id long, text string" + ", extra int" * (i == 3)).coalesce(1))
+    store.vacuum()
+    assert store.versions() == [3, 4] and store.read(3).count() == 3
+    store.compact()
+    assert store.version() == 5 and store.manifest().count() == 1 and store.read(4).count() == 4
+    assert sorted((r["doc_id"], r["extra"]) for r in store.read().collect()) == [(0, None), (1, None), (2, None), (3, 2)]
+    with pytest.raises(ValueError):
+        store.append(spark.createDataFrame([("a",)], "Doc_id string"))
+
+
+def test_compaction_of_empty_and_clashing(spark, none, tmp_path):
+    store = compaction.sharded(none, arrivals=2, path=f"file://{tmp_path}/e")
+    assert store.read().count() == 0 and store.read().columns[: len(none.columns)] == none.columns
+    assert compaction.ShardStore(spark, f"file://{tmp_path}/n").read().count() == 0
+    rows = spark.createDataFrame([(1, "a", 5, "m"), (2, None, None, None), (2, None, None, None)], "doc_id long, _Shard string, `__shard` int, _metadata string")
+    got = compaction.sharded(rows, arrivals=2, path=f"file://{tmp_path}/c", fan_in=2).read()
+    assert sorted(map(str, got.select(rows.columns).collect())) == sorted(map(str, rows.collect())) and got.columns[-2:] == ["___shard", "_tier"]
 
 
 @pytest.mark.parametrize("bits", [1, 7, 16, 17, 32])
@@ -295,24 +412,46 @@ def test_call_levels(spark):
     assert got == {"a": 0, "b": 1, "c": 2, "d": 0, "x": None, "y": None}
 
 
-def test_call_levels_never_stop_silently(spark):
-    calls = spark.createDataFrame([(1, x) for x in "abcde"], "conv_id long, call_id string")
-    needs = spark.createDataFrame([(1, b, a) for a, b in itertools.pairwise("abcde")], "conv_id long, call_id string, needs_id string")
-    with pytest.raises(RuntimeError):
-        tool_links.call_levels(calls, needs, max_rounds=2)
-    assert {r["call_id"]: r["level"] for r in tool_links.call_levels(calls, needs).collect()} == dict(zip("abcde", range(5), strict=True))
+def test_call_levels_of_long_chains(spark):
+    """A chain of 300 calls takes a few doubling rounds; its levels are whole."""
+    calls = spark.createDataFrame([(1, f"c{i}", 300 - i) for i in range(300)], "conv_id long, call_id string, turn long")
+    needs = spark.createDataFrame([(1, f"c{i + 1}", f"c{i}") for i in range(299)] * 2, "conv_id long, call_id string, needs_id string")
+    got = {r["call_id"]: (r["level"], r["after_turn"]) for r in tool_links.call_levels(calls, needs).collect()}
+    assert got == {f"c{i}": (i, 300) for i in range(300)}
+
+
+def test_call_levels_brute_force(spark):
+    rng, calls, needs = random.Random(8), [], []
+    for conv in range(30):
+        n = rng.randrange(1, 12)
+        calls += [(conv, f"c{i}") for i in range(n)]
+        needs += [(conv, f"c{rng.randrange(n)}", f"c{rng.randrange(n)}") for _ in range(rng.randrange(0, n + 3))]
+    level, edges = {}, {x: {(c, b) for c, a, b in needs if (c, a) == x} for x in calls}
+    while ready := [x for x in calls if x not in level and all(y in level for y in edges[x])]:
+        level |= {x: 1 + max((level[y] for y in edges[x]), default=-1) for x in ready}
+    got = tool_links.call_levels(spark.createDataFrame(calls, "conv_id long, call_id string"), spark.createDataFrame(needs, "conv_id long, call_id string, needs_id string")).collect()
+    assert len(got) == len(calls) and {(r["conv_id"], r["call_id"]): r["level"] for r in got} == {x: level.get(x) for x in calls} and None in {r["level"] for r in got}
 
 
 def test_order_key_is_topological(spark):
-    """A call sorts after all that it depends on, later turns and long chains among them; without needs by turn."""
+    """A call sorts after all that it depends on, later turns and long chains among them; needs come from the turns by default."""
     rows = [(1, t, "user", f"q{t}") for t in range(0, 16, 2)] + [(1, 1, "assistant", "r"), (1, 1, "assistant", "s")]
     chain = [(1, f"1:{b}", f"1:{a}") for a, b in itertools.pairwise([14, 12, 10, 8, 6, 0])] + [(1, "1:2", "1:4"), (1, "1:4", "1:2")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     needs = spark.createDataFrame(chain, "conv_id long, call_id string, needs_id string")
     got = [(r["order_key"], r["status"], r["turn"]) for r in tool_links.formatted_conversations(turns, needs=needs).collect()]
     assert [x[1:] for x in sorted(got)] == [("pending", 2), ("pending", 4), ("pending", 14), ("pending", 12), ("pending", 10), ("pending", 8), ("pending", 6), ("linked", 0), ("surplus", None)]
-    plain = [(r["order_key"], r["turn"]) for r in tool_links.formatted_conversations(turns).collect()]
-    assert sorted(plain)[:3] == [(f"{0:019d}.0", 0), (f"{1:019d}.1", None), (f"{2:019d}.0", 2)]
+    plain = tool_links.formatted_conversations(turns).collect()
+    assert {r["turn"]: r["level"] for r in plain if r["status"] != "surplus"} == {0: 0, 2: 1, **dict.fromkeys(range(4, 16, 2), 0)}
+    assert [r["turn"] for r in sorted(plain, key=lambda r: r["order_key"])][:4] == [0, None, 2, 4]
+
+
+def test_tool_links_of_empty_long_and_clashing(spark):
+    kinds = "conv_id long, turn long, role string, text string, level int, status string, call_id string"
+    assert tool_links.formatted_conversations(spark.createDataFrame([], kinds)).count() == 0
+    rows = [(1, 0, "user", "x" * 3_000_000, 7, "odd", "z"), (1, 1, "assistant", None, None, None, None), (1, 0, "user", "", 7, "odd", "z")]
+    got = sorted(tool_links.formatted_conversations(spark.createDataFrame(rows, kinds)).collect(), key=lambda r: len(r["json"]))
+    assert [(r["call_id"], r["status"], r["valid"], r["problems"]) for r in got] == [("1:0", "linked", False, "prompt: too short"), ("1:0", "linked", False, "prompt: too long")]
 
 
 def test_bitmaps_never_exceed_unshared_shingles():
