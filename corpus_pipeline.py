@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmere.llm import decontaminate, jaccard_join, packing, quality_rules, tokens, toxicity
-from quillmere.llm.common import written
+from quillmere.llm.common import dropped, written
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -20,7 +20,9 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from all labels, as no label is held out here, and drops documents that score 0.5 or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.train(toxicity.labelled_documents(docs, labels, hold_out=False))
+    rows = toxicity.training_rows(docs, labels)
+    model = toxicity.train(rows)
+    dropped(rows)
     return _without(docs, toxicity.score(docs, model).where("score >= 0.5"))
 
 
