@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Precomposed Latin letters and the letters left when diacritics are stripped.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+def _folding() -> tuple[str, str]:
+    """Lower-case letters that Unicode composes of one letter and marks, and those letters."""
+    marked, plain = [], []
+    for code in range(0xC0, 0x2000):
+        letter = chr(code)
+        parts = unicodedata.normalize("NFD", letter)
+        if letter == letter.lower() and len(parts) > 1 and parts[0].isalpha() and all(unicodedata.category(c) == "Mn" for c in parts[1:]):
+            marked.append(letter)
+            plain.append(parts[0])
+    return "".join(marked), "".join(plain)
+
+
+ACCENTED, PLAIN = _folding()
+#: Marks that stand alone, as in decomposed text.
+MARKS = "[\\u0300-\\u036f]"
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case without diacritics, composed or not."""
+    return F.translate(F.regexp_replace(F.lower(text), MARKS, ""), ACCENTED, PLAIN)
 
 
 def index_tokens(text: Column) -> Column:

@@ -123,13 +123,30 @@ def profile(counted: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return agg.select(id_col, F.when(F.col("rows") > 0, "table_row").when((F.col("steps") > 0) & (F.col("steps") >= least), "procedure_block").otherwise("heading_based").alias("profile"))
 
 
+def profiles(docs: DataFrame, counted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``profile`` for every document of docs; one without blocks has fixed_window."""
+    return docs.select(id_col).distinct().join(profile(counted, id_col), id_col, "left").withColumn("profile", F.coalesce("profile", F.lit("fixed_window")))
+
+
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
+#: What a chunk keeps of its blocks, besides text, types and section path; a block may lack any of them.
+KEPT = {"page": "pages", "element_id": "element_ids", "bbox": "bboxes", "source_tool": "source_tools", "headers": "headers", "units": "units"}
+
+
+def _lists(value) -> list[str]:
+    """Strings of a block's headers or units: a list, a map's values, or one."""
+    if value is None:
+        return []
+    items = value.values() if isinstance(value, dict) else [value] if isinstance(value, str) else [v[1] if isinstance(v, tuple) else v for v in value]
+    return [str(x).strip() for x in items if x]
 
 
 def fold_blocks(rows: list[dict], max_chars: int = 900, overlap_sentences: int = 1, profile_name: str = "heading_based", compat: bool = False) -> list[dict]:
-    """Chunks of one document's ordered blocks (kind, text, section_path). Blocks are never split; a heading is
+    """Chunks of one document's ordered blocks (kind, text, section_path and any of KEPT). Blocks are never split; a heading is
     a chunk of its own except under fixed_window; under table_row each row is one. A chunk carries the last
     sentences of the one before; chunks that hold only such an overlap are left out unless compat."""
+    if max_chars <= 0:
+        raise ValueError("max_chars must be positive")
     overlap = 0 if profile_name == "fixed_window" else overlap_sentences
     out, held, carried, cursor = [], [], False, 0
 
@@ -137,7 +154,19 @@ def fold_blocks(rows: list[dict], max_chars: int = 900, overlap_sentences: int =
         nonlocal cursor
         text = "\n\n".join(p["text"] for p in parts if p["text"])
         if text.strip():
-            out.append({"text": text, "types": sorted({p["kind"] for p in parts}), "section_path": parts[-1]["section_path"], "chunk_start": cursor, "chunk_end": cursor + len(text)})
+            out.append({
+                "text": text,
+                "types": [p["kind"] for p in parts],
+                "section_path": parts[-1]["section_path"],
+                "chunk_start": cursor,
+                "chunk_end": cursor + len(text),
+                "pages": sorted({int(p["page"]) for p in parts if p.get("page") is not None and p["page"] == p["page"]}),
+                "element_ids": [p["element_id"] for p in parts if p.get("element_id")],
+                "bboxes": [list(p["bbox"]) for p in parts if p.get("bbox") is not None],
+                "source_tools": sorted({p["source_tool"] for p in parts if p.get("source_tool")}),
+                "headers": [x for p in parts for x in _lists(p.get("headers"))],
+                "units": [x for p in parts for x in _lists(p.get("units"))],
+            })
             cursor += len(text)
         return text
 
@@ -147,7 +176,8 @@ def fold_blocks(rows: list[dict], max_chars: int = 900, overlap_sentences: int =
             text = emit(held)
             last = [s for s in SENTENCE.split(text) if s.strip()][-overlap:] if overlap else []
             tail = " ".join(last)
-            held, carried = ([{"kind": "para", "text": tail, "section_path": held[-1]["section_path"]}], True) if tail else ([], False)
+            kept = {k: held[-1].get(k) for k in ("page", "source_tool")}
+            held, carried = ([{"kind": "para", "text": tail, "section_path": held[-1]["section_path"], **kept}], True) if tail else ([], False)
         else:
             held, carried = [], False
 
@@ -170,17 +200,28 @@ def fold_blocks(rows: list[dict], max_chars: int = 900, overlap_sentences: int =
     return out
 
 
+CHUNK = (
+    "chunk long, text string, types array<string>, section_path array<string>, chunk_start long, chunk_end long, pages array<int>, element_ids array<string>, "
+    "bboxes array<array<double>>, source_tools array<string>, headers array<string>, units array<string>"
+)
+
+
 def structured_chunks(table: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """(doc_id, chunk, text, types, section_path, chunk_start, chunk_end) from blocks (doc_id, block, kind,
-    text, section_path). The fold is sequential within a document, which one task holds; documents are
+    """(doc_id, chunk and CHUNK's other columns, profile) from blocks (doc_id, block, kind, text, section_path, any of KEPT, profile). Without a column
+    profile, options' profile_name holds for all. The fold is sequential within a document, which one task holds; documents are
     spread by their id."""
+    names = [x.split()[0] for x in CHUNK.split(", ")]
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = fold_blocks(rows.sort_values("block").to_dict("records"), **options)
-        return pd.DataFrame([{id_col: key[0], "chunk": i, **x} for i, x in enumerate(found)], columns=[id_col, "chunk", "text", "types", "section_path", "chunk_start", "chunk_end"])
-
-    chosen = table.select(id_col, "block", "kind", "text", "section_path")
-    return chosen.groupBy(id_col).applyInPandas(run, f"{id_col} long, chunk long, text string, types array<string>, section_path array<string>, chunk_start long, chunk_end long")
+        chosen = dict(options)
+        if "profile" in rows.columns:
+            chosen["profile_name"] = rows["profile"].iloc[0]
+        found = fold_blocks(rows.sort_values("block").to_dict("records"), **chosen)
+        made = [{id_col: key[0], "chunk": i, **x, "profile": chosen.get("profile_name", "heading_based")} for i, x in enumerate(found)]
+        return pd.DataFrame(made, columns=[id_col, *names, "profile"])
+
+    kept = [c for c in ("block", "kind", "text", "section_path", *KEPT, "profile") if c in table.columns]
+    return table.select(id_col, *kept).groupBy(id_col).applyInPandas(run, f"{id_col} long, {CHUNK}, profile string")
 
 
 def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -13,6 +13,9 @@ STOPWORDS = (
     "when where while against under above below after before between among using used based other than also only both per case cases include includes including"
 ).split()
 
+#: Words that a table lookup leaves out.
+TABLE_STOPWORDS = "the a an and or but in on at to for of with by from as is was are were be been being".split()
+
 
 def concepts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pool: int = 16, top: int = 8) -> DataFrame:
     """(doc_id, concepts): of the pool most frequent words (three characters or more, no stop words; ties by first
@@ -46,10 +49,10 @@ def changed(files: DataFrame, index: DataFrame, key: str = "doc_id") -> DataFram
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """new rows, the last of each key by order, and old ones of other keys; empty texts don't come in."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    latest = new.where(F.trim("text") != "").withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
-    return old.join(latest.select(key).distinct(), key, "left_anti").unionByName(latest, allowMissingColumns=True)
+    """new rows, the last of each key by order (ties by all columns), and old ones of other keys; where there is a column text, empty ones don't come in."""
+    from .ingest import merged
+
+    return merged(old, new, [key], [order], F.trim("text") != "" if "text" in new.columns else None)
 
 
 def deleted(table: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -100,3 +103,29 @@ def sampled(rows: DataFrame, id_col: str, limit: int, seed: int = 13) -> DataFra
 
 def snippet(value: Column, words: int = 12) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(value, F.lit(r"([A-Za-z0-9%°μ/+-]{2,})"), F.lit(1)), 1, words), " ")
+
+
+def matched_relevance(rows: DataFrame, expectations: DataFrame) -> DataFrame:
+    """(query_id, rank, expectation, gain): each row, in rank order, takes the first expectation (by number) that it matches and that no row before
+    it took. rows: query_id, rank, doc_id, text; expectations: query_id, expectation, doc_id, contains, gain: a null doc_id or contains
+    matches any. The match is sequential within a query, whose rows and expectations are few."""
+    import pandas as pd
+
+    pairs = rows.join(expectations.select("query_id", "expectation", "gain", F.col("doc_id").alias("_d"), F.col("contains").alias("_c")), "query_id")
+    met = pairs.where((F.col("_d").isNull() | (F.col("_d") == F.col("doc_id"))) & (F.col("_c").isNull() | F.contains(F.lower("text"), F.lower("_c"))))
+
+    def run(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
+        taken, out, done = set(), [], set()
+        for rank, number, gain in found.sort_values(["rank", "expectation"])[["rank", "expectation", "gain"]].itertuples(index=False):
+            if rank not in done and number not in taken:
+                taken.add(number)
+                done.add(rank)
+                out.append((key[0], rank, number, gain))
+        return pd.DataFrame(out, columns=["query_id", "rank", "expectation", "gain"])
+
+    return met.select("query_id", "rank", "expectation", "gain").groupBy("query_id").applyInPandas(run, "query_id long, rank long, expectation long, gain double")
+
+
+def macro_means(metrics: DataFrame, *columns: str) -> DataFrame:
+    """One row: the means over queries, rounded to 6, and their number."""
+    return metrics.agg(F.count("*").alias("queries"), *[F.round(F.avg(c), 6).alias(c) for c in columns])

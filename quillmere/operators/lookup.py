@@ -18,8 +18,14 @@ ALIASES = {
     "DAF": ["dissolved air flotation"],
     "RO": ["reverse osmosis"],
 }
-#: Fields of the short answer, in order.
-SLIM = ["doc_id", "chunk_id", "path", "section_path", "pages", "chunk_start", "chunk_end", "element_ids", "types", "text", "score", "route", "mtime_iso"]
+#: Fields of the slim and the full answer.
+SLIM = ["chunk_id", "text", "doc_id", "path", "filename", "source_path", "mtime", "section_path", "page_numbers", "chunk_start", "chunk_end", "score", "route"]
+FULL = [
+    "chunk_id", "text", "doc_id", "path", "chunk_start", "chunk_end", "section_path", "pages", "page_numbers", "filename", "source_path", "mtime",
+    "score", "final_score", "route", "element_ids", "bboxes", "types", "table_headers", "table_units", "source_tools",
+]
+#: Columns that mark a row that no profile prunes.
+MARKERS = ["error", "forbidden", "abstain", "note"]
 
 
 def neighbours(chunks: DataFrame, anchors: DataFrame, n: int) -> DataFrame:
@@ -102,20 +108,73 @@ def expanded_aliases(query: Column, compat: bool = False) -> Column:
     return F.flatten(F.array(*names))
 
 
-def hints(buckets: DataFrame, seed: Column) -> DataFrame:
-    """(seed, alias) for aliases in a bucket (bucket, alias) with the seed, without the seed itself."""
-    seeds = buckets.where(F.lower("alias") == F.lower(seed)).select("bucket", F.col("alias").alias("seed"))
-    return seeds.join(buckets, "bucket").where(F.lower("alias") != F.lower("seed")).select("seed", "alias").distinct()
-
-
-def slim(hits: DataFrame) -> DataFrame:
-    """The fields of SLIM that hits has; score is final_score where there is one; mtime as ISO 8601."""
-    out = hits
-    if "final_score" in hits.columns:
-        out = out.withColumn("score", F.coalesce("final_score", "score") if "score" in hits.columns else F.col("final_score"))
-    if "mtime" in hits.columns:
-        out = out.withColumn("mtime_iso", F.date_format(F.timestamp_seconds("mtime"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    return out.select(*[c for c in SLIM if c in out.columns])
+def hints(buckets: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, alias) for aliases in a bucket (bucket, alias) with a seed (a column seed), case apart, without the seed itself."""
+    asked = seeds.select(F.lower("seed").alias("_l")).distinct()
+    found = buckets.withColumn("_l", F.lower("alias")).join(asked, "_l", "left_semi").select("bucket", F.col("alias").alias("seed"))
+    return found.join(buckets, "bucket").where(F.lower("alias") != F.lower("seed")).select("seed", "alias").distinct()
+
+
+def profiled(hits: DataFrame, profile: str = "slim") -> DataFrame:
+    """Rows with the columns of a response profile: slim (score is final_score unless that is null or 0, else score, else 0;
+    mtime as ISO 8601, null where it isn't positive), full, diagnostic (all). Columns that hits lacks stay out; an unknown profile is slim.
+
+    Rows with a marker (error, forbidden, abstain, note) keep their markers' values; where hits has marker columns they come along."""
+    if profile == "diagnostic":
+        return hits
+    have, out = set(hits.columns), hits
+    marks = [c for c in MARKERS if c in have]
+    if profile == "full":
+        return out.select(*[c for c in FULL if c in have], *marks)
+    if {"final_score", "score"} & have:
+        final = F.nullif(F.col("final_score"), F.lit(0.0)) if "final_score" in have else F.lit(None).cast("double")
+        out = out.withColumn("score", F.coalesce(final, F.col("score") if "score" in have else F.lit(None).cast("double"), F.lit(0.0)))
+    if "mtime" in have:
+        out = out.withColumn("mtime", F.when(F.col("mtime") > 0, F.date_format(F.timestamp_seconds("mtime"), "yyyy-MM-dd'T'HH:mm:ss'Z'")))
+    return out.select(*[c for c in SLIM if c in out.columns], *marks)
+
+
+def as_records(rows: DataFrame) -> DataFrame:
+    """(record) rows as JSON objects without their null fields."""
+    return rows.select(F.to_json(F.struct("*")).alias("record"))
+
+
+def opened(chunks: DataFrame, asks: DataFrame, acl: DataFrame | None = None, subjects: tuple[str, ...] = (), roots: tuple[str, ...] = ()) -> DataFrame:
+    """asks (ask_id, chunk_id, element_id, start, end) answered from chunks (chunk_id, doc_id, element_ids, text and any of collection, path):
+    by chunk_id, or by element_id where that is null, the first chunk by id then. (ask_id, chunk_id, doc_id, text, status): status is
+    found, forbidden (by acl or the roots; no text) or not_found. start and end cut the text; null: to either end.
+
+    Element ids reach the chunks by one explode and an equi-join, not by a search in each."""
+    by_chunk = asks.where("chunk_id is not null").join(chunks, "chunk_id")
+    each = chunks.select("chunk_id", F.explode("element_ids").alias("element_id")).groupBy("element_id").agg(F.min("chunk_id").alias("chunk_id"))
+    by_element = asks.where("chunk_id is null and element_id is not null").drop("chunk_id").join(each, "element_id").join(chunks, "chunk_id")
+    met = by_chunk.unionByName(by_element, allowMissingColumns=True)
+    met = allowed(met, acl, list(subjects)) if acl is not None else met.withColumn("allowed", F.lit(True))
+    may = F.col("allowed") & (under_roots(F.col("path"), list(roots)) if "path" in chunks.columns else F.lit(True))
+    low = F.greatest(F.coalesce("start", F.lit(0)), F.lit(0)).cast("int")
+    part = F.substr("text", low + 1, F.greatest(F.coalesce(F.col("end"), F.length("text")).cast("int") - low, F.lit(0)))
+    found = met.select("ask_id", F.col("chunk_id").alias("c"), "doc_id", F.when(may, part).alias("text"), F.when(may, "found").otherwise("forbidden").alias("status"))
+    out = asks.select("ask_id").join(found, "ask_id", "left")
+    return out.select("ask_id", F.col("c").alias("chunk_id"), "doc_id", "text", F.coalesce("status", F.lit("not_found")).alias("status"))
+
+
+def of_elements(chunks: DataFrame, elements: DataFrame) -> DataFrame:
+    """(element_id, chunk_id): the first chunk (by id) that holds each element; elements in none are left out."""
+    each = chunks.select("chunk_id", F.explode("element_ids").alias("element_id")).join(elements.select("element_id").distinct(), "element_id", "left_semi")
+    return each.groupBy("element_id").agg(F.min("chunk_id").alias("chunk_id"))
+
+
+def outline(chunks: DataFrame, doc_id=None) -> DataFrame:
+    """Chunks (doc_id, chunk_start, types, text, section_path) that hold a heading, of one document or all, in order."""
+    some = chunks if doc_id is None else chunks.where(F.col("doc_id") == doc_id)
+    return some.where(F.exists("types", lambda t: F.contains(t, F.lit("heading")))).orderBy("doc_id", "chunk_start")
+
+
+def why_rows(tokens: Column, value: Column, section: Column, types: Column, elements: Column, limit: int = 6) -> Column:
+    """struct(terms, sections, table, element): matched terms, section segments that hold any query term, whether it is a table row and then its first element."""
+    low = F.filter(section, lambda s: F.exists(tokens, lambda t: F.contains(F.lower(s), t)))
+    table = is_table_row(types)
+    return F.struct(why(tokens, value, limit).alias("terms"), low.alias("sections"), table.alias("table"), F.when(table, F.get(elements, F.lit(0))).alias("element"))
 
 
 def why(tokens: Column, value: Column, limit: int = 6) -> Column:

@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-
-K1, B = 1.2, 0.75
+from ..sources import store
 
 
 def top_k(rows: DataFrame, k: int, key: str, score: str, item: str) -> DataFrame:
@@ -21,41 +20,10 @@ def top_k(rows: DataFrame, k: int, key: str, score: str, item: str) -> DataFrame
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(term, chunk_id, tf, len); null texts have none. Term frequencies are counted within the row."""
-    words = text.index_tokens(F.col(text_col))
-    # One projection, so that the expression is evaluated once; explode leaves empty arrays out.
-    tokens = chunks.select(F.col(id_col).alias("chunk_id"), F.size(words).cast("long").alias("len"), words.alias("w"))
-    exploded = tokens.select("chunk_id", "len", F.explode("w").alias("term"))
-    return exploded.groupBy("term", "chunk_id", "len").agg(F.count("*").alias("tf"))
-
-
-def index_stats(chunks: DataFrame, text_col: str) -> DataFrame:
-    """One row: number of chunks with tokens, mean length."""
-    n = F.size(text.index_tokens(F.col(text_col)))
-    some = F.when(F.col("n") > 0, F.col("n"))
-    return chunks.select(n.alias("n")).agg(F.count(some).alias("n_docs"), F.avg(some).alias("avgdl"))
-
-
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(text.index_tokens(F.col(text_col)))).alias("term"))
 
 
-def bm25(terms: DataFrame, post: DataFrame, stats: DataFrame, require_all: bool = False) -> DataFrame:
-    """(query_id, chunk_id, bm25), higher is better, rounded to 6. idf is ln((N - n + 0.5) / (n + 0.5)),
-    1e-6 where that isn't positive. require_all: chunks that hold every term of the query."""
-    needed = post.join(terms.select("term").distinct(), "term", "left_semi")
-    df = needed.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    # stats is one row by construction.
-    scored = terms.join(needed, "term").join(df, "term").crossJoin(F.broadcast(stats))
-    out = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("bm25"), F.count("*").alias("matched"))
-    if require_all:
-        out = out.join(terms.groupBy("query_id").agg(F.count("*").alias("terms")), "query_id").where("matched = terms").drop("terms")
-    return out.drop("matched")
-
-
 def sparse_weights(rows: DataFrame, id_col: str, text_col: str, top: int | None = None) -> DataFrame:
     """(id, term, weight): log1p(tf) over the number of tokens; optionally the top terms of each row."""
     tokens = rows.select(F.col(id_col), text.sparse_tokens(F.col(text_col)).alias("w"))
@@ -76,70 +44,115 @@ def l2_normalised(vector: Column) -> Column:
     return F.transform(wide, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
 
 
+#: Vector values of a corpus slice that is held at a time.
+SLICE_VALUES = 1 << 22
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Rows of a list column without nulls as one matrix; lists of different lengths raise an error."""
+    rows = len(lists)
+    sizes = np.unique(np.asarray(lists.value_lengths()))
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of different sizes: {sizes[:5].tolist()}")
+    return np.asarray(lists.flatten(), dtype=np.float64).reshape(rows, -1)
+
+
+def _blocks(path: str, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of a Parquet folder, at most ``rows`` at a time, read by the task itself."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, at = (fs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
+    for info in sorted(system.get_file_info(fs.FileSelector(at)), key=lambda x: x.path):
+        if info.path.endswith(".parquet"):
+            with system.open_input_file(info.path) as file:
+                for batch in pq.ParquetFile(file).iter_batches(rows):
+                    if batch.num_rows:
+                        yield np.asarray(batch.column(0)), _matrix(batch.column(1))
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding", block: int = 2048, same: bool = False) -> DataFrame:
     """(query_id, vec_id, score, rank): exact top k for each query row. cosine and dot: higher is better;
     euclid: score is the negative distance. Rows with a null vector or id take no part.
 
-    Queries go in blocks of at most ``block`` rows, each one pass of matrix products over the corpus
-    that keeps k rows a query and batch; one window merges what the tasks found."""
+    One pass over the corpus, however many queries: they are written to the shared folder, and each task takes them
+    ``block`` rows at a time against slices of its own vectors, as matrix products. It keeps k rows a query and slice;
+    one window merges what the tasks found."""
     if metric not in ("cosine", "dot", "euclid"):
         raise ValueError(metric)
     use = lambda df: df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    spark = corpus.sparkSession
-    count = queries.count()
-    blocks = max(1, -(-count // block))
-    keyed = use(queries).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    out = None
-    for number in range(blocks):
-        rows = keyed.where(F.col("b") == number).select("id", "v").toArrow()
-        if not rows.num_rows:
-            continue
-        sent = spark.sparkContext.broadcast((np.asarray(rows["id"]), np.array(rows["v"].to_pylist(), np.float64)))
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            if metric == "cosine":
-                q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                vec_id, v = np.asarray(batch.column(0)), np.array(batch.column(1).to_pylist(), np.float64)
-                if metric == "cosine":
-                    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                score = q @ v.T
-                if metric == "euclid":
-                    score = -np.sqrt(np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * score, 0))
-                score = np.round(score, 6)
-                if not same:
-                    score[ids[:, None] == vec_id[None, :]] = -np.inf
-                n = min(k, len(vec_id))
-                # ties at the edge are kept whole, so that the id decides
-                edge = -np.partition(-score, n - 1, axis=1)[:, n - 1]
-                row, col = np.nonzero((score >= edge[:, None]) & (score > -np.inf))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(vec_id[col]), pa.array(score[row, col])], ["query_id", "vec_id", "score"])
-
-        found = use(corpus).mapInArrow(search, "query_id long, vec_id long, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    path = store.new_path(corpus.sparkSession, "queries")
+    use(queries).write.parquet(path)
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) if metric == "cosine" else v
+
+    def best(vec_id: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+        v = unit(v)
+        for ids, q in _blocks(path, block):
+            q = unit(q)
+            score = q @ v.T
+            if metric == "euclid":
+                score = -np.sqrt(np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * score, 0))
+            score = np.round(score, 6)
+            if not same:
+                score[ids[:, None] == vec_id[None, :]] = -np.inf
+            n = min(k, len(vec_id))
+            # ties at the edge are kept whole, so that the id decides
+            edge = -np.partition(-score, n - 1, axis=1)[:, n - 1]
+            row, col = np.nonzero((score >= edge[:, None]) & (score > -np.inf))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(vec_id[col]), pa.array(score[row, col])], ["query_id", "vec_id", "score"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, values = [], 0
+        for batch in batches:
+            for low in range(0, batch.num_rows, block):
+                part = batch.slice(low, block)
+                held.append((np.asarray(part.column(0)), _matrix(part.column(1))))
+                values += held[-1][1].size
+                if values >= SLICE_VALUES:
+                    yield from best(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, values = [], 0
+        if held:
+            yield from best(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    out = use(corpus).mapInArrow(search, "query_id long, vec_id long, score double")
     return top_k(out, k, "query_id", "score", "vec_id")
 
 
 def rrf(*lists: DataFrame, key: str = "query_id", item: str = "item", k: int = scoring.RRF_K) -> DataFrame:
-    """Reciprocal rank fusion of ranked lists (key, item, rank): (key, item, rrf, and each list's rank)."""
+    """Reciprocal rank fusion of ranked lists (key, item, rank): (key, item, rrf, each list's rank, rank), the rank by
+    rrf, ties by the lists' ranks in the order given (a missing one last)."""
     parts = [x.select(key, item, F.col("rank"), F.lit(i).alias("list")) for i, x in enumerate(lists)]
     both = parts[0]
     for x in parts[1:]:
         both = both.unionByName(x)
     ranks = [F.min(F.when(F.col("list") == i, F.col("rank"))).cast("long").alias(f"rank_{i}") for i in range(len(lists))]
-    return both.groupBy(key, item).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("rrf"), *ranks)
+    out = both.groupBy(key, item).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("rrf"), *ranks)
+    w = Window.partitionBy(key).orderBy(F.desc("rrf"), *[F.asc_nulls_last(f"rank_{i}") for i in range(len(lists))], item)
+    return out.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
 def max_sim(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Late interaction over token vectors (id, token, vector): the sum over a query's tokens of their best
-    dot product with a token of the document, among documents that share a token's bucket with it."""
-    q = queries.select(F.col("id").alias("query_id"), F.col("token").alias("q_token"), F.col("vector").alias("qv"), "bucket")
-    d = docs.select(F.col("id").alias("chunk_id"), F.col("vector").alias("dv"), "bucket")
-    dot = F.aggregate(F.zip_with("qv", "dv", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    best = q.join(d, "bucket").groupBy("query_id", "chunk_id", "q_token").agg(F.max(dot).alias("best"))
-    return best.groupBy("query_id", "chunk_id").agg(F.round(F.sum("best"), 6).alias("score"))
+    """Late interaction over token vectors (id, token, vector): (query_id, chunk_id, score), the sum over a query's
+    tokens of their best dot product with a token of the chunk, every query against every chunk.
+
+    queries is a bounded set of token vectors: it is written once, and each task holds it whole beside one chunk's tokens
+    at a time. Null vectors take no part."""
+    path = store.new_path(docs.sparkSession, "tokens")
+    queries.where("vector is not null and id is not null").select(F.col("id").cast("long").alias("id"), "vector").write.parquet(path)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(_blocks(path, 1 << 16))
+        if not parts:
+            return
+        q_ids, q = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(q_ids, kind="stable")
+        q_ids, q = q_ids[order], q[order]
+        heads = np.flatnonzero(np.append(True, q_ids[1:] != q_ids[:-1]))
+        for batch in batches:
+            for chunk, vectors in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                best = (q @ _matrix(vectors.values).T).max(axis=1)  # each query token's best dot product in the chunk
+                total = np.round(np.add.reduceat(best, heads), 6)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[heads]), pa.array([chunk] * len(heads), pa.int64()), pa.array(total)], ["query_id", "chunk_id", "score"])
+
+    grouped = docs.where("vector is not null").groupBy(F.col("id").cast("long").alias("chunk_id")).agg(F.collect_list("vector").alias("vectors"))
+    return grouped.mapInArrow(score, "query_id long, chunk_id long, score double")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import chunking, corpus, graph, lookup, retrieval
+from ..operators import chunking, corpus, graph, ingest, lookup, retrieval
+from .search import _BM25, _ITEM_TERMS, query, table
 from .search import _lexical as lexical
-from .search import query, table
 
 _CHUNKS = """c AS (SELECT doc_id, i AS chunk_start, least(i + 900, n) AS chunk_end, substr(text, (i + 1)::BIGINT, 900) AS text FROM (
   SELECT doc_id, text, length(text) AS n, unnest(range(0, length(text), 750)) AS i FROM documents WHERE length(text) > 0)
@@ -27,55 +27,23 @@ def fixed_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NS = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 
 
-@query(None)
-def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """uuid5 of the document's uuid5 and "start-end"."""
-    doc = text.uuid5(F.lit(_NS), F.concat(F.lit("doc://"), F.col("doc_id").cast("string")))
-    out = _chunks(spark, sf_dir).withColumn("doc_uuid", doc)
-    return out.select("doc_id", "chunk_start", text.uuid5(F.col("doc_uuid"), F.concat_ws("-", F.col("chunk_start").cast("string"), F.col("chunk_end").cast("string"))).alias("chunk_id"))
-
-
-@query("WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL) SELECT doc_id, pos, md5(x[pos + 1]) AS line_md5, (coalesce(list_sum(list_transform(x[1:pos], lambda y: length(y) + 1)), 0))::BIGINT AS start FROM (SELECT doc_id, x, unnest(range(0, len(x)))::INTEGER AS pos FROM l)")
-def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.lines(table(spark, sf_dir, "documents")).select("doc_id", "pos", F.md5(F.encode("line", "UTF-8")).alias("line_md5"), "start")
-
-
-_PARA = [
-    (1, "# Intro\n\n1.2 Scope\n\nFirst line.\nSecond line.\n\n- a\n- b\n\n| h1 | h2 (m) |\n|---|---|\n| 1 | 2 |\n| 3 |\n| 4 | 5 |"),
-    (2, "Plain text\n\n## Two\n\n### Three\n\n1. x\n2. y"),
-    (3, ""),
-]
-
-
-@query(
-    """SELECT * FROM (VALUES (1, 0, 'heading', 1, '# Intro'), (1, 1, 'heading', 2, '1.2 Scope'), (1, 2, 'para', NULL, 'First line.'), (1, 3, 'list', NULL, '- a'), (1, 4, 'table', NULL, '| h1 | h2 (m) |'),
-(2, 0, 'para', NULL, 'Plain text'), (2, 1, 'heading', 2, '## Two'), (2, 2, 'heading', 3, '### Three'), (2, 3, 'list', NULL, '1. x')) t(doc_id, block, kind, level, first)"""
-)
-def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.createDataFrame(_PARA, "doc_id int, text string")
-    return chunking.blocks(docs).select("doc_id", "block", "kind", "level", F.element_at("lines", 1).alias("first"))
+def _uuid5(namespace: str, name: str) -> str:
+    h = f"sha1(unhex(replace({namespace}, '-', '')) || encode({name}))"
+    v = f"(['8', '9', 'a', 'b'])[(instr('0123456789abcdef', substr({h}, 17, 1)) - 1) % 4 + 1]"
+    return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || {v} || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
 
 
-@query("SELECT 1 AS doc_id, unnest(['h1: 1; h2 (m): 2', 'h1: 4; h2 (m): 5']) AS line")
-def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.createDataFrame(_PARA, "doc_id int, text string")
-    return chunking.blocks(docs).where("kind = 'table'").select("doc_id", F.explode(chunking.table_rows(F.col("lines"))).alias("line"))
+_DOC_UUID, _CHUNK_UUID = _uuid5(f"'{_NS}'", "'doc://' || doc_id"), _uuid5("u", "chunk_start || '-' || chunk_end")
 
 
-_HEADERS = {"Flow (m3/h)": ("Flow", "m3/h"), "TSS [mg/L]": ("TSS", "mg/L"), "Temperature, °C": ("Temperature", "°C"), "Rate m³/h": ("Rate", "m³/h"), "Name, which is verylong": ("Name, which is verylong", None), "Plain header": ("Plain header", None)}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{h}', '{n}', {'NULL' if u is None else repr(u)})" for h, (n, u) in _HEADERS.items()) + ") t(header, name, unit)")
-def header_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(h,) for h in _HEADERS], "header string")
-    return rows.select("header", chunking.header_unit(F.col("header")).alias("x")).select("header", "x.name", "x.unit")
+@query(f"WITH {_CHUNKS}, d AS (SELECT *, {_DOC_UUID} AS u FROM c) SELECT doc_id, chunk_start, {_CHUNK_UUID} AS chunk_id FROM d")
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.chunk_ids(_chunks(spark, sf_dir)).select("doc_id", "chunk_start", "chunk_id")
 
 
-@query("SELECT * FROM (VALUES (1, 'A'), (2, 'A > B'), (3, 'A > B > C'), (4, 'A > D'), (5, 'E')) t(step, path)")
-def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = [(1, "A"), (2, "B"), (3, "C"), (2, "D"), (1, "E")]
-    rows = spark.createDataFrame([(i + 1, heads[: i + 1]) for i in range(len(heads))], "step int, heads array<struct<level:int,title:string>>")
-    return rows.select("step", F.array_join(chunking.section_path(F.col("heads")), " > ").alias("path"))
+@query("WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL) SELECT doc_id, pos, md5(x[pos + 1]) AS line_md5, (coalesce(list_sum(list_transform(x[1:pos], lambda y: length(y) + 1)), 0))::BIGINT AS start FROM (SELECT doc_id, x, unnest(range(0, len(x)))::INTEGER AS pos FROM l)")
+def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.lines(table(spark, sf_dir, "documents")).select("doc_id", "pos", F.md5(F.encode("line", "UTF-8")).alias("line_md5"), "start")
 
 
 @query(None)
@@ -90,12 +58,7 @@ def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _paged(spark, sf_dir).withColumn("section_path", F.array().cast("array<string>"))
-    return chunking.structured_chunks(out).withColumn("types", F.array_join("types", ",")).drop("section_path")
-
-
-@query(None)
-def chunk_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.profile(_paged(spark, sf_dir))
+    return chunking.structured_chunks(out).select("doc_id", "chunk", "text", F.array_join("types", ",").alias("types"), "chunk_start", "chunk_end", F.col("profile"))
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS content_hash FROM documents")
@@ -110,7 +73,7 @@ def min_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_CHUNKS}, n AS (SELECT doc_id, chunk_start, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_start) AS no FROM c),
-a AS (SELECT doc_id, chunk_start AS anchor_start, no FROM n WHERE chunk_start % 3000 = 0)
+a AS (SELECT doc_id, chunk_start AS anchor_start, no FROM n)
 SELECT a.doc_id, anchor_start, n.chunk_start FROM a JOIN n ON n.doc_id = a.doc_id AND n.no BETWEEN a.no - 2 AND a.no + 2"""
 )
 def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,11 +95,6 @@ def open_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", lookup.text_slice(F.col("text"), 10, 50).alias("part"))
 
 
-@query(None)
-def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paged(spark, sf_dir).where("kind = 'heading'").select("doc_id", "block", "text", chunking.inferred_level(F.col("text")).alias("level"))
-
-
 @query("SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'of')")
 def where_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(lookup.where_filter(F.col("text"), {"The": "OF", "": ""})).select("doc_id", "lang")
@@ -159,10 +117,30 @@ def path_allow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").where(F.col("url").startswith("https://m.") | lookup.under_roots(F.col("url"), ["http://ththre.example.com/fr/"])).select("page_id", "url")
 
 
-@query("SELECT doc_id, doc_id AS chunk_id, text, round(n_chars / 7.0, 6) AS score, strftime(to_timestamp(1700000000 + doc_id * 60) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS mtime_iso FROM documents")
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as hits: every third has no final score, every seventh a final score of 0, every fifth no time."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(
+        "doc_id", F.col("doc_id").alias("chunk_id"), "text", F.concat(F.lit("/"), "source").alias("path"), F.round(F.col("n_chars") / 7.0, 6).alias("score"),
+        F.when(F.col("doc_id") % 7 == 0, 0.0).when(F.col("doc_id") % 3 != 0, F.round(F.col("n_chars") / 11.0, 6)).alias("final_score"),
+        F.when(F.col("doc_id") % 5 == 0, 0).otherwise(F.lit(1700000000) + F.col("doc_id") * 60).alias("mtime"), F.array("lang").alias("types"), F.lit("semantic").alias("route"),
+    )
+
+
+@query(
+    """SELECT doc_id, doc_id AS chunk_id, text, '/' || source AS path, CASE WHEN doc_id % 7 <> 0 AND doc_id % 3 <> 0 THEN round(n_chars / 11.0, 6) ELSE round(n_chars / 7.0, 6) END AS score, 'semantic' AS route,
+CASE WHEN doc_id % 5 <> 0 THEN strftime(to_timestamp(1700000000 + doc_id * 60) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') END AS mtime FROM documents"""
+)
 def profile_slim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("chunk_id"), "text", F.lit(None).cast("double").alias("final_score"), F.round(F.col("n_chars") / 7.0, 6).alias("score"), (F.lit(1700000000) + F.col("doc_id") * 60).alias("mtime"))
-    return lookup.slim(hits)
+    return lookup.profiled(_hits(spark, sf_dir), "slim")
+
+
+@query(
+    """SELECT doc_id, doc_id AS chunk_id, text, '/' || source AS path, round(n_chars / 7.0, 6) AS score, CASE WHEN doc_id % 7 = 0 THEN 0.0 WHEN doc_id % 3 <> 0 THEN round(n_chars / 11.0, 6) END AS final_score,
+'semantic' AS route, lang AS types, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1700000000 + doc_id * 60 END AS mtime FROM documents"""
+)
+def profile_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.profiled(_hits(spark, sf_dir), "full").withColumn("types", F.array_join("types", ","))
 
 
 _STOP = ", ".join(f"'{x}'" for x in dict.fromkeys(corpus.STOPWORDS))
@@ -182,7 +160,7 @@ def doc_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", corpus.summary(F.col("text")).alias("summary"), F.array_join("concepts", " ").alias("concepts"), corpus.quality_score(F.trim("text") != "", F.greatest(n, F.lit(0))).alias("quality"))
 
 
-@query(None)
+@query(f"WITH {_CHUNKS} SELECT doc_id, substr(string_agg(text, ' ' ORDER BY chunk_start), 1, 600) AS summary, count(*) AS n_chunks FROM c GROUP BY doc_id")
 def section_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.section_summaries(_chunks(spark, sf_dir), ["doc_id"], "chunk_start")
 
@@ -192,25 +170,6 @@ def summary_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(F.contains(F.lower("text"), F.lit("tion the"))).select("doc_id", "n_chars")
 
 
-@query(None)
-def upper_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.upper_entities(table(spark, sf_dir, "documents"))
-
-
-_FACTS = [(1, "The PUMP STATION feeds the CLARIFIER basin"), (2, "Flow rate: 12.5 m3/h, Pressure = 4 bar; Flow rate: 13 m3/h"), (3, "Tank drains to sump")]
-
-
-@query("SELECT * FROM (VALUES (2, 'Flow rate', '12.5', 'm3/h'), (2, 'Pressure', '4', 'bar')) t(doc_id, parameter, value, unit)")
-def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.measurements(spark.createDataFrame(_FACTS, "doc_id int, text string"))
-
-
-@query("SELECT 3 AS doc_id, 'tank' AS src, 'discharges_to' AS type, 'sump' AS dst")
-def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame([(3, "Tank"), (3, "Sump"), (1, "Pump")], "doc_id int, label string")
-    return graph.relations(spark.createDataFrame(_FACTS, "doc_id int, text string"), known)
-
-
 # At volume, parts stand for entities and orders for documents.
 _MENTIONS = "m AS (SELECT l_partkey AS entity, l_orderkey AS doc_id FROM lineitem)"
 _TFIDF = f"""{_MENTIONS}, per AS (SELECT entity, doc_id, count(*) AS tf FROM m GROUP BY ALL), nd AS (SELECT count(DISTINCT doc_id) AS n FROM m),
@@ -253,19 +212,25 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT DISTINCT l_partkey AS id, l_suppkey AS other, l_returnflag AS type FROM lineitem WHERE l_partkey = 7)
-SELECT 'out' AS direction, type, 'p' || other AS id, s_name AS label FROM e JOIN supplier ON s_suppkey = other ORDER BY type, id LIMIT 50"""
+    """WITH e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, l_returnflag AS type FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey, 'supplies_' || l_linestatus FROM lineitem WHERE l_returnflag = 'R'),
+n AS (SELECT 's' || s_suppkey AS id, s_name AS label FROM supplier UNION ALL SELECT 'p' || p_partkey, p_name FROM part)
+(SELECT 'out' AS direction, type, dst AS id, label FROM e JOIN n ON id = dst WHERE src = 'p7' ORDER BY type, id LIMIT 20)
+UNION ALL (SELECT 'in', type, src, label FROM e JOIN n ON id = src WHERE dst = 'p7' ORDER BY type, id LIMIT 20)"""
 )
 def graph_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = table(spark, sf_dir, "supplier").select(F.concat(F.lit("p"), F.col("s_suppkey")).alias("id"), F.col("s_name").alias("label"))
-    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("src"), F.concat(F.lit("p"), F.col("l_suppkey")).alias("dst"), F.col("l_returnflag").alias("type")).distinct()
-    return graph.neighbours(nodes, edges, "7", 50)
+    part, supplier = F.concat(F.lit("p"), F.col("l_partkey")), F.concat(F.lit("s"), F.col("l_suppkey"))
+    lines = table(spark, sf_dir, "lineitem")
+    nodes = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id"), F.col("s_name").alias("label"))
+    nodes = nodes.unionByName(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("id"), F.col("p_name").alias("label")))
+    sold = lines.select(part.alias("src"), supplier.alias("dst"), F.col("l_returnflag").alias("type"))
+    edges = sold.unionByName(lines.where("l_returnflag = 'R'").select(supplier.alias("src"), part.alias("dst"), F.concat(F.lit("supplies_"), "l_linestatus").alias("type")))
+    return graph.neighbours(nodes, edges.distinct(), "p7", 20)
 
 
-@query("SELECT p_partkey AS id, lower(p_name) AS label, p_type AS type FROM part WHERE contains(lower(p_name), '1') AND p_type NOT IN ('doc', 'section') ORDER BY label, id LIMIT 100")
+@query("SELECT p_partkey AS id, lower(p_name) AS label, p_type AS type FROM part WHERE contains(lower(p_name), 'r') AND p_type NOT IN ('PROMO', 'SMALL') ORDER BY label, id LIMIT 100")
 def entity_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("label"), F.col("p_type").alias("type"))
-    return rows.where(F.contains("label", F.lit("1")) & ~F.col("type").isin("doc", "section")).orderBy("label", "id").limit(100)
+    return rows.where(F.contains("label", F.lit("r")) & ~F.col("type").isin("PROMO", "SMALL")).orderBy("label", "id").limit(100)
 
 
 @query("SELECT DISTINCT o_orderkey AS doc_id, o_orderpriority AS label FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey = 7 ORDER BY doc_id, label LIMIT 200")
@@ -280,14 +245,6 @@ def node_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.merged_nodes(rows).select("id", "label", F.array_join("doc_ids", ",").alias("doc_ids"))
 
 
-_LABELS = {"isbn 123": True, "12345": True, "x": True, "Page 4": True, "Clarifier tank": False, "a1234567890123": True, "Figure 2 shows": True, "MBR": False, "--- 12": True}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {str(v).lower()})" for k, v in _LABELS.items()) + ") t(label, junk)")
-def junk_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in _LABELS], "label string").select("label", graph.junk(F.col("label")).alias("junk"))
-
-
 _INDEX = "SELECT doc_id, doc_id * 1000 AS mtime_ns, n_chars + (doc_id % 5 = 0)::INT AS file_size FROM documents WHERE doc_id % 7 <> 0"
 
 
@@ -350,7 +307,8 @@ _GOLDQ = "list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]{3,}'))"
 
 
 @query(
-    f"""WITH p AS (SELECT b.item_id, d.doc_id, d.text, {_GOLDQ} AS q FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id)
+    f"""WITH {_ITEM_TERMS}, {_BM25}, best AS (SELECT query_id, chunk_id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS rank FROM scored),
+p AS (SELECT b.item_id, d.doc_id, d.text, {_GOLDQ} AS q FROM best JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = chunk_id WHERE rank <= 8)
 SELECT item_id, doc_id, round(CASE WHEN len(q) > 0 THEN len(list_filter(q, lambda w: contains(lower(text), w))) / len(q) ELSE 0.0 END, 4) AS coverage FROM p"""
 )
 def hit_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..functions.text import ACCENTED, PLAIN
-from ..operators import lookup, retrieval
+from ..operators import lookup, retrieval, routes
+from ..operators.index import LexicalIndex, query_units
+from ..sources import store
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -29,26 +33,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_TOKENS = f"regexp_extract_all(translate(lower(text), '{ACCENTED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
-_BM25 = f"""
+_MARKS = f"[{chr(0x300)}-{chr(0x36F)}]"
+_TOKENS = f"regexp_extract_all(translate(regexp_replace(lower(text), '{_MARKS}', '', 'g'), '{ACCENTED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
+_WEIGHT = """CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - df + 0.5) / (df + 0.5)) END
+    * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avgdl))"""
+_POSTINGS = f"""
 words AS MATERIALIZED (SELECT doc_id, {_TOKENS} AS x FROM documents),
 toks AS MATERIALIZED (SELECT doc_id, unnest(x) AS term FROM words),
 lens AS MATERIALIZED (SELECT doc_id, len(x) AS len FROM words WHERE len(x) > 0),
 post AS MATERIALIZED (SELECT doc_id, len, term, tf FROM (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY ALL) JOIN lens USING (doc_id)),
 stats AS (SELECT count(*) AS n_docs, avg(len) AS avgdl FROM lens),
-df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term)"""
+_BM25 = f"""{_POSTINGS},
 scored AS (
-  SELECT query_id, doc_id AS chunk_id, count(*) AS matched, round(sum(
-    CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - df + 0.5) / (df + 0.5)) END
-    * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avgdl))), 6) AS bm25
+  SELECT query_id, doc_id AS chunk_id, count(*) AS matched, round(sum({_WEIGHT}), 6) AS bm25
   FROM terms JOIN post USING (term) JOIN df USING (term), stats GROUP BY ALL
 )"""
 _ITEM_TERMS = f"terms AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark)"
 
 
-def _lexical(spark: SparkSession, sf_dir: str, terms: DataFrame, require_all: bool = False) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return retrieval.bm25(terms, retrieval.postings(docs, "doc_id", "text"), retrieval.index_stats(docs, "text"), require_all)
+def index_of(spark: SparkSession, sf_dir: str, chunks: DataFrame | None = None, name: str = "documents", **columns: str) -> LexicalIndex:
+    """The lexical index of a table, in the shared folder; this application's first use builds it."""
+    key = hashlib.sha1(f"{sf_dir}/{name}".encode()).hexdigest()[:12]
+    path = f"{store.shared_dir(spark)}/quillmere-index/{spark.sparkContext.applicationId}-{key}"
+    return LexicalIndex.opened(table(spark, sf_dir, name) if chunks is None else chunks, path, **columns)
+
+
+def _lexical(spark: SparkSession, sf_dir: str, terms: DataFrame) -> DataFrame:
+    return index_of(spark, sf_dir).any_term(terms)
+
+
+@query(f"WITH {_POSTINGS} SELECT count(*) AS postings, sum(tf)::BIGINT AS tokens, count(DISTINCT term) AS terms, any_value(n_docs) AS n_docs, round(any_value(avgdl), 6) AS avgdl FROM post, stats")
+def lexical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the persisted index holds; builds it where there is none yet."""
+    made = index_of(spark, sf_dir)
+    rows = spark.read.parquet(f"{made.path}/postings")
+    out = rows.agg(F.count("*").alias("postings"), F.sum(F.size("positions")).alias("tokens"), F.count_distinct("term").alias("terms"))
+    return out.withColumns({"n_docs": F.lit(made.n_docs).cast("long"), "avgdl": F.round(F.lit(made.avgdl), 6)})
 
 
 @query(f"WITH terms AS (SELECT 0 AS query_id, unnest(['the', 'thand', 'of', 'thou']) AS term), {_BM25} SELECT query_id, chunk_id, bm25, rank FROM (SELECT query_id, chunk_id, bm25, row_number() OVER (ORDER BY bm25 DESC, chunk_id) AS rank FROM scored) WHERE rank <= 16")
@@ -65,8 +86,25 @@ def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH terms AS (SELECT 0 AS query_id, unnest(['the', 'of', 'with']) AS term), {_BM25} SELECT query_id, chunk_id, bm25 FROM scored WHERE matched = 3")
 def fts_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = spark.createDataFrame([(0, t) for t in ("the", "of", "with")], "query_id int, term string")
-    return _lexical(spark, sf_dir, terms, require_all=True)
+    return index_of(spark, sf_dir).search(query_units(spark.createDataFrame([(0, "The of, with")], "query_id int, text string")))
+
+
+@query(
+    f"""WITH {_POSTINGS}, q AS (SELECT item_id AS query_id, {_TOKENS} AS w FROM benchmark),
+units AS (SELECT query_id, 0 AS clause, w[k] AS phrase FROM q, (SELECT unnest([1, 2]) AS k) UNION ALL SELECT query_id, 1, w[3] || ' ' || w[4] FROM q WHERE len(w) >= 4),
+pairs AS (SELECT DISTINCT phrase, string_split(phrase, ' ') AS p FROM units WHERE clause = 1),
+big AS (SELECT doc_id, x[i] || ' ' || x[i + 1] AS phrase FROM (SELECT doc_id, x, unnest(range(1, len(x))) AS i FROM words)),
+occ AS (SELECT phrase, doc_id, count(*) AS tf FROM big SEMI JOIN pairs USING (phrase) GROUP BY ALL UNION ALL SELECT term, doc_id, tf FROM post SEMI JOIN (SELECT DISTINCT phrase AS term FROM units WHERE clause = 0) USING (term)),
+dfs AS (SELECT phrase, count(*) AS df FROM occ GROUP BY ALL), sizes AS (SELECT query_id, clause, count(*) AS size FROM units WHERE phrase IS NOT NULL GROUP BY ALL),
+met AS (SELECT query_id, clause, doc_id, size, sum({_WEIGHT}) AS w, count(*) AS n FROM units JOIN sizes USING (query_id, clause) JOIN dfs USING (phrase) JOIN occ USING (phrase) JOIN lens USING (doc_id), stats GROUP BY ALL)
+SELECT query_id, doc_id AS chunk_id, round(sum(w), 6) AS bm25 FROM met GROUP BY ALL HAVING bool_or(n = size)"""
+)
+def fts_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item's first two words, both, or its third and fourth as a phrase."""
+    words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.index_tokens(F.col("text")).alias("w"))
+    single = words.select("query_id", F.lit(0).alias("clause"), F.explode(F.slice("w", 1, 2)).alias("t")).select("query_id", "clause", F.array("t").alias("terms"))
+    pair = words.where("size(w) >= 4").select("query_id", F.lit(1).alias("clause"), F.slice("w", 3, 2).alias("terms"))
+    return index_of(spark, sf_dir).search(single.unionByName(pair))
 
 
 _SPARSE = "regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_\\-/]{2,}')"
@@ -119,7 +157,7 @@ den AS (SELECT query_id, item, dense, row_number() OVER (PARTITION BY query_id O
   FROM embeddings q JOIN benchmark ON item_id = q.vec_id, embeddings d WHERE d.vec_id <> q.vec_id)),
 f AS (SELECT coalesce(den.query_id, lex.query_id) AS query_id, coalesce(den.item, lex.item) AS item, den.rank AS rank_0, lex.rank AS rank_1, dense, bm25
   FROM (SELECT * FROM den WHERE rank <= 16) den FULL JOIN (SELECT * FROM lex WHERE rank <= 16) lex ON den.query_id = lex.query_id AND den.item = lex.item),
-r AS (SELECT *, round(coalesce(1.0 / (60 + rank_0), 0) + coalesce(1.0 / (60 + rank_1), 0), 9) AS rrf FROM f)
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, rank_0 NULLS LAST, rank_1 NULLS LAST, item) AS rank FROM (SELECT *, round(coalesce(1.0 / (60 + rank_0), 0) + coalesce(1.0 / (60 + rank_1), 0), 9) AS rrf FROM f))
 """
 
 
@@ -132,10 +170,9 @@ def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return dense, retrieval.top_k(lexical, 16, "query_id", "bm25", "chunk_id").withColumnRenamed("chunk_id", "item")
 
 
-@query(_HYBRID + "SELECT query_id, item, rrf, rank_0, rank_1, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, item) AS rank FROM r) WHERE rank <= 8")
+@query(_HYBRID + "SELECT query_id, item, rrf, rank_0, rank_1, rank FROM r WHERE rank <= 8")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = retrieval.rrf(*_both(spark, sf_dir))
-    return retrieval.top_k(fused, 8, "query_id", "rrf", "item").withColumn("rank", F.col("rank").cast("long"))
+    return retrieval.rrf(*_both(spark, sf_dir)).where("rank <= 8")
 
 
 _NORM = "CASE WHEN {0} IS NULL OR max({0}) OVER w - min({0}) OVER w < 1e-9 THEN 0.0 ELSE ({0} - min({0}) OVER w) / (max({0}) OVER w - min({0}) OVER w) END"
@@ -217,25 +254,39 @@ def retry_critic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALIAS_ROWS = ", ".join(f"({i}, '{k}', {[k, *v]!r})" for i, (k, v) in enumerate(lookup.ALIASES.items()))
-_ASK = [(1, "DAF pressure and MLSS"), (2, "the ro process code"), (3, "dissolved air flotation unit"), (4, "P&ID of the plant"), (5, "nothing here")]
+_ALIASES = f"a(i, k, forms) AS (VALUES {_ALIAS_ROWS})"
+_FORMS = [x for k, v in lookup.ALIASES.items() for x in (k, *v)]
+
+
+def _asks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for each part: its name, with an abbreviation or a synonym for most."""
+    forms = F.array(*map(F.lit, _FORMS))
+    pick = F.get(forms, (F.col("p_partkey") % (len(_FORMS) + 3)).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", pick, F.lit("process")).alias("text"))
+
+
+_ASKS = f"q AS (SELECT p_partkey AS query_id, concat_ws(' ', p_name, {_FORMS!r}[p_partkey % {len(_FORMS) + 3} + 1], 'process') AS text FROM part)"
 
 
 @query(
-    f"""WITH a(i, k, forms) AS (VALUES {_ALIAS_ROWS}), q(query_id, text) AS (VALUES {", ".join(f"({i}, '{t}')" for i, t in _ASK)}),
+    f"""WITH {_ALIASES}, {_ASKS},
 m AS (SELECT query_id, i, forms FROM q LEFT JOIN a ON len(list_filter(forms, lambda f: contains(' ' || regexp_replace(lower(text), '[^a-z0-9&]+', ' ', 'g') || ' ', ' ' || lower(f) || ' '))) > 0)
 SELECT query_id, coalesce(string_agg(array_to_string(forms, '|'), '|' ORDER BY i), '') AS phrases FROM m GROUP BY query_id"""
 )
 def alias_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_ASK, "query_id int, text string").select("query_id", F.array_join(lookup.expanded_aliases(F.col("text")), "|").alias("phrases"))
+    return _asks(spark, sf_dir).select("query_id", F.array_join(lookup.expanded_aliases(F.col("text")), "|").alias("phrases"))
 
 
 @query(
-    f"""WITH a(i, k, forms) AS (VALUES {_ALIAS_ROWS}), b AS (SELECT i AS bucket, unnest(forms) AS alias FROM a)
-SELECT DISTINCT s.alias AS seed, t.alias AS alias FROM b s JOIN b t ON s.bucket = t.bucket AND lower(s.alias) <> lower(t.alias)"""
+    """WITH b AS (SELECT DISTINCT p_type || p_size AS bucket, p_name AS alias FROM part), s AS (SELECT DISTINCT p_name AS seed FROM part WHERE p_partkey % 50 = 0)
+SELECT DISTINCT b.alias AS seed, t.alias AS alias FROM b JOIN s ON s.seed = b.alias JOIN b t ON b.bucket = t.bucket AND lower(b.alias) <> lower(t.alias)"""
 )
 def hint_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(i, x) for i, (k, v) in enumerate(lookup.ALIASES.items()) for x in (k, *v)]
-    return lookup.hints(spark.createDataFrame(rows, "bucket int, alias string"), F.col("alias"))
+    """Names of parts of one type and size as aliases of each other; asked for the parts whose key 50 divides."""
+    parts = table(spark, sf_dir, "part")
+    buckets = parts.select(F.concat("p_type", F.col("p_size").cast("string")).alias("bucket"), F.col("p_name").alias("alias")).distinct()
+    seeds = parts.where("p_partkey % 50 = 0").select(F.col("p_name").alias("seed")).distinct()
+    return lookup.hints(buckets, seeds)
 
 
 _GOLD = "gold AS (SELECT q.vec_id AS query_id, d.vec_id AS item, 1.0 AS gain FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0)"
