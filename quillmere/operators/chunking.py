@@ -172,7 +172,7 @@ def fold_blocks(rows: list[dict], max_chars: int = 900, overlap_sentences: int =
 
     def flush() -> None:
         nonlocal held, carried
-        if held and (compat or not (carried and len(held) == 1)):
+        if held and (compat or not (carried and not any(h["text"] for h in held[1:]))):
             text = emit(held)
             last = [s for s in SENTENCE.split(text) if s.strip()][-overlap:] if overlap else []
             tail = " ".join(last)

@@ -3,7 +3,7 @@
 A build tokenises each text once. Postings are range-partitioned and sorted by (term, chunk), so a hot term spans
 many files and a query's terms reach the Parquet scan as a filter on row groups. A query is a table of
 units (a term or a phrase) in clauses: a chunk matches when it has all units of some clause, and each unit
-that it has adds to its score.
+of a clause that matches adds to its score.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ class LexicalIndex:
 
     def search(self, units: DataFrame) -> DataFrame:
         """(query_id, chunk_id, bm25) of the chunks that have all units of a clause of the query's; higher is
-        better, rounded to 6. units: query_id, clause, terms; equal units of a query count once each.
+        better, rounded to 6. units: query_id, clause, terms; equal units of a query count once each, in clauses that match.
 
         idf is ln((N - n + 0.5) / (n + 0.5)), 1e-6 where that isn't positive; a phrase is scored as one term whose
         tf is its occurrences."""
@@ -82,8 +82,7 @@ class LexicalIndex:
         weight = self._weight(F.col("df"), F.col("tf"), F.col("len"))
         rows = named.select("query_id", "clause", "phrase").join(sizes, ["query_id", "clause"]).join(df, "phrase").join(occurs, "phrase")
         met = rows.groupBy("query_id", "chunk_id", "clause", "size").agg(F.sum(weight).alias("w"), F.count("*").alias("n"))
-        out = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("bm25"), F.max(F.col("n") == F.col("size")).alias("matches"))
-        return out.where("matches").drop("matches")
+        return met.where("n = size").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("bm25"))
 
     def any_term(self, terms: DataFrame) -> DataFrame:
         """``search`` for queries (query_id, term) whose terms are OR-ed: no clauses to check."""

@@ -149,7 +149,7 @@ def fold_text(blocks: list[dict], max_chars: int, overlap: int) -> list[dict]:
         if block["kind"] == "heading":
             flush()
             title = re.sub(r"^(#{1,6}|(?:\d+\.)*\d+)\s+", "", block["lines"][0].strip())
-            path = [*path[: max(0, (block["level"] or 1) - 1)], title]
+            path = [*path[: max(0, int(block["level"] or 1) - 1)], title]
             continue
         if block["kind"] == "table":
             flush()

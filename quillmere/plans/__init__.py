@@ -1,6 +1,6 @@
 """Registered queries: name to function, and name to DuckDB SQL where there is one."""
 
-from . import corpus, markdown, search
+from . import building, corpus, markdown, routing, search
 from .search import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "corpus", "markdown", "search"]
+__all__ = ["QUERIES", "SQL", "building", "corpus", "markdown", "routing", "search"]

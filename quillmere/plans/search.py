@@ -97,7 +97,7 @@ big AS (SELECT doc_id, x[i] || ' ' || x[i + 1] AS phrase FROM (SELECT doc_id, x,
 occ AS (SELECT phrase, doc_id, count(*) AS tf FROM big SEMI JOIN pairs USING (phrase) GROUP BY ALL UNION ALL SELECT term, doc_id, tf FROM post SEMI JOIN (SELECT DISTINCT phrase AS term FROM units WHERE clause = 0) USING (term)),
 dfs AS (SELECT phrase, count(*) AS df FROM occ GROUP BY ALL), sizes AS (SELECT query_id, clause, count(*) AS size FROM units WHERE phrase IS NOT NULL GROUP BY ALL),
 met AS (SELECT query_id, clause, doc_id, size, sum({_WEIGHT}) AS w, count(*) AS n FROM units JOIN sizes USING (query_id, clause) JOIN dfs USING (phrase) JOIN occ USING (phrase) JOIN lens USING (doc_id), stats GROUP BY ALL)
-SELECT query_id, doc_id AS chunk_id, round(sum(w), 6) AS bm25 FROM met GROUP BY ALL HAVING bool_or(n = size)"""
+SELECT query_id, doc_id AS chunk_id, round(sum(w), 6) AS bm25 FROM met WHERE n = size GROUP BY ALL"""
 )
 def fts_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item's first two words, both, or its third and fourth as a phrase."""

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from quillmere.functions import scoring, text
 from quillmere.operators import chunking, corpus, graph, lookup, retrieval
+from quillmere.operators.index import LexicalIndex
 
 
-def test_bm25_equals_fts5(spark):
+def test_bm25_equals_fts5(spark, tmp_path):
     docs = [(1, "the cat sat on the mat"), (2, "a cat and a dog"), (3, "dogs run far"), (4, "the the the end"), (5, None), (6, "")]
     db = sqlite3.connect(":memory:")
     db.execute("create virtual table t using fts5(x, tokenize=\"unicode61 remove_diacritics 2\")")
@@ -20,7 +21,7 @@ def test_bm25_equals_fts5(spark):
     want = {r: round(-s, 6) for r, s in db.execute("select rowid, bm25(t) from t where t match 'cat OR the OR dog'")}
     df = spark.createDataFrame(docs, "id long, text string")
     terms = spark.createDataFrame([(0, t) for t in ("cat", "the", "dog")], "query_id int, term string")
-    got = retrieval.bm25(terms, retrieval.postings(df, "id", "text"), retrieval.index_stats(df, "text")).collect()
+    got = LexicalIndex.build(df, f"file://{tmp_path}/index", "id").any_term(terms).collect()
     assert {r["chunk_id"]: r["bm25"] for r in got} == want
 
 
