@@ -42,6 +42,20 @@ def folded_prior(steps: Column) -> Column:
     return F.when(F.abs(total) < 1e-6, 0.0).otherwise(total)
 
 
+def clamped_sum(steps: Column) -> Column:
+    """struct(s, low, high) of the function that an ordered array of deltas is, each sum clamped to [-0.9, 4]:
+    x -> min(high, max(low, x + s)). Such functions compose into another, so pieces of a sequence can be folded apart."""
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
+    clamp = lambda x: F.least(F.lit(4.0), F.greatest(F.lit(-0.9), x))
+    return F.aggregate(steps, start, lambda a, d: F.struct((a["s"] + d).alias("s"), clamp(a["low"] + d).alias("low"), clamp(a["high"] + d).alias("high")))
+
+
+def composed_prior(pieces: Column) -> Column:
+    """``folded_prior`` from an ordered array of ``clamped_sum`` pieces."""
+    total = F.aggregate(pieces, F.lit(0.0), lambda a, p: F.least(p["high"], F.greatest(p["low"], a + p["s"])))
+    return F.when(F.abs(total) < 1e-6, 0.0).otherwise(total)
+
+
 def route(query: Column, late_interaction: bool = False) -> Column:
     """struct(route, k) by length, capitals and question marks."""
     words = F.filter(F.split(F.trim(query), r"\s+"), lambda x: x != "")

@@ -96,6 +96,23 @@ def ranking_metrics(ranked: DataFrame, gold: DataFrame, query: str = "query_id",
     )
 
 
+def label_metrics(ranked: DataFrame, labels: DataFrame, queries: DataFrame) -> DataFrame:
+    """``ranking_metrics`` where all other items of a query's label are relevant, with gain 1: labels (item, label; queries are items too).
+
+    The relevant items of a query are counted, not listed: what a label's ideal order is worth is made once a label,
+    so the work is linear in items and ranked rows."""
+    sizes = labels.groupBy("label").agg((F.count("*") - 1).alias("expected")).where("expected > 0")
+    ideal = sizes.select("label", F.explode(F.sequence(F.lit(1).cast("long"), F.col("expected"))).alias("k")).groupBy("label").agg(F.sum(1.0 / F.log2(F.col("k") + 1)).alias("idcg"))
+    asked = queries.join(labels.withColumnRenamed("item", "query_id"), "query_id").join(sizes.join(ideal, "label"), "label")
+    hits = ranked.select("query_id", "item", "rank").join(labels.select("item", F.col("label").alias("_l")), "item").join(asked.select("query_id", "label"), "query_id").where("_l = label and item <> query_id")
+    found = hits.groupBy("query_id").agg(F.count("*").alias("found"), F.sum(1.0 / F.log2(F.col("rank") + 1)).alias("dcg"), F.min("rank").alias("first"))
+    out = asked.join(found, "query_id", "left")
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    return out.select(
+        "query_id", F.round(zero(F.col("found") / F.col("expected")), 6).alias("recall"), F.round(zero(F.col("dcg") / F.col("idcg")), 6).alias("ndcg"), F.round(zero(1.0 / F.col("first")), 6).alias("mrr")
+    )
+
+
 def sampled(rows: DataFrame, id_col: str, limit: int, seed: int = 13) -> DataFrame:
     """A seeded shuffle's first rows."""
     return rows.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(limit)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources import store
 
 #: Patterns of entities, measurements, relations and junk labels.
 UPPER_ENTITY = r"\b([A-Z]{3,}(?:\s+[A-Z0-9]{2,})*)\b"
@@ -98,17 +99,19 @@ def tf_idf(mentions: DataFrame, entity: str = "entity", doc: str = "doc_id") ->
 
 
 def bucketed(scored: DataFrame, percent: int, entity: str = "entity") -> DataFrame:
-    """scored with df_bucket (1, 2-5, 6+), rank in it by tfidf and kept: the best int(n * percent / 100) of each.
-    Three buckets hold all entities, so ranks come from counts below range-partitioned scores, not one task's sort."""
+    """scored with df_bucket (1, 2-5, 6+), rank in it by tfidf (ties by the entity) and kept: the best int(n * percent / 100) of each.
+
+    Three buckets hold all entities, so no window takes a bucket whole: rows are range-partitioned in the order of their ranks, and
+    a row's rank is its place in its own range, plus the rows of the bucket in the ranges before. Ties fall into ranges like any other rows."""
     bucket = F.when(F.col("df") == 1, "1").when(F.col("df") <= 5, "2-5").otherwise("6+")
-    rows = scored.withColumn("df_bucket", bucket).withColumn("slot", F.floor(F.col("tfidf") * 16).cast("long"))
-    counts = rows.groupBy("df_bucket", "slot").agg(F.count("*").alias("here"))
-    above = Window.partitionBy("df_bucket").orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumns({"above": F.coalesce(F.sum("here").over(above), F.lit(0)), "n": F.sum("here").over(Window.partitionBy("df_bucket"))})
-    rows = rows.join(counts.drop("here"), ["df_bucket", "slot"])
-    local = F.row_number().over(Window.partitionBy("df_bucket", "slot").orderBy(F.desc("tfidf"), entity))
-    rows = rows.withColumn("bucket_rank", local + F.col("above"))
-    return rows.withColumn("kept", F.col("bucket_rank") <= F.floor(F.col("n") * percent / 100)).drop("slot", "above", "n")
+    order = [F.col("df_bucket"), F.desc("tfidf"), F.col(entity)]
+    rows = store.written(scored.withColumn("df_bucket", bucket).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = rows.groupBy("df_bucket", "_range").agg(F.count("*").alias("here"))  # a row a range and bucket
+    before = Window.partitionBy("df_bucket").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"_before": F.coalesce(F.sum("here").over(before), F.lit(0)), "_n": F.sum("here").over(Window.partitionBy("df_bucket"))}).drop("here")
+    rank = F.row_number().over(Window.partitionBy("df_bucket", "_range").orderBy(F.desc("tfidf"), entity)) + F.col("_before")
+    rows = rows.join(F.broadcast(counts), ["df_bucket", "_range"]).withColumn("bucket_rank", rank)
+    return rows.withColumn("kept", F.col("bucket_rank") <= F.floor(F.col("_n") * percent / 100)).drop("_range", "_before", "_n")
 
 
 def pruned(nodes: DataFrame, edges: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:

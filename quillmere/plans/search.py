@@ -212,10 +212,14 @@ f AS (SELECT user_id, event_type, list_reduce(list_prepend(0.0::DOUBLE, steps::D
 SELECT user_id, event_type, round(CASE WHEN abs(p) < 1e-6 THEN 0.0 ELSE p END, 6) AS prior FROM f"""
 )
 def session_prior_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as promotions and demotions, in time order, for each user and type."""
+    """Events as promotions and demotions, in time order, for each user and type: hours are folded apart and composed, so
+    no row holds all events of a busy user."""
     step = F.when(F.col("event_id") % 3 == 0, -1).otherwise(1) * (F.col("event_id") % 7) / F.lit(4.0)
-    steps = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", step.alias("s")))), lambda x: x["s"])
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.round(scoring.folded_prior(steps), 6).alias("prior"))
+    ordered = lambda *x: F.array_sort(F.collect_list(F.struct(*x)))
+    events = table(spark, sf_dir, "events").withColumn("hour", F.date_trunc("hour", "ts"))
+    pieces = events.groupBy("user_id", "event_type", "hour").agg(scoring.clamped_sum(F.transform(ordered("ts", "event_id", step.alias("s")), lambda x: x["s"])).alias("p"))
+    folded = scoring.composed_prior(F.transform(ordered("hour", "p"), lambda x: x["p"]))
+    return pieces.groupBy("user_id", "event_type").agg(F.round(folded, 6).alias("prior"))
 
 
 _N_WORDS = "len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> ''))"
@@ -304,6 +308,4 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = table(spark, sf_dir, "embeddings")
     ranked = retrieval.knn(vectors.where("vec_id % 50 = 0"), vectors, 10).withColumnRenamed("vec_id", "item")
-    q = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    gold = q.join(vectors.select(F.col("vec_id").alias("item"), "label"), "label").where("query_id <> item").select("query_id", "item", F.lit(1.0).alias("gain"))
-    return corpus.ranking_metrics(ranked, gold)
+    return corpus.label_metrics(ranked, vectors.select(F.col("vec_id").alias("item"), "label"), vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id")))
