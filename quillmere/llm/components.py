@@ -36,8 +36,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     distributed, and each round is a written table, so a lost executor costs no earlier round.
     """
     u, v = F.greatest(F.col(a), F.col(b)), F.least(F.col(a), F.col(b))
-    start = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(u.alias("u"), v.alias("v")).distinct()
-    now, state = written(start, "stars"), None
+    start = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(u.alias("u"), v.alias("v"))
+    now, state = written(start.distinct(), "stars", start.count()), None
     while True:
         count, total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == (count, total) or not count:

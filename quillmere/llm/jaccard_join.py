@@ -9,8 +9,8 @@ shingles come first, so passages that many texts share stay out of prefixes of t
 
 Equal sets are one class. A bucket holds the classes that share a prefix shingle. In buckets of up to SMALL
 classes all pairs are candidates. A larger one is dealt by a hash into more sub-buckets the commoner its shingle's
-hash range is; each class is compared with two members of its sub-bucket, the one with the fewest rarer shingles
-and one by hash, and those with two of the whole bucket. Buckets whose members have by then joined one component
+hash range is; each class is compared with two members of the bucket, the one with the fewest rarer shingles and one
+by hash, which are found a sub-bucket at a time. Buckets whose members have by then joined one component
 need nothing more; in the others, pairs from different components are candidates, in buckets of over MIXED
 classes only where they share a prefix shingle of the second order too, by a join on both. So a large group of near copies costs a few comparisons a
 member, no task holds a whole large bucket, and no link between different components is missed.
@@ -225,25 +225,31 @@ class _Verifier:
         self.docs, self.profiles, self.size, self.percent, self.broadcast_rows = docs, profiles, size, percent, broadcast_rows
 
     def _ends(self, pairs: DataFrame) -> tuple[DataFrame, bool]:
-        """The pairs' nodes, and whether they are few enough to broadcast, at 8 bytes each."""
-        nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "nodes")
+        """The nodes of a written table of pairs, and whether they are few enough to broadcast, at 8 bytes each."""
+        nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "nodes", 2 * pairs.count())
         return nodes, nodes.count() <= self.broadcast_rows
 
-    def met(self, pairs: DataFrame, bitmap: bool = True) -> DataFrame:
-        """Those (a, b) that share a prefix shingle under the second and third order and, with bitmap, whose bitmaps
-        leave room for the threshold."""
+    def _joined(self, pairs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+        """pairs with columns of both ends' profiles, and the table of ends to drop later."""
         nodes, small = self._ends(pairs)
-        ends = self.profiles.where("n_shingles > 0").join(F.broadcast(nodes) if small else nodes, "doc_id").select("doc_id", "n_shingles", "p2", "p3", "bits")
-        found = pairs.select("a", "b")
+        ends = self.profiles.where("n_shingles > 0").join(F.broadcast(nodes) if small else nodes, "doc_id").select("doc_id", *columns)
         for end in "ab":
-            found = found.join(ends.select(F.col("doc_id").alias(end), *[F.col(x).alias(f"{x}_{end}") for x in ("n_shingles", "p2", "p3", "bits")]), end)
-        found = found.where(F.arrays_overlap("p2_a", "p2_b")).where(F.arrays_overlap("p3_a", "p3_b"))
-        if bitmap:
-            n = F.col("n_shingles_a") + F.col("n_shingles_b")
-            differ = F.expr(" + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(BITMAP // 64)))
-            found = found.where((100 + self.percent) * (n - differ) >= 2 * self.percent * n)
-        found = written(found.select("a", "b").distinct(), "met")
+            pairs = pairs.join(ends.select(F.col("doc_id").alias(end), *[F.col(x).alias(f"{x}_{end}") for x in columns]), end)
+        return pairs, nodes
+
+    def met(self, pairs: DataFrame) -> DataFrame:
+        """Those (a, b) that share a prefix shingle under the second order, then those of them that share one under the third
+        and whose bitmaps leave room for the threshold. Each step reads only what is left."""
+        found, nodes = self._joined(pairs.select("a", "b"), "p2")
+        second = written(found.where(F.arrays_overlap("p2_a", "p2_b")).select("a", "b").distinct(), "second", 8 * pairs.count())
         dropped(nodes)
+        found, nodes = self._joined(second, "n_shingles", "p3", "bits")
+        n = F.col("n_shingles_a") + F.col("n_shingles_b")
+        differ = F.expr(" + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(BITMAP // 64)))
+        found = found.where(F.arrays_overlap("p3_a", "p3_b")).where((100 + self.percent) * (n - differ) >= 2 * self.percent * n)
+        found = written(found.select("a", "b").distinct(), "met", 8 * second.count())
+        for table in (nodes, second):
+            dropped(table)
         return found
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -256,7 +262,7 @@ class _Verifier:
             found = found.join(sets.select(F.col("node").alias(end), F.col("set").alias(f"set_{end}")), end)
         both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
         union = F.size("set_a") + F.size("set_b") - both
-        found = written(found.where(100 * both >= self.percent * union).select("a", "b").distinct(), "links")
+        found = written(found.where(100 * both >= self.percent * union).select("a", "b").distinct(), "links", 8 * near.count())
         for table in (sets, nodes, near):
             dropped(table)
         return found
@@ -279,7 +285,7 @@ class _Prepared:
     """Profiles of all rows, classes of equal sets, and the buckets of classes by shingle of their first prefix.
 
     buckets: rows of small buckets have ``near``, the earlier members that they may link to; rows of large ones
-    have token, salt and the two members that their sub-bucket compares with."""
+    have token, salt and the two centres of their sub-bucket."""
 
     def __init__(self, docs: DataFrame, size: int, percent: int, sketch_bits: int, broadcast_rows: int):
         levels = docs.sparkSession.sparkContext.broadcast(common_levels(docs, size, sketch_bits))
@@ -306,17 +312,17 @@ class _Prepared:
             "key", "node", F.shiftright("n_pos", 32).alias("n"), F.col("n_pos").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), F.xxhash64("node").alias("h"),
             F.coalesce("hot.token", "key").alias("token"), F.coalesce("hot.salt", F.lit(0)).alias("salt"), F.coalesce("hot.spread", F.lit(0).cast("tinyint")).alias("spread"),
         )
+        # One sort serves both windows; most shingles are one class's own and go after the first.
+        rows = rows.sortWithinPartitions("key", "node")
         w = Window.partitionBy("key")
         own = F.struct("node", "n", "pos")
-        before = w.orderBy("node").rowsBetween(-(SMALL - 1), -1)
-        rows = rows.withColumns({"peers": F.collect_list(own).over(before)}).withColumns(
-            {"members": F.count("*").over(w), "c1": F.min(F.struct("pos", "h", "node", "n")).over(w), "c2": F.max(F.struct("h", "node", "n", "pos")).over(w)}
-        )
+        rows = rows.withColumns({"members": F.count("*").over(w), "c1": F.min(F.struct("pos", "h", "node", "n")).over(w), "c2": F.max(F.struct("h", "node", "n", "pos")).over(w)})
+        rows = rows.where("members > 1 or spread > 0").withColumn("peers", F.collect_list(own).over(w.orderBy("node").rowsBetween(-(SMALL - 1), -1)))
         small = (F.col("spread") == 0) & (F.col("members") <= SMALL)
         may = F.filter("peers", lambda x: (x["node"] != F.col("node")) & self.may_link(F.col("n"), F.col("pos"), x["n"], x["pos"]))
         near = F.when(small, F.transform(may, lambda x: x["node"]))
         large = lambda x: F.when(~small, x)
-        rows = rows.where("members > 1 or spread > 0").select(
+        rows = rows.select(
             "node", near.alias("near"), *[large(F.col(x)).alias(x) for x in ("token", "salt", "spread", "n", "pos")], *[large(F.col(f"c{k}.{x}")).alias(f"{x}{k}") for k in (1, 2) for x in ("node", "n", "pos")]
         )
         self.buckets = written(rows.where("near is null or size(near) > 0"), "buckets")
@@ -326,18 +332,21 @@ class _Prepared:
         return self.buckets.where("near is not null").select("node", F.explode("near").alias("other")).select(*_pair(F.col("node"), F.col("other")))
 
     def star_pairs(self) -> DataFrame:
-        """Members of large buckets with the centres of their sub-buckets, and those with the centres of the bucket."""
+        """Members of large buckets with the two centres of the bucket: those of its sub-buckets are reduced to two, which
+        come back to each sub-bucket."""
+        flat, hot = self.large.where("spread = 0"), self.large.where("spread > 0")
+        named = [F.struct(*[F.col(f"{x}{k}").alias(x) for x in ("pos", "h", "node", "n")]) for k in (1, 2)]
+        subs = hot.withColumns({"h1": F.xxhash64("node1"), "h2": F.xxhash64("node2")}).select("token", "salt", named[0].alias("s1"), named[1].alias("s2")).distinct()
+        tops = subs.groupBy("token").agg(F.min("s1").alias("t1"), F.max(F.struct("s2.h", "s2.node", "s2.n", "s2.pos")).alias("t2"))
+        tops = subs.select("token", "salt").join(tops, "token").select("token", "salt", *[F.col(f"t{k}.{x}").alias(f"{x}{k}") for k in (1, 2) for x in ("node", "n", "pos")])
+        hot = hot.select("token", "salt", "node", "n", "pos").join(tops, ["token", "salt"])
         out = None
-        for k in (1, 2):
-            node, n, pos = (F.col(f"{x}{k}") for x in ("node", "n", "pos"))
-            some = self.large.where((F.col("node") != node) & self.may_link(F.col("n"), F.col("pos"), n, pos)).select(*_pair(F.col("node"), node))
-            out = some if out is None else out.unionByName(some)
-        named = [F.struct(*[F.col(f"{x}{k}").alias(x) for x in ("pos", "node", "n")]) for k in (1, 2)]
-        subs = self.large.where("spread > 0").select("token", F.explode(F.array(*named)).alias("s")).distinct()
-        tops = subs.groupBy("token").agg(F.min("s").alias("t1"), F.max(F.struct(F.xxhash64("s.node").alias("h"), "s")).alias("x")).select("token", "t1", F.col("x.s").alias("t2"))
-        met = subs.join(tops, "token").select("s", F.explode(F.array("t1", "t2")).alias("t"))
-        met = met.where((F.col("s.node") != F.col("t.node")) & self.may_link(F.col("s.n"), F.col("s.pos"), F.col("t.n"), F.col("t.pos")))
-        return out.unionByName(met.select(*_pair(F.col("s.node"), F.col("t.node"))))
+        for rows in (flat, hot):
+            for k in (1, 2):
+                node, n, pos = (F.col(f"{x}{k}") for x in ("node", "n", "pos"))
+                some = rows.where((F.col("node") != node) & self.may_link(F.col("n"), F.col("pos"), n, pos)).select(*_pair(F.col("node"), node))
+                out = some if out is None else out.unionByName(some)
+        return out
 
     def doubly_met(self, rows: DataFrame, differ: str, keys: list[str]) -> DataFrame:
         """Pairs of rows (node, n, pos, differ, keys) with equal keys that may link and whose ``differ`` isn't equal."""
@@ -376,19 +385,20 @@ def jaccard_components(
     """
     docs = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     made = _Prepared(docs, size, percent, sketch_bits, broadcast_rows)
-    stars = written(made.small_pairs().unionByName(made.star_pairs()).distinct(), "pairs")
+    size_of = made.buckets.count()
+    stars = written(made.small_pairs().unionByName(made.star_pairs()).distinct(), "pairs", 2 * size_of)
     links = made.verifier.links(stars)
     labels = components(links)
     labelled = made.large.select("token", "salt", "spread", "node", "n", "pos").join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     # Members are counted a sub-bucket at a time, then a bucket, and mixed buckets are found again by sub-bucket.
     state = labelled.groupBy("token", "spread").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("members")).where("low <> high")
     state = state.select("token", "members", F.explode(F.expr("sequence(0, cast(shiftleft(1L, cast(spread as int)) - 1 as int))")).alias("salt"))
-    left = written(labelled.drop("spread").join(state, ["token", "salt"]), "mixed")
+    left = written(labelled.drop("spread").join(state, ["token", "salt"]), "mixed", size_of)
     rest = None
     if not left.isEmpty():
         few, many = left.where(F.col("members") <= MIXED), left.where(F.col("members") > MIXED)
         rest = made.doubly_met(few, "c", ["token"]).unionByName(made.doubly_met(made.with_second(many), "c", ["token", "second"]))
-        rest = written(rest.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+        rest = written(rest.distinct().join(stars, ["a", "b"], "left_anti"), "pairs", 4 * left.count())
         more = made.verifier.links(rest)
         if not more.isEmpty():
             labels = components(links.union(more))
@@ -420,7 +430,7 @@ def jaccard_links(
     made = _Prepared(docs, size, percent, sketch_bits, broadcast_rows)
     rows = made.large.select("token", "node", "n", "pos")
     pairs = made.small_pairs().unionByName(made.doubly_met(made.with_second(rows), "node", ["token", "second"]))
-    pairs = written(pairs.distinct(), "pairs")
+    pairs = written(pairs.distinct(), "pairs", 4 * made.buckets.count())
     links = made.verifier.links(pairs)
     for table in (made.buckets, pairs, made.profiles):
         dropped(table)
