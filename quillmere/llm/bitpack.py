@@ -202,5 +202,6 @@ def read_token_files(manifest: DataFrame, with_ids: bool = True, step_ids: int =
 
 
 def token_files(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
-    """Round trip through files in the shared folder: what ``read_token_files`` finds there, without ids."""
+    """Round trip through files in the shared folder: what ``read_token_files`` finds there, without ids. An empty table
+    gives none; other columns play no part."""
     return read_token_files(write_token_files(docs, new_path(docs.sparkSession, "tokens"), vocabulary, **options), with_ids=False)

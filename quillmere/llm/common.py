@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text in a slice; one longer text makes a slice of its own.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,11 +36,18 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/quillmere/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there and lost executors cost only their own tasks."""
+#: Rows of a small table that one task writes, so that it has few files however many partitions a shuffle has.
+FILE_ROWS = 1 << 17
+
+
+def written(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends there and lost executors cost only their own tasks.
+
+    rows: about how many narrow rows there are at most, where that is known (wide ones, such as pairs with their sets, count as
+    many); then at most one task for each FILE_ROWS of them writes, and a small table has few files."""
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillmere_path = path  # type: ignore[attr-defined]
     return out
@@ -74,17 +81,49 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", slice_
             start = stop
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, held several times over in the JVM's own memory.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of bytes in an Arrow batch to BATCH_BYTES; a lower one stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def map_text(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over bounded slices of text."""
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_cpu_count(1)
         for batch in text_batches(batches, column, slice_bytes):
             yield function(batch)
+        pa.default_memory_pool().release_unused()  # the worker lives on, for other stages' tasks
 
     return df.mapInArrow(run, schema)
 
 
+def filter_text(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray | pa.Array], text_col: str = "text", id_col: str = "doc_id", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The rows of df, all columns as they are, for which ``keep`` says so; it gets slices (doc_id, text) and
+    gives a flag a row. Each row is judged where it is: no shuffle, whatever its id."""
+    bounded_batches(df.sparkSession)
+    names = df.columns
+    at = [[x.lower() for x in names].index(c.lower()) for c in (id_col, text_col)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_cpu_count(1)
+        named = (pa.RecordBatch.from_arrays(b.columns, [f"c{i}" for i in range(b.num_columns)]) for b in batches)  # names may repeat
+        for batch in text_batches(named, f"c{at[1]}", slice_bytes):
+            flags = keep(pa.RecordBatch.from_arrays([batch.column(i) for i in at], ["doc_id", "text"]))
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(flags)).columns, names)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, df.schema)
+
+
 def filled(array: pa.Array) -> pa.Array:
     """Strings with null as empty."""
     return pc.fill_null(array, "")

@@ -14,10 +14,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, dropped, filled, letters_and_digits, map_text, only, written
+from .common import ascii_words, dropped, filled, filter_text, letters_and_digits, map_text, only, written
 
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 #: The automaton that this Python worker built last, under the name of its benchmark's broadcast.
@@ -170,7 +171,24 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     return map_text(rows, lambda batch: _placed(scan(batch)), SCHEMA)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs without a hit. Rows without an id stay; of rows that share an id, all stay or go."""
-    bad = benchmark_hits(docs, benchmark, id_col, **options).where("n_hit > 0").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, max_nodes: int = 1 << 19) -> DataFrame:
+    """The rows of docs, with all their columns, whose text holds no window of the benchmark. No shuffle of docs; a
+    benchmark of several automata filters in as many passes over written tables."""
+    spark = docs.sparkSession
+    windows = item_windows(only(benchmark, item_id=item_col, text=item_text_col), "item_id", "text", window)
+    groups, rows = _groups(windows, max_nodes), docs
+    for group in range(groups):
+        some = windows if groups == 1 else windows.where(F.pmod(F.xxhash64("words"), F.lit(groups)) == group)
+        scan = _scanned(spark.sparkContext.broadcast(_fetched(some)), uuid.uuid4().hex)
+
+        def keep(batch: pa.RecordBatch, scan=scan) -> np.ndarray:
+            none = pa.array([[]] * batch.num_rows, pa.list_(pa.string()))
+            runs = pa.array([[]] * batch.num_rows, pa.list_(pa.list_(pa.int64())))
+            found = scan(pa.RecordBatch.from_arrays([*batch.columns, none, runs], ["doc_id", "text", "items", "runs"]))
+            return np.asarray(pc.list_value_length(found.column("runs"))) == 0
+
+        held, rows = rows, filter_text(rows, keep, text_col, id_col)
+        if group < groups - 1:
+            rows = written(rows, "clean")
+            dropped(held)
+    return rows

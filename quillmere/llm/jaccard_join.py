@@ -241,13 +241,13 @@ class _Verifier:
         """Those (a, b) that share a prefix shingle under the second order, then those of them that share one under the third
         and whose bitmaps leave room for the threshold. Each step reads only what is left."""
         found, nodes = self._joined(pairs.select("a", "b"), "p2")
-        second = written(found.where(F.arrays_overlap("p2_a", "p2_b")).select("a", "b").distinct(), "second", 8 * pairs.count())
+        second = written(found.where(F.arrays_overlap("p2_a", "p2_b")).select("a", "b").distinct(), "second", 32 * pairs.count())
         dropped(nodes)
         found, nodes = self._joined(second, "n_shingles", "p3", "bits")
         n = F.col("n_shingles_a") + F.col("n_shingles_b")
         differ = F.expr(" + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(BITMAP // 64)))
         found = found.where(F.arrays_overlap("p3_a", "p3_b")).where((100 + self.percent) * (n - differ) >= 2 * self.percent * n)
-        found = written(found.select("a", "b").distinct(), "met", 8 * second.count())
+        found = written(found.select("a", "b").distinct(), "met", 32 * second.count())
         for table in (nodes, second):
             dropped(table)
         return found
@@ -262,7 +262,7 @@ class _Verifier:
             found = found.join(sets.select(F.col("node").alias(end), F.col("set").alias(f"set_{end}")), end)
         both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
         union = F.size("set_a") + F.size("set_b") - both
-        found = written(found.where(100 * both >= self.percent * union).select("a", "b").distinct(), "links", 8 * near.count())
+        found = written(found.where(100 * both >= self.percent * union).select("a", "b").distinct(), "links", 64 * near.count())
         for table in (sets, nodes, near):
             dropped(table)
         return found
@@ -398,7 +398,7 @@ def jaccard_components(
     if not left.isEmpty():
         few, many = left.where(F.col("members") <= MIXED), left.where(F.col("members") > MIXED)
         rest = made.doubly_met(few, "c", ["token"]).unionByName(made.doubly_met(made.with_second(many), "c", ["token", "second"]))
-        rest = written(rest.distinct().join(stars, ["a", "b"], "left_anti"), "pairs", 4 * left.count())
+        rest = written(rest.distinct().join(stars, ["a", "b"], "left_anti"), "pairs", 32 * left.count())
         more = made.verifier.links(rest)
         if not more.isEmpty():
             labels = components(links.union(more))
@@ -430,7 +430,7 @@ def jaccard_links(
     made = _Prepared(docs, size, percent, sketch_bits, broadcast_rows)
     rows = made.large.select("token", "node", "n", "pos")
     pairs = made.small_pairs().unionByName(made.doubly_met(made.with_second(rows), "node", ["token", "second"]))
-    pairs = written(pairs.distinct(), "pairs", 4 * made.buckets.count())
+    pairs = written(pairs.distinct(), "pairs", 32 * made.buckets.count())
     links = made.verifier.links(pairs)
     for table in (made.buckets, pairs, made.profiles):
         dropped(table)

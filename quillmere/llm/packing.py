@@ -147,5 +147,6 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, rows_per_block: int = 5
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2, **options) -> DataFrame:
-    """Pieces of all documents with their sequence and offset in it."""
+    """Pieces of all documents with their sequence and offset in it. A null or empty text is one piece of the end id alone; null
+    and repeated ids stay, their pieces each; an empty table gives none; other columns play no part."""
     return pack_pieces(written(token_pieces(docs, vocabulary, capacity, end_id, **options), "pieces"), capacity)

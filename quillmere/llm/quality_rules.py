@@ -12,17 +12,19 @@ The union of those spans is what repeats.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, filled, map_text, only, row_ids
+from .common import ascii_words, filled, filter_text, map_text, only, row_ids
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "n_covered_words long, longest_repeat long, spans array<struct<start:long,end:long>>"
+    "n_covered_words long, longest_repeat long, spans array<struct<start:long,end:long>>, base_failed boolean, kept boolean"
 )
 SYMBOLS = "[#*$%&|<>]"
 
@@ -136,7 +138,19 @@ def _duplicate_lines(texts: list[str]) -> list[int]:
 SLICE = 4 << 20
 
 
-def _measured(min_repeat_words: int, window: int):
+@dataclass(frozen=True)
+class Rules:
+    """The thresholds of ``quality_rules``."""
+
+    min_words: int = 50
+    window: int = 3
+    max_window_percent: int = 50
+    min_repeat_words: int = 10
+    max_covered_percent: int = 30
+    max_repeat_words: int = 100
+
+
+def _measured(rules: Rules):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = filled(batch.column("text"))
         codes, offsets, words = ascii_words(texts)
@@ -144,9 +158,9 @@ def _measured(min_repeat_words: int, window: int):
         count = lambda mask: np.diff(np.concatenate(([0], np.cumsum(mask)))[offsets])
         longest = repeat_lengths(codes, rows)
         total = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[offsets])
-        wide = np.flatnonzero(longest >= window)
-        in_window = covered(wide, np.full(len(wide), window), n)
-        far = np.flatnonzero(longest >= min_repeat_words)
+        wide = np.flatnonzero(longest >= rules.window)
+        in_window = covered(wide, np.full(len(wide), rules.window), n)
+        far = np.flatnonzero(longest >= rules.min_repeat_words)
         in_repeat = covered(far, longest[far], n)
         top = np.zeros(len(offsets) - 1, np.int64)
         if len(far):
@@ -161,47 +175,44 @@ def _measured(min_repeat_words: int, window: int):
         per_text = np.bincount(rows[first], minlength=len(offsets) - 1)
         spans = pa.StructArray.from_arrays([pa.array(first - offsets[rows[first]]), pa.array(last + 1 - offsets[rows[last]])], ["start", "end"])
         chars = np.asarray(pc.utf8_length(words), dtype=np.int64)
+        n_words, n_repeat, n_covered = np.diff(offsets), count(in_window), count(in_repeat)
+        failed = (n_words < rules.min_words) | (100 * n_repeat > rules.max_window_percent * n_words)
+        kept = ~failed & (100 * n_covered <= rules.max_covered_percent * n_words) & (top <= rules.max_repeat_words)
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
-                pa.array(np.diff(offsets)),
+                pa.array(n_words),
                 pa.array(total(chars[codes]) if n else np.zeros(len(offsets) - 1, np.int64)),
                 pc.count_substring_regex(texts, SYMBOLS).cast(pa.int64()),
                 pa.array(_duplicate_lines(texts.to_pylist()), pa.int64()),
-                pa.array(count(in_window)),
-                pa.array(count(in_repeat)),
+                pa.array(n_repeat),
+                pa.array(n_covered),
                 pa.array(top),
                 pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per_text))).astype(np.int32)), spans),
+                pa.array(failed),
+                pa.array(kept),
             ],
-            ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat", "spans"],
+            ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat", "spans", "base_failed", "kept"],
         )
 
     return run
 
 
-def quality_rules(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    min_words: int = 50,
-    window: int = 3,
-    max_window_percent: int = 50,
-    min_repeat_words: int = 10,
-    max_covered_percent: int = 30,
-    max_repeat_words: int = 100,
-) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
     """Counts, repeat spans (in words) and verdicts, one row for each row of ``docs``.
 
     base_failed: fewer than min_words words, or windows of ``window`` words found twice or more hold
     over max_window_percent of the words. kept: not base_failed, repeats of min_repeat_words or more
     hold at most max_covered_percent of the words, and none is longer than max_repeat_words.
     A null or empty text has no words, fails the base rule and isn't kept. Null and repeated ids
-    stay as they are, a row each. Other columns of docs don't matter. No shuffle; memory is bounded
+    stay as they are, a row each; an empty table gives none. Other columns of docs don't matter. No shuffle; memory is bounded
     by a slice of SLICE bytes of text, or by one text if that is longer, however much it repeats.
     """
     chosen = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    measured = map_text(chosen, _measured(min_repeat_words, window), SCHEMA, slice_bytes=SLICE)
-    n = F.col("n_words")
-    failed = (n < min_words) | (100 * F.col("n_repeat_words") > max_window_percent * n)
-    verdict = (100 * F.col("n_covered_words") <= max_covered_percent * n) & (F.col("longest_repeat") <= max_repeat_words)
-    return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict)
+    return map_text(chosen, _measured(rules), SCHEMA, slice_bytes=SLICE)
+
+
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
+    """The rows of docs, with all their columns, whose verdict by ``quality_rules`` is kept. No shuffle."""
+    measured = _measured(rules)
+    return filter_text(docs, lambda batch: measured(batch).column("kept"), text_col, id_col, SLICE)

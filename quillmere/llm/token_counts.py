@@ -22,7 +22,9 @@ START = "▁"
 #: Added to the least score for a character that no piece holds.
 UNKNOWN = -10.0
 #: Distinct pre-tokens whose counts a Python worker keeps between slices.
-CACHE = 700_000
+CACHE = 300_000
+#: Letters of the longest pre-token whose count is kept, so that what is kept is bounded in bytes too.
+LONGEST = 64
 _MODELS: dict[str, tuple[dict[str, float], int, float]] = {}
 _COUNTS: dict[str, dict[str, int]] = {}
 
@@ -86,8 +88,9 @@ def _counted(vocabulary: str):
         codes, offsets, words = ascii_words(batch.column("text"))
         names = words.to_pylist()
         new = sorted({w for w in names if w not in cache})
-        cache.update(zip(new, trie_counts(new, model), strict=True))
-        counts = np.fromiter((cache[w] for w in names), np.int64, len(names))
+        made = dict(zip(new, trie_counts(new, model), strict=True))
+        counts = np.fromiter((made[w] if w in made else cache[w] for w in names), np.int64, len(names))
+        cache.update((w, n) for w, n in made.items() if len(w) <= LONGEST)
         sums = np.concatenate(([0], np.cumsum(counts[codes])))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(sums[offsets[1:]] - sums[offsets[:-1]])], ["doc_id", "n_words", "n_tokens"])
 
@@ -96,7 +99,7 @@ def _counted(vocabulary: str):
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_tokens), a row for each row of docs. A pre-token is START and a word
-    ``[^\\x20\\x09-\\x0D]+``. Null, empty and blank texts have 0 of both. No shuffle; a worker holds the
-    counts of at most CACHE words and a slice's."""
+    ``[^\\x20\\x09-\\x0D]+``. Null, empty and blank texts have 0 of both; an empty table gives none; repeated rows and
+    null ids stay, a row each; other columns play no part. No shuffle; a worker holds the counts of at most CACHE words and a slice's."""
     docs = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     return map_text(docs, _counted(vocabulary or default_vocabulary()), "doc_id long, n_words long, n_tokens long")

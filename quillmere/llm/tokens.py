@@ -19,7 +19,9 @@ import pyarrow.compute as pc
 from .common import ascii_words, gathered
 
 #: Distinct pre-tokens kept in a Python worker between slices; beyond that it starts anew.
-CACHE = 700_000
+CACHE = 300_000
+#: Letters of the longest pre-token that is kept, so that what is kept is bounded in bytes too.
+LONGEST = 64
 #: The vocabulary file's own rule for splitting, within printable ASCII and Latin-1 letters.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]+|[0-9]|[^a-z\x{df}-\x{f6}\x{f8}-\x{ff}0-9\s]+"
 PLAIN = r"^[\x21-\x7E\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]*$"
@@ -75,8 +77,11 @@ def _pretoken_ids(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
         found = [model.tokenize(w if w.isascii() else "".join([alphabet[b] for b in w.encode()])) for w in missing]
         ids, at = _ragged([[x.id for x in y] for y in found])
         raw, ends = ids.tobytes(), (4 * at).tolist()
-        cache.update(zip(missing, (raw[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
-    parts = [cache[w] for w in words]
+        made = dict(zip(missing, (raw[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
+        cache.update((w, x) for w, x in made.items() if len(w) <= LONGEST)
+        parts = [made[w] if w in made else cache[w] for w in words]
+    else:
+        parts = [cache[w] for w in words]
     lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
     return np.frombuffer(b"".join(parts), np.int32), np.concatenate(([0], np.cumsum(lengths)))
 

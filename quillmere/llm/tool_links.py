@@ -101,22 +101,22 @@ def _jumped(edges: DataFrame) -> DataFrame:
     logarithm of the longest chain."""
     keys = ["conv_id", "call_id"]
     single = edges.groupBy(*keys, "turn").agg(F.count("*").alias("n"), F.min("needs_id").alias("top")).where("n = 1")
-    now = written(single.select(*keys, "top", F.lit(1).cast("long").alias("steps"), F.col("turn").alias("after_turn")), "jumps")
-    open_before = None
+    now = written(single.select(*keys, "top", F.lit(1).cast("long").alias("steps"), F.col("turn").alias("after_turn")), "jumps", edges.count())
+    rows, open_before = now.count(), None
     while True:
         ahead = now.select("conv_id", F.col("call_id").alias("top"), F.col("top").alias("top2"), F.col("steps").alias("steps2"), F.col("after_turn").alias("turn2"))
         left = now.join(ahead.select("conv_id", "top"), ["conv_id", "top"], "left_semi").count()
         if not left:
             return now
         if left == open_before:  # nothing ended in a whole round: the rest goes round in rings
-            ends = written(now.join(ahead.select("conv_id", "top"), ["conv_id", "top"], "left_anti"), "jumps")
+            ends = written(now.join(ahead.select("conv_id", "top"), ["conv_id", "top"], "left_anti"), "jumps", rows)
             dropped(now)
             return ends
         open_before = left
         after = now.join(ahead, ["conv_id", "top"], "left").select(
             *keys, F.coalesce("top2", "top").alias("top"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), F.greatest("after_turn", "turn2").alias("after_turn")
         )
-        after = written(after, "jumps")
+        after = written(after, "jumps", rows)
         dropped(now)
         now = after
 
@@ -133,13 +133,15 @@ def call_levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     """
     keys = ["conv_id", "call_id"]
     turn = F.col("turn").cast("long").alias("turn") if "turn" in calls.columns else F.lit(None).cast("long").alias("turn")
-    known = written(calls.select(*keys, turn).where("call_id is not null and conv_id is not null").groupBy(*keys).agg(F.min("turn").alias("turn")), "calls")
+    known = calls.select(*keys, turn).where("call_id is not null and conv_id is not null").groupBy(*keys).agg(F.min("turn").alias("turn"))
+    known = written(known, "calls", calls.count())
+    size = known.count()
     edges = needs.select(*keys, "needs_id").join(known.select("conv_id", F.col("call_id").alias("needs_id")), ["conv_id", "needs_id"], "left_semi")
-    edges = written(edges.distinct().join(known, keys), "needs")
-    settled = written(known.join(edges, keys, "left_anti").select(*keys, F.lit(0).cast("long").alias("level"), F.col("turn").alias("after_turn")), "levels")
+    edges = written(edges.distinct().join(known, keys), "needs", 2 * size)
+    settled = written(known.join(edges, keys, "left_anti").select(*keys, F.lit(0).cast("long").alias("level"), F.col("turn").alias("after_turn")), "levels", size)
     jumps = _jumped(edges)
     several = edges.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    merges = written(edges.join(several, keys, "left_semi"), "merges")
+    merges = written(edges.join(several, keys, "left_semi"), "merges", 2 * size)
     top = lambda df: df.select("conv_id", F.col("call_id").alias("top"), F.col("level").alias("base"), F.col("after_turn").alias("base_turn"))
 
     def with_chains(roots: DataFrame) -> DataFrame:
@@ -148,7 +150,7 @@ def call_levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
         return roots.unionByName(on.select(*keys, (F.col("base") + F.col("steps")).alias("level"), F.greatest("after_turn", "base_turn").alias("after_turn")))
 
     def replaced(new: DataFrame, *old: DataFrame) -> DataFrame:
-        made = written(new, "levels")
+        made = written(new, "levels", 2 * size)
         for x in old:
             dropped(x)
         return made
@@ -157,7 +159,7 @@ def call_levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     while not merges.isEmpty():
         got = merges.join(settled.select("conv_id", F.col("call_id").alias("needs_id"), "level", "after_turn"), ["conv_id", "needs_id"], "left")
         ready = got.groupBy(*keys).agg(F.max("level").alias("level"), F.max(F.greatest("after_turn", "turn")).alias("after_turn"), F.count("*").alias("n"), F.count("level").alias("met")).where("n = met")
-        ready = written(ready.select(*keys, (F.col("level") + 1).alias("level"), "after_turn"), "ready")
+        ready = written(ready.select(*keys, (F.col("level") + 1).alias("level"), "after_turn"), "ready", size)
         if ready.isEmpty():  # what is left depends on a cycle
             dropped(ready)
             break

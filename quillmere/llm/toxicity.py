@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, delete_path, gathered, letters_and_digits, map_text, mixed, new_path, only, row_ids, word_hashes, written
+from .common import ascii_words, delete_path, filter_text, gathered, letters_and_digits, map_text, mixed, new_path, only, row_ids, word_hashes, written
 
 STEMS = (3, 4, 5, 6)
 #: Bytes of text whose features are made at once: there are some 8 a word, of 16 bytes while they are sorted.
@@ -110,7 +110,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows_per_label: int =
         some = rows.where(F.col("label") == label).orderBy("key", "doc_id").limit(max_rows_per_label)
         chosen = some if chosen is None else chosen.union(some)
     texts = only(docs, doc_id=id_col, text=text_col).where("text is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return written(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "key").agg(F.min("text").alias("text")), "training")
+    return written(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "key").agg(F.min("text").alias("text")), "training", 2 * max_rows_per_label)
 
 
 def train(rows: DataFrame, epochs: int = 4, bits: int = 22, **options) -> tuple[np.ndarray, np.ndarray, float]:
@@ -148,17 +148,32 @@ def train(rows: DataFrame, epochs: int = 4, bits: int = 22, **options) -> tuple[
     return model.sparse()
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", bits: int = 22) -> DataFrame:
-    """(doc_id, score), a row for each row of docs; null and empty texts score as the bias says."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def _scores(sent, bits: int):
+    """Scores of a slice's texts by the broadcast model."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(texts: pa.Array) -> np.ndarray:
         at, weights, bias = sent.value
         table = np.zeros(1 << bits, np.float32)
         table[at] = weights
-        x, offsets = features(batch.column("text"), bits, table != 0)
+        x, offsets = features(texts, bits, table != 0)
         sums = np.concatenate(([0.0], np.cumsum(table[x], dtype=np.float64)))
-        total = np.clip(bias + sums[offsets[1:]] - sums[offsets[:-1]], -35, 35)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-total)))], ["doc_id", "score"])
+        return 1 / (1 + np.exp(-np.clip(bias + sums[offsets[1:]] - sums[offsets[:-1]], -35, 35)))
+
+    return run
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", bits: int = 22) -> DataFrame:
+    """(doc_id, score), a row for each row of docs; null and empty texts score as the bias says. Null and repeated ids
+    stay, a row each; an empty table gives none; other columns play no part. No shuffle."""
+    scores = _scores(docs.sparkSession.sparkContext.broadcast(model), bits)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(batch.column("text")))], ["doc_id", "score"])
 
     return map_text(only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")), run, "doc_id long, score double", slice_bytes=SLICE)
+
+
+def clean_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", bits: int = 22) -> DataFrame:
+    """The rows of docs, with all their columns, that score below threshold. No shuffle."""
+    scores = _scores(docs.sparkSession.sparkContext.broadcast(model), bits)
+    return filter_text(docs, lambda batch: scores(batch.column("text")) < threshold, text_col, id_col, SLICE)

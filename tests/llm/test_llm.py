@@ -176,6 +176,76 @@ def test_ftrl_brute_force():
     assert at.tolist() == sorted(want) and np.allclose(weights, [want[i] for i in sorted(want)]) and abs(bias - weight(0)) < 1e-9
 
 
+def brute_count(text, scores, unknown):
+    """Tokens of the best segmentation by trying all: greatest sum of scores, then fewest tokens."""
+    if not text:
+        return 0.0, 0
+    found = []
+    for k in range(1, len(text) + 1):
+        head = text[:k]
+        if head in scores:
+            rest = brute_count(text[k:], scores, unknown)
+            found.append((scores[head] + rest[0], -1 - rest[1]))
+        elif k == 1:
+            rest = brute_count(text[1:], scores, unknown)
+            found.append((unknown + rest[0], -len(head.encode()) - rest[1]))
+    best = max(found)
+    return best[0], -best[1]
+
+
+def test_token_counts_brute_force(spark):
+    """Shared prefixes, unknown and multi-byte characters, ties; scores are multiples of 1/4, so that sums are exact."""
+    rng = random.Random(13)
+    for _ in range(30):
+        pieces = {"".join(rng.choice("abé") for _ in range(rng.randint(1, 4))): -rng.randint(1, 12) / 4 for _ in range(9)} | {token_counts.START: -1.0, token_counts.START + "a": -1.5}
+        model = (pieces, max(map(len, pieces)), -20.0)
+        some = sorted({"".join(rng.choice("abé日x") for _ in range(rng.randint(0, 7))) for _ in range(25)})
+        assert token_counts.trie_counts(some, model) == [brute_count(token_counts.START + w, pieces, -20.0)[1] for w in some]
+    docs = spark.createDataFrame([(1, "help help\nhelping"), (1, "help"), (None, None), (2, "日本"), (3, "y" * 5000)], "doc_id long, text string")
+    model = token_counts.unigram_scores(token_counts.default_vocabulary())
+    got = token_counts.token_counts(docs.selectExpr("doc_id", "text", "1 as n_tokens", "'x' as n_words")).collect()
+    want = [sum(token_counts.trie_counts([w], model)[0] for w in words(t)) for t in ("help help\nhelping", "help", None, "日本", "y" * 5000)]
+    assert [r["n_tokens"] for r in got] == want and [r["n_words"] for r in got] == [3, 1, 0, 1, 1]
+    assert token_counts.token_counts(docs.limit(0)).count() == 0
+
+
+def test_main_text_of_planted_articles(spark):
+    """Articles in pages of several makes come out whole and alone; the cut decides where a block's own costs are wrong."""
+    rng = random.Random(15)
+    say = lambda n: " ".join(rng.choice("alpha beta gamma delta rest of the long day".split()) for _ in range(n)).capitalize() + "."
+    flips = 0
+    for k in range(40):
+        parts = [say(6)] + [say(rng.choice([2, 12, 40])) for _ in range(rng.randrange(3, 9))]
+        body = f"<h1>{parts[0]}</h1>" + "".join(f"<p>{x}</p>" for x in parts[1:])
+        links = "<ul>" + "".join(f"<li><a href='/{i}'>{say(2)}</a></li>" for i in range(8)) + "</ul>"
+        around = [f"<nav>{links}</nav>", f"<header><div>{say(4)}</div></header>", f"<div class='sidebar'>{links}<p>{say(9)}</p></div>", f"<div id='cookie-notice'><p>{say(25)}</p></div>"]
+        after = [f"<section class='comments'><p>{say(30)}</p><p>{say(22)}</p></section>", f"<form><label>{say(2)}</label></form>", f"<footer>{say(7)}</footer>"]
+        if k % 4 == 1:  # no article element: divs only
+            parts = [say(20)] + [say(rng.choice([3, 30])) for _ in range(6)] + [say(25)]
+            body = "<div>" + "".join(f"<div>{x}</div>" for x in parts) + "</div>"
+        elif k % 4 == 2:  # a promising word against a real paragraph, in the midst of the article
+            body = f"<article><h1>{parts[0]}</h1>" + "".join(f"<p>{x}</p>" for x in parts[1:]) + "</article>"
+        else:
+            body = f"<main><article>{body}<div class='ad'>{say(5)}</div></article></main>"
+        page = "<html><head><title>t</title><script>x = '<p>no</p>'</script></head><body>" + "".join(around) + body + "".join(after) + "</body></html>"
+        blocks = html_mincut.page_blocks(page)
+        costs = [html_mincut.block_cost(b) for b in blocks]
+        flips += sum((c > 0) != x for c, x in zip(costs, html_mincut.minimum_cut(costs, html_mincut.block_edges(blocks)), strict=True))
+        assert html_mincut.main_text(page) == "\n\n".join(parts), (k, page)
+    assert flips > 10
+
+
+def test_main_text_of_long_and_broken_pages(spark):
+    import time
+
+    began = time.time()
+    for page in ("<div>" * 200_000 + "<p>x</p>", '<p title="x>hello ' * 60_000, "<a" * 500_000, "<ul><li>x" * 100_000, "<!" * 300_000 + ">", "<script>" + "</scrip" * 100_000):
+        html_mincut.main_text(page)
+    assert time.time() - began < 20
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_mincut.extract_main_text(pages).count() == 0
+
+
 def test_toxicity_learns_and_stands_odd_rows(spark, odd, none):
     docs = spark.createDataFrame([(i, f"nice {'idiot' if i % 2 else 'day'} w{i}") for i in range(200)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
