@@ -12,22 +12,17 @@ from quillmere.llm import decontaminate, jaccard_join, packing, quality_rules, t
 from quillmere.llm.common import dropped, written
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs less the ids in rejected; rows without an id stay."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from all labels, as no label is held out here, and drops documents that score 0.5 or more."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rows = toxicity.training_rows(docs, labels)
+    rows = toxicity.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     model = toxicity.train(rows)
     dropped(rows)
-    return _without(docs, toxicity.score(docs, model).where("score >= 0.5"))
+    return toxicity.clean_documents(docs, model)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, quality_rules.quality_rules(docs).where("not kept"))
+    """Drops documents that fail the base or the repetition rules; null and empty texts fail."""
+    return quality_rules.kept_documents(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +31,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate.benchmark_hits(docs, benchmark).where("n_hit > 0"))
+    """Drops documents with a ten-word window of a benchmark item."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lays out what is left in sequences of 4,096 tokens; a row a piece."""
     return packing.pack_documents(docs, tokens.vocabulary_path())
 
 
@@ -51,12 +47,14 @@ STAGES = [
     ("decontamination", drop_contaminated),
     ("packing", pack),
 ]
-#: SQL can't express the learned weights of the first stage; tests hold the operators, not yet the stages as a whole, against brute force.
+#: SQL can't express the learned weights of the first stage; tests hold each stage and the whole against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's table is written and reread as the next one's documents, and dropped once that one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        dropped(before)
     return docs
