@@ -40,7 +40,11 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.blocks(_sheets(spark, sf_dir)).select("doc_id", "block", "kind", "level", F.array_join("lines", "\n").alias("text"))
 
 
-@query("SELECT -1 - p_partkey AS doc_id, unnest(['size (cm): ' || p_size || '; price [usd]: ' || p_partkey, 'size (cm): x; price [usd]: y']) AS line FROM part")
+@query(
+    f"""WITH {_BLOCKS}, c AS (SELECT doc_id, x, list_transform(x, lambda r: list_transform(string_split(regexp_replace(trim(r, ' '), '^\\||\\|$', '', 'g'), '|'), lambda v: trim(v, ' '))) AS cells FROM blocks WHERE kind = 'table'),
+h AS (SELECT doc_id, cells[1] AS head, list_filter(cells[CASE WHEN regexp_matches(x[2], '^\\s*[:|\\- ]+\\s*$') THEN 3 ELSE 2 END:], lambda r: len(r) = len(cells[1])) AS body FROM c)
+SELECT doc_id, unnest(list_transform(body, lambda r: array_to_string(list_transform(range(1, len(r) + 1), lambda i: head[i] || ': ' || r[i]), '; '))) AS line FROM h WHERE len(head) >= 2 AND len(body) >= 1"""
+)
 def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chunking.blocks(_sheets(spark, sf_dir)).where("kind = 'table'")
     return found.select("doc_id", F.explode(chunking.table_rows(F.col("lines"))).alias("line"))
