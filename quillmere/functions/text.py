@@ -94,3 +94,52 @@ def uuid5(namespace: Column, name: Column) -> Column:
 def pages_of(text: Column) -> Column:
     """All digit runs of a string as integers."""
     return F.transform(F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("int"))
+
+
+def json_or_raw(value: Column) -> Column:
+    """A JSON value without white space; what doesn't parse as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(value)), value)
+
+
+def section_parts(value: Column) -> Column:
+    """Parts of a section path: those of a JSON list, else of text split at >, trimmed; empty ones left out."""
+    listed = F.when(F.trim(value).startswith("["), F.from_json(value, "array<string>"))
+    split = F.transform(F.split(value, ">"), lambda x: F.trim(x))
+    return F.coalesce(F.filter(F.coalesce(listed, split), lambda x: x != ""), F.array().cast("array<string>"))
+
+
+def gold_question(snippet: Column, section: Column, name: Column) -> Column:
+    """The question that asks for a snippet, of at most 120 characters, in a section of a document."""
+    quoted, label = F.substring(snippet, 1, 120), F.array_join(section, " > ")
+    inside = F.format_string('Which passage in "%s" discusses "%s" in %s?', label, quoted, name)
+    return F.when(label != "", inside).otherwise(F.format_string('Where in %s is the phrase "%s" explained?', name, quoted))
+
+
+def reranker_window(value: Column, chars: int = 900) -> Column:
+    """What a reranker reads of a text."""
+    return F.substring(value, 1, chars)
+
+
+def embed_window(value: Column, chars: int = 500) -> Column:
+    """What an embedding server reads of a text."""
+    return F.substring(value, 1, chars)
+
+
+def subjects(user: dict | None = None, roles: tuple[str, ...] = (), tenant: str | None = None) -> list[str]:
+    """Lower-cased subjects of a request, each once: user, email, its roles, further roles, tenant; user:anonymous without any; always * at the end."""
+    user = user or {}
+    given = [("user", user.get("id")), ("email", user.get("email")), *(("role", r) for r in (*(user.get("roles") or ()), *roles)), ("tenant", tenant)]
+    found = list(dict.fromkeys(f"{kind}:{value}".strip().lower() for kind, value in given if value))
+    return [*(found or ["user:anonymous"]), "*"]
+
+
+def scope_boosts(scope: dict | None) -> dict[str, float]:
+    """Boosts by document id: those of "boost", then of "demote", each at least 0; what is no number is left out."""
+    out = {}
+    for part in ("boost", "demote"):
+        for doc, value in ((scope or {}).get(part) or {}).items():
+            try:
+                out[str(doc)] = max(0.0, float(value))
+            except (TypeError, ValueError):
+                continue
+    return out

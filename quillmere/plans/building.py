@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import corpus, graph, graph_build, ingest, layout
 from ..sources import store
 from .search import query, table
@@ -203,3 +204,46 @@ SELECT metric, round(value, 6) AS value, threshold FROM (SELECT 'quality' AS met
 def threshold_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = table(spark, sf_dir, "labels").agg(F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"), F.lit(None).cast("double").alias("latency"))
     return ingest.breaches(means, {"quality": 0.99}, {"toxic": 0.01, "latency": 3000.0}).select("metric", F.round("value", 6).alias("value"), "threshold")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'not json ' || event_type ELSE replace(props, ' ', '') END AS value FROM events")
+def json_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("not json "), "event_type")).otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", text.json_or_raw(raw).alias("value"))
+
+
+@query("""SELECT p_partkey, p_name || '|' || p_type AS parts FROM part WHERE p_partkey % 4 <> 2 UNION ALL SELECT p_partkey, '' FROM part WHERE p_partkey % 4 = 2""")
+def section_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 4
+    raw = F.when(k == 0, F.to_json(F.array("p_name", F.lit(""), "p_type"))).when(k == 1, F.concat("p_name", F.lit(" > "), "p_type")).when(k == 3, F.concat(F.lit(">"), "p_name", F.lit(">  > "), "p_type", F.lit(" ")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.section_parts(raw), "|").alias("parts"))
+
+
+@query(
+    """WITH s AS (SELECT doc_id, source, lang, substr(array_to_string(regexp_extract_all(text, '[A-Za-z0-9%°μ/+-]{2,}')[1:12], ' '), 1, 120) AS q FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Which passage in "' || source || ' > ' || lang || '" discusses "' || q || '" in ' || source || '?' ELSE 'Where in ' || source || ' is the phrase "' || q || '" explained?' END AS question FROM s"""
+)
+def gold_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    section = F.when(F.col("doc_id") % 2 == 0, F.array("source", "lang")).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.gold_question(corpus.snippet(F.col("text")), section, F.col("source")).alias("question"))
+
+
+@query("SELECT doc_id, md5(substr(text, 1, 900)) AS rerank_md5, md5(substr(text, 1, 500)) AS embed_md5 FROM documents")
+def model_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda x: F.md5(F.encode(x, "UTF-8"))
+    return table(spark, sf_dir, "documents").select("doc_id", digest(text.reranker_window(F.col("text"))).alias("rerank_md5"), digest(text.embed_window(F.col("text"))).alias("embed_md5"))
+
+
+@query("SELECT p_partkey, substr(sha256(p_name || '|' || p_size || '|cm|' || p_partkey || '|c1'), 1, 16) AS id, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS term FROM part")
+def ids_and_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurement ids, and subword terms cleaned: numbers alone are none."""
+    made = text.measurement_id(F.col("p_name"), F.col("p_size"), F.lit("cm"), F.col("p_partkey"), F.lit("c1"))
+    term = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("##-"), F.upper("p_name"), F.lit("'"))).otherwise(F.lit("##1234"))
+    return table(spark, sf_dir, "part").select("p_partkey", made.alias("id"), text.clean_sparse_term(term).alias("term"))
+
+
+@query("SELECT url AS path, CASE WHEN url LIKE 'https://%' THEN replace('W:/' || substr(url, 9), '/', chr(92)) ELSE url END AS shown FROM pages")
+def path_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.files import translated_path
+
+    return table(spark, sf_dir, "pages").select(F.col("url").alias("path"), translated_path(F.col("url"), "https://", "W:/").alias("shown"))

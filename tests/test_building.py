@@ -143,3 +143,11 @@ def test_units_and_sections(spark):
     rows = spark.createDataFrame([(1, i, "heading", t, n) for i, (n, t) in enumerate(heads)], "doc_id long, block long, kind string, text string, level int")
     got = [" > ".join(r["section_path"]) for r in layout.with_paths(rows, level=F.col("level")).orderBy("block").collect()]
     assert got == ["A", "A > B", "A > B > C", "A > D", "E"]
+
+
+def test_subjects_and_boosts():
+    from quillmere.functions import text
+
+    assert text.subjects() == ["user:anonymous", "*"]
+    assert text.subjects({"id": "Ann", "email": "A@b", "roles": ["X"]}, ("x", "y"), "T") == ["user:ann", "email:a@b", "role:x", "role:y", "tenant:t", "*"]
+    assert text.scope_boosts({"boost": {1: 2, "b": "bad"}, "demote": {1: -3, "c": "0.5"}}) == {"1": 0.0, "c": 0.5} and text.scope_boosts(None) == {}
