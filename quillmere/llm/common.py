@@ -88,8 +88,9 @@ BATCH_BYTES = 4 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Lowers the session's limit of bytes in an Arrow batch to BATCH_BYTES; a lower one stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
-    if now <= 0 or now > BATCH_BYTES:
+    said = spark.conf.get(key, None)
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(said) if said and not said.startswith("-") else 0
+    if not 0 < now <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
