@@ -247,3 +247,10 @@ def path_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.files import translated_path
 
     return table(spark, sf_dir, "pages").select(F.col("url").alias("path"), translated_path(F.col("url"), "https://", "W:/").alias("shown"))
+
+
+@query(None)
+def plain_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' texts in chunks with a character overlap; a test holds the fold."""
+    out = layout.text_chunks(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "chunk", "start", "end", "kind", F.length("text").alias("chars"))

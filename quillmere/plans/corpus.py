@@ -270,7 +270,7 @@ def delete_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def existence_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return ingest.known_rows(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
 @query("SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
