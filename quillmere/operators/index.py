@@ -88,7 +88,7 @@ class LexicalIndex:
         """``search`` for queries (query_id, term) whose terms are OR-ed: no clauses to check."""
         found = self.postings(terms)
         df = found.groupBy("term").agg(F.count("*").alias("df"))
-        rows = terms.join(df, "term").join(found, "term")
+        rows = found.join(terms.join(df, "term"), "term")
         return rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum(self._weight(F.col("df"), F.size("positions"), F.col("len"))), 6).alias("bm25"))
 
 

@@ -74,7 +74,7 @@ def lexical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH terms AS (SELECT 0 AS query_id, unnest(['the', 'thand', 'of', 'thou']) AS term), {_BM25} SELECT query_id, chunk_id, bm25, rank FROM (SELECT query_id, chunk_id, bm25, row_number() OVER (ORDER BY bm25 DESC, chunk_id) AS rank FROM scored) WHERE rank <= 16")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = spark.createDataFrame([(0, t) for t in ("the", "thand", "of", "thou")], "query_id int, term string")
+    terms = spark.range(1).select(F.lit(0).alias("query_id"), F.explode(F.array(*map(F.lit, ("the", "thand", "of", "thou")))).alias("term"))
     return retrieval.top_k(_lexical(spark, sf_dir, terms), 16, "query_id", "bm25", "chunk_id").withColumn("rank", F.col("rank").cast("long"))
 
 
