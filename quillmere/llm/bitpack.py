@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, only, text_batches
-from .tokens import text_ids, vocabulary_size
+from .common import bounded_batches, new_path, only, text_batches
+from .tokens import SLICE, text_ids, vocabulary_size
 
 MAGIC = b"QMTOK1\0\0"
 
@@ -143,6 +143,7 @@ def write_token_files(docs: DataFrame, out: str, vocabulary: str, end_id: int =
     streams it; the manifest has a row a file.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     ordered = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +152,7 @@ def write_token_files(docs: DataFrame, out: str, vocabulary: str, end_id: int =
         pa.set_cpu_count(1)
         part, writer = TaskContext.get().partitionId(), None
         uri = f"{out}/part-{part:06d}.tok"
-        for batch in text_batches(batches):
+        for batch in text_batches(batches, slice_bytes=SLICE):
             if writer is None:
                 writer = Writer(uri, max(1, (vocabulary_size(vocabulary) - 1).bit_length()), block_ids)
             writer.add(batch.column(0), *text_ids(batch.column(1), vocabulary, end_id, added=True))

@@ -82,7 +82,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", slice_
 
 
 #: Bytes of an Arrow batch on its way to a Python worker, held several times over in the JVM's own memory.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import gathered, map_text, only, written
-from .tokens import text_ids
+from .tokens import SLICE, text_ids
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -41,7 +41,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id:
             columns.append(pa.ListArray.from_arrays(pa.array(np.append(low, offsets[-1]).astype(np.int32)), pa.array(ids, pa.int32())))
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids])
 
-    return map_text(only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")), run, PIECES + ", ids array<int>" * with_ids)
+    return map_text(only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")), run, PIECES + ", ids array<int>" * with_ids, slice_bytes=SLICE)
 
 
 def packing_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:

@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from .common import ascii_words, map_text, only
 
 START = "▁"
+#: Bytes of text whose words are counted at once.
+SLICE = 8 << 20
 #: Added to the least score for a character that no piece holds.
 UNKNOWN = -10.0
 #: Distinct pre-tokens whose counts a Python worker keeps between slices.
-CACHE = 300_000
+CACHE = 500_000
 #: Letters of the longest pre-token whose count is kept, so that what is kept is bounded in bytes too.
 LONGEST = 64
 _MODELS: dict[str, tuple[dict[str, float], int, float]] = {}
@@ -102,4 +104,4 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
     ``[^\\x20\\x09-\\x0D]+``. Null, empty and blank texts have 0 of both; an empty table gives none; repeated rows and
     null ids stay, a row each; other columns play no part. No shuffle; a worker holds the counts of at most CACHE words and a slice's."""
     docs = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return map_text(docs, _counted(vocabulary or default_vocabulary()), "doc_id long, n_words long, n_tokens long")
+    return map_text(docs, _counted(vocabulary or default_vocabulary()), "doc_id long, n_words long, n_tokens long", slice_bytes=SLICE)

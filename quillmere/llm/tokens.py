@@ -18,8 +18,10 @@ import pyarrow.compute as pc
 
 from .common import ascii_words, gathered
 
+#: Bytes of text that is tokenised at once: what is done once a distinct word is done less often in larger slices.
+SLICE = 8 << 20
 #: Distinct pre-tokens kept in a Python worker between slices; beyond that it starts anew.
-CACHE = 300_000
+CACHE = 500_000
 #: Letters of the longest pre-token that is kept, so that what is kept is bounded in bytes too.
 LONGEST = 64
 #: The vocabulary file's own rule for splitting, within printable ASCII and Latin-1 letters.
