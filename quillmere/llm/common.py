@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 #: Bytes of text in a slice; one longer text makes a slice of its own.
 SLICE_BYTES = 3 << 20
 
+#: Bytes of an Arrow batch on its way to a Python worker, held several times over in the JVM's own memory.
+BATCH_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of our own
@@ -66,9 +69,22 @@ def delete_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _joined(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, several small batches as one of about size bytes."""
+    held, held_bytes = [], 0
+    for batch in batches:
+        held.append(batch)
+        held_bytes += batch.nbytes
+        if held_bytes >= size:
+            yield held[0] if len(held) == 1 else pa.concat_batches(held)
+            held, held_bytes = [], 0
+    if held:
+        yield held[0] if len(held) == 1 else pa.concat_batches(held)
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", slice_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most slice_bytes of text; nulls in ``column`` stay null."""
-    for batch in batches:
+    for batch in _joined(batches, slice_bytes) if slice_bytes > BATCH_BYTES else batches:
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
@@ -81,10 +97,6 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", slice_
             start = stop
 
 
-#: Bytes of an Arrow batch on its way to a Python worker, held several times over in the JVM's own memory.
-BATCH_BYTES = 8 << 20
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Lowers the session's limit of bytes in an Arrow batch to BATCH_BYTES; a lower one stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
