@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_path, only, text_batches
+from .common import bounded_batches, new_path, only, released, text_batches
 from .tokens import SLICE, text_ids, vocabulary_size
 
 MAGIC = b"QMTOK1\0\0"
@@ -156,6 +156,7 @@ def write_token_files(docs: DataFrame, out: str, vocabulary: str, end_id: int =
             if writer is None:
                 writer = Writer(uri, max(1, (vocabulary_size(vocabulary) - 1).bit_length()), block_ids)
             writer.add(batch.column(0), *text_ids(batch.column(1), vocabulary, end_id, added=True))
+            released()
         if writer is not None:
             n_docs, n_ids = writer.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "uri": uri, "n_docs": n_docs, "n_ids": n_ids}])

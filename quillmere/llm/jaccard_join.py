@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_words, dropped, gathered, list_array, lower_ascii, map_text, mixed, only, row_ids, text_batches, word_hashes, written
+from .common import ascii_words, dropped, gathered, list_array, lower_ascii, map_text, mixed, only, released, row_ids, text_batches, word_hashes, written
 from .components import components
 
 CHUNK = 1 << 12
@@ -149,6 +149,8 @@ def common_levels(docs: DataFrame, size: int, bits: int) -> np.ndarray:
             values, _ = shingles(batch.column(0), size)
             for sketch in (0, 1):
                 total[sketch] += np.bincount(_ranges(values, sketch, bits), minlength=1 << bits)
+            del values
+            released()
         parts = {i: x for i, x in enumerate(total.reshape(-1, chunk)) if x.any()}
         if parts:
             yield packed(parts, TaskContext.get().partitionId() % BRANCHES)

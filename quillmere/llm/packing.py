@@ -34,7 +34,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id:
         start = gathered(np.zeros(len(total), np.int64), count) * capacity
         length = np.minimum(capacity, total[row] - start)
         low = offsets[row] + start
-        raw = memoryview(ids.astype("<u4")).cast("B")
+        raw = memoryview(ids.astype("<i4", copy=False)).cast("B")
         sums = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(low.tolist(), length.tolist(), strict=True)]
         columns = [batch.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(total[row])]
         if with_ids:

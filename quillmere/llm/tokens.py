@@ -62,10 +62,19 @@ def _ragged(lists: list) -> tuple[np.ndarray, np.ndarray]:
     return values, np.concatenate(([0], np.cumsum(lengths)))
 
 
+#: Lists that are put together at once: the places of their ids take several times the ids' own memory.
+STEP = 1 << 16
+
+
 def _composed(values: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lists numbered ``at``, one after the other, and where each begins."""
-    lengths = (offsets[1:] - offsets[:-1])[at]
-    return values[gathered(offsets[at], lengths)], np.concatenate(([0], np.cumsum(lengths)))
+    lengths, starts = np.diff(offsets), np.zeros(len(at) + 1, np.int64)
+    np.cumsum(lengths[at], out=starts[1:])
+    out = np.empty(int(starts[-1]), values.dtype)
+    for low in range(0, len(at), STEP):
+        some = at[low : low + STEP]
+        out[starts[low] : starts[low + len(some)]] = values[gathered(offsets[some], lengths[some])]
+    return out, starts
 
 
 def _pretoken_ids(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +85,7 @@ def _pretoken_ids(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     missing = [w for w in words if w not in cache]
     if missing:
         model = tokenizer.model
-        found = [model.tokenize(w if w.isascii() else "".join([alphabet[b] for b in w.encode()])) for w in missing]
+        found = (model.tokenize(w if w.isascii() else "".join([alphabet[b] for b in w.encode()])) for w in missing)
         ids, at = _ragged([[x.id for x in y] for y in found])
         raw, ends = ids.tobytes(), (4 * at).tolist()
         made = dict(zip(missing, (raw[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))

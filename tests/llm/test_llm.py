@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from quillmere.llm import bitpack, compaction, components, decontaminate, html_mincut, jaccard_join, packing, quality_rules, token_counts, tokens, tool_links, toxicity
+from quillmere.llm import bitpack, common, compaction, components, decontaminate, html_mincut, jaccard_join, packing, quality_rules, token_counts, tokens, tool_links, toxicity
 
 DOCS = "doc_id long, text string, `node` string, `set` int, n_words int"
 ODD = [(1, None), (2, ""), (3, " \n "), (4, "one"), (4, "one"), (None, "one two three four"), (7, "a b c " * 40), (8, "word " * 3000)]
@@ -360,6 +360,50 @@ def test_text_ids_equal_the_library():
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library_ids(t) for t in texts]
 
 
+def test_ids_are_put_together_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    at = rng.integers(0, 1000, 1 << 20)
+    offsets = np.concatenate(([0], np.cumsum(rng.integers(0, 6, 1000))))
+    values = rng.integers(0, 49_000, int(offsets[-1])).astype(np.int32)
+    tracemalloc.start()
+    ids, starts = tokens._composed(values, offsets, at)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (np.diff(starts) == np.diff(offsets)[at]).all() and ids.dtype == np.int32
+    assert (ids == np.concatenate([values[offsets[i] : offsets[i + 1]] for i in at.tolist()])).all()
+    assert peak < 2 * (ids.nbytes + starts.nbytes)
+    ids, starts = tokens._composed(values, offsets, at[:0])
+    assert len(ids) == 0 and starts.tolist() == [0]
+
+
+@pytest.mark.parametrize("mapped", [True, False])
+def test_workers_give_memory_back_between_slices(spark, mapped):
+    pins = []
+
+    def memory(batch):
+        with open("/proc/self/smaps_rollup") as file:
+            now = int(re.search(r"\nPss_Anon:\s+(\d+)", file.read())[1])
+        some = [np.ones(12_000) for _ in range(1000)]  # 96 MB, free later but for a few parts among them
+        pins.append(some[99::100])
+        return now
+
+    docs = spark.range(4, numPartitions=1).selectExpr("id as doc_id", "repeat('a', 1 << 20) as text", "cast(0 as long) as kb")
+    if mapped:
+        got = common.map_text(docs, lambda b: pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([memory(b)] * b.num_rows)], ["doc_id", "kb"]), "doc_id long, kb long", slice_bytes=1 << 20)
+        kb = [r["kb"] for r in got.orderBy("doc_id").collect()]
+    else:
+        first = []
+
+        def keep(batch):
+            first.append(memory(batch))
+            return np.full(batch.num_rows, first[-1] < first[0] + 50_000)
+
+        kb = [0] * common.filter_text(docs, keep, slice_bytes=1 << 20).count()
+    assert len(kb) == 4 and max(kb) < kb[0] + 50_000
+
+
 def test_token_files_round_trip(spark, odd, none):
     got = sorted(bitpack.token_files(odd, tokens.vocabulary_path(), block_ids=100).collect(), key=lambda r: r["start"])
     order = sorted(ODD, key=lambda x: (x[0] is not None, x[0] or 0))
