@@ -79,7 +79,8 @@ def graph_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def keyphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks; a stand-in for a ranker, held against brute force in tests."""
-    return graph_build.keyphrases(table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("chunk_start"), "text"))
+    chunks = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("chunk_start"), "text")
+    return graph_build.keyphrases(chunks, bounds=graph_build.phrase_bounds(chunks))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Layouts, chunk folds, keyphrases, pruning and the ingest chain against brute force."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -72,6 +73,23 @@ def test_keyphrases_brute_force(spark):
         assert [got[i][k] for k in sorted(got[i])] == want
 
 
+def test_keyphrase_bounds_change_nothing_but_rows(spark, monkeypatch):
+    from quillmere.operators import phrases
+
+    monkeypatch.setattr(phrases, "CHARS", 20_000)
+    rng = random.Random(11)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{i % 7}" for i in range(400)]
+    texts = [" ".join(words[min(399, int(rng.expovariate(0.02)))] for _ in range(rng.choice([20, 40, 200]))) for _ in range(120)] + ["été-x ²³ " * 40, "İstanbul ΣΟΦΟΣ " * 30]
+    chunks = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, chunk_start int, text string").repartition(3)
+    bounds = graph_build.phrase_bounds(chunks)
+    cut = graph_build.keyphrases(chunks, bounds=bounds)
+    whole = sorted(tuple(r) for r in graph_build.keyphrases(chunks).collect())
+    assert sorted(tuple(r) for r in cut.collect()) == whole and len(whole) > 300
+    rows = lambda b: sum(x.num_rows for x in phrases.counted(iter(chunks.coalesce(1).toArrow().to_batches()), b, 0.5))
+    assert rows(bounds) < rows(None) / 2  # what is dealt out by phrase
+    assert cut._jdf.queryExecution().executedPlan().toString().count("Generate") == 0  # no row a word before it is counted in its chunk
+
+
 def test_prune(spark):
     nodes = [("doc::1", "/a", "doc"), ("entity::good", "good pump", "entity"), ("entity::page-1", "page 1", "entity"), ("entity::kept", "12345", "entity"), ("alone", "x", "section"), ("c1", "e1", "para")]
     edges = [("c1", "entity::good", "mentions", 1), ("c1", "entity::good", "mentions", 1), ("c1", "entity::page-1", "mentions", 1), ("c1", "entity::kept", "row_has_parameter", 1), ("entity::good", "entity::kept", "co_occurs", 1)]
