@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import chunking, corpus, graph, ingest, lookup, retrieval
-from .search import _BM25, _ITEM_TERMS, query, table
-from .search import _lexical as lexical
+from ..operators import chunking, corpus, graph, ingest, lookup
+from .search import _BM25, _ITEM_TERMS, _of_items, query, table
 
 _CHUNKS = """c AS (SELECT doc_id, i AS chunk_start, least(i + 900, n) AS chunk_end, substr(text, (i + 1)::BIGINT, 900) AS text FROM (
   SELECT doc_id, text, length(text) AS n, unnest(range(0, length(text), 750)) AS i FROM documents WHERE length(text) > 0)
@@ -314,7 +313,7 @@ SELECT item_id, doc_id, round(CASE WHEN len(q) > 0 THEN len(list_filter(q, lambd
 def hit_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 8 lexical hits of every benchmark item among all documents: the share of its tokens in each."""
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    best = retrieval.top_k(lexical(spark, sf_dir, retrieval.query_terms(items, "item_id", "text")), 8, "query_id", "bm25", "chunk_id")
+    best = _of_items(spark, sf_dir, 8)
     hits = best.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"))
     rows = hits.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", text.quality_tokens(F.col("text")).alias("q")), "item_id")
     return rows.select("item_id", "doc_id", F.round(text.coverage(F.col("q"), F.col("text")), 4).alias("coverage"))

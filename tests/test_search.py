@@ -4,6 +4,7 @@ import math
 import random
 import sqlite3
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,52 @@ def test_index_equals_fts5(spark, tmp_path):
     assert none.search(index.query_units(asked)).count() == 0 and none.n_docs == 0
 
 
+def test_best_of_many_queries(spark, tmp_path, monkeypatch):
+    """The best k of each query equal the first k of all matches, and no task gives more than k rows a query of its own units."""
+    from quillmere.operators import matching
+
+    monkeypatch.setattr(matching, "CHUNKS", 16)
+    monkeypatch.setattr(matching, "QUERIES", 3)
+    monkeypatch.setattr(matching, "TOKENS", 300)
+    monkeypatch.setattr(matching, "HELD", 10)
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(12)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([1, 5, 5, 30])))) for i in range(150)]
+    docs += [(1000 + i, docs[i][1]) for i in range(40)]  # copies: ties by the id
+    asks = [(q, c, rng.sample(words, n)) for q in range(8) for c, n in enumerate(rng.choice([(1, 2), (2, 3), (1, 1, 1)]))]
+    asks += [(q + 50, c, t) for q, c, t in asks if q < 4] + [(99, 0, ["w1"]), (99, 0, ["w2"]), (99, 1, ["w1", "w1"]), (98, 0, ["none"])]
+    made = index.LexicalIndex.build(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), f"file://{tmp_path}/index")
+    units = spark.createDataFrame(asks, "query_id int, clause int, terms array<string>")
+    k = 4
+    every = made.search(units)
+    want = {tuple(r) for r in retrieval.top_k(every, k, "query_id", "bm25", "chunk_id").collect()}
+    got = made.search(units, k)
+    assert {tuple(r) for r in got.collect()} == want and got.schema["query_id"].dataType == units.schema["query_id"].dataType
+    tokens = {i: t.split() for i, t in docs}
+    clauses = {}
+    for q, c, t in asks:
+        clauses.setdefault((q, c), []).append(t)
+    holds = lambda w, t: any(w[i : i + len(t)] == t for i in range(len(w)))
+    assert {(r["query_id"], r["chunk_id"]) for r in every.collect()} == {(q, i) for (q, _), c in clauses.items() for i, w in tokens.items() if all(holds(w, t) for t in c)}
+    given = []
+    monkeypatch.setattr(matching, "_rows", lambda query, *rest: given.append(query) or iter(()))
+    path = f"file://{tmp_path}/units"
+    spark.createDataFrame([(1, 1, [(0, ["w1"])]), (2, 1, [(0, ["w1"])]), (3, 3, [(None, ["w1"]), (None, ["w2"])])], "query_id long, rep long, u array<struct<clause:int,terms:array<string>>>").write.parquet(path)
+    matcher = matching.Matcher(path)
+    list(matching.matches(matcher, iter(made.tokens().toArrow().to_batches()), k, np.ones(matcher.n_phrases), made.avgdl, 1.2, 0.75))
+    assert sorted(x for q in given for x in q.tolist()) == [1] * k + [3] * k
+
+
+def test_dense_routes_build_no_index(spark, monkeypatch):
+    from quillmere.plans import routing, search
+
+    def never(*_, **__):
+        raise AssertionError("an index")
+
+    monkeypatch.setattr(search, "index_of", never)
+    assert routing.route_rerank(spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_fold(spark):
     rows = spark.createDataFrame([("ŐŚžā É é",)], "t string").select(text.fold(F.col("t")).alias("t"))
     assert rows.first()["t"] == "osza e e"
