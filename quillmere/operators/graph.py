@@ -16,6 +16,8 @@ RELATIONS = {
     "discharges_to": r"(?i)([A-Za-z][\w\s/\-\(\)]{2,}?)\s+(?:discharges|drains|flows)\s+(?:to|into)\s+([A-Za-z][\w\s/\-\(\)]{2,})",
     "located_in": r"(?i)([A-Za-z][\w\s/\-\(\)]{2,}?)\s+(?:located|installed|situated)\s+(?:in|at|inside)\s+([A-Za-z][\w\s/\-\(\)]{2,})",
 }
+#: The verbs of RELATIONS between white space: a text without one has no relation, and this is found in one pass.
+VERBS = r"(?i)\s(?:feeds|supplies|pumps|returns|sends|discharges|drains|flows|located|installed|situated)\s"
 JUNK = [
     r"^isbn[:\s-]*\d",
     r"^\d{3,}$",
@@ -45,7 +47,7 @@ def upper_entities(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def relations(chunks: DataFrame, entities: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, src, type, dst) of the verb patterns whose two sides are both known entities (id, label) of the chunk, normalised."""
-    out = None
+    out, chunks = None, chunks.where(F.col(text_col).rlike(VERBS))
     for kind, pattern in RELATIONS.items():
         sides = [F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(i)) for i in (1, 2)]
         some = chunks.select(id_col, F.explode(F.arrays_zip(sides[0].alias("a"), sides[1].alias("b"))).alias("x"), F.lit(kind).alias("type"))

@@ -98,6 +98,17 @@ def test_prune(spark):
     assert sorted((r["dst"], r["type"]) for r in kept.collect()) == [("entity::good", "mentions"), ("entity::kept", "row_has_parameter")]
 
 
+def test_graph_of_a_small_file_is_dealt_out(spark):
+    rows = spark.createDataFrame([(i, 0, f"The PUMP UNIT {i} feeds the tank. Flow rate: {i} m3/h") for i in range(64)], "doc_id long, chunk_start int, text string").coalesce(1)
+    none = F.array().cast("array<string>")
+    chunks = rows.select("*", F.array(F.lit("s")).alias("section_path"), F.array(F.lit("e1")).alias("element_ids"), F.array(F.lit("para")).alias("types"), none.alias("headers"))
+    docs = rows.select("doc_id", F.lit("/p").alias("path"), none.alias("concepts"), F.array(F.lit("kg")).alias("units"))
+    nodes, edges = graph_build.built(chunks, docs)
+    plan = nodes.select("id", "label", "type")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "RepartitionByExpression" in plan
+    assert nodes.where("id = 'entity::kg'").first()["doc_ids"] == list(range(64)) and edges.where("type = 'has_measurement'").count() == 64
+
+
 def test_co_occurrence_bound(spark):
     rows = spark.createDataFrame([(1, f"e{i}") for i in range(5)], "chunk long, entity string")
     assert graph_build.co_occurrences(rows).count() == 10
