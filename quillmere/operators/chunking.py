@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,72 @@ def is_table(rows: Column) -> Column:
     return (F.size(rows) >= 2) & ((count("|") >= least) | (count("\t") >= least))
 
 
+#: Java's $ and dot: a text ends before one last line terminator, which a dot never is.
+_END, _ANY = r"(?=(?:\r\n|[\n\r\u0085\u2028\u2029])?\Z)", r"[^\n\r\u0085\u2028\u2029]"
+_MD, _NUM, _ITEM = (re.compile(x.replace("(.+)$", f"({_ANY}+){_END}"), re.ASCII) for x in (HEADING_MD, HEADING_NUM, LIST_ITEM))
+_RULE, _PIPES = re.compile(rf"\s*[:|\- ]+\s*{_END}", re.ASCII), re.compile(rf"\A\||\|{_END}")
+
+
+def text_blocks(text: str) -> list[dict]:
+    """``blocks`` of one text where it is: dicts of lines, start, end, kind, level, and rows (``table_rows``) of tables."""
+    out, held, start, at = [], [], 0, 0
+    for line in [*text.split("\n"), ""]:
+        if line.strip(" "):
+            if not held:
+                start = at
+            held.append(line)
+        elif held:
+            out.append({"lines": held, "start": start, "end": at - 1, **_kind(held)})
+            held = []
+        at += len(line) + 1
+    return out
+
+
+def _kind(lines: list[str]) -> dict:
+    first = lines[0].strip(" ")
+    if found := _MD.match(first):
+        return {"kind": "heading", "level": len(found[1]), "rows": None}
+    if len(lines) == 1 and (found := _NUM.match(first)):
+        return {"kind": "heading", "level": min(6, found[1].count(".") + 1), "rows": None}
+    if all(_ITEM.match(x.strip(" ")) for x in lines):
+        return {"kind": "list", "level": None, "rows": None}
+    least = max(2, len(lines) // 2)
+    if len(lines) < 2 or max(sum("|" in x for x in lines), sum("\t" in x for x in lines)) < least:
+        return {"kind": "para", "level": None, "rows": None}
+    cells = [[c.strip(" ") for c in _PIPES.sub("", x.strip(" ")).split("|")] for x in lines]
+    body = [c for c in cells[2 if _RULE.match(lines[1]) else 1 :] if len(c) == len(cells[0])]
+    made = ["; ".join(f"{h}: {v}" for h, v in zip(cells[0], c, strict=True)) for c in body]
+    return {"kind": "table", "level": None, "rows": made if len(cells[0]) >= 2 and made else None}
+
+
+def of_texts(docs: DataFrame, fold: Callable[[str], list[dict]], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, chunk and the schema's columns): what fold makes of each text, a text at a time where it is; nulls have none."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows += [{id_col: doc, "chunk": i, **x} for i, x in enumerate(fold(text))]
+                if len(rows) >= 4096:
+                    yield made(rows)
+                    rows = []
+        if rows:
+            yield made(rows)
+
+    kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+
+    def kind(name: str) -> pa.DataType:
+        return pa.list_(kind(name[6:-1])) if name.startswith("array<") else kinds[name]
+
+    arrow = pa.schema([(id_col, pa.int64()), ("chunk", pa.int64()), *((n, kind(x.split()[1])) for n, x in zip(names, schema.split(", "), strict=True))])
+
+    def made(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, f"{id_col} long, chunk long, {schema}")
+
+
 def block_kind(rows: Column) -> Column:
     first = F.trim(F.element_at(rows, 1))
     return (
@@ -224,6 +292,30 @@ def structured_chunks(table: DataFrame, id_col: str = "doc_id", **options) -> Da
     return table.select(id_col, *kept).groupBy(id_col).applyInPandas(run, f"{id_col} long, {CHUNK}, profile string")
 
 
+_STEP = re.compile(r"\d+(?:\.\d+)*\s", re.ASCII)
+
+
+def text_fold(text: str, max_chars: int) -> list[dict]:
+    """``fold_blocks`` of a plain text's blocks, with the section paths, element ids and profile that ``ingest.ingested`` gives them."""
+    rows, path, numbers, steps = [], [], {}, 0
+    for i, x in enumerate(text_blocks(text)):
+        kind, said = x["kind"], "\n".join(x["lines"])
+        if kind == "heading":
+            path = [*path[: max(1, min(6, x["level"])) - 1], said.strip(" ")]
+        numbers[kind] = numbers.get(kind, 0) + 1
+        steps += kind == "list" or _STEP.match(said.strip(" ")) is not None
+        rows.append({"block": i, "kind": kind, "text": said, "section_path": path, "element_id": f"{kind}_1_{numbers[kind]}"})
+    name = "procedure_block" if steps and steps >= max(3, len(rows) // 4) else "heading_based"
+    return [{**x, "profile": name} for x in fold_blocks(rows, max_chars=max_chars, profile_name=name)]
+
+
+def text_folds(docs: DataFrame, max_chars: int = 900) -> DataFrame:
+    """``structured_chunks`` of plain texts (doc_id, text), each folded where it is."""
+    if max_chars <= 0:
+        raise ValueError("max_chars must be positive")
+    return of_texts(docs, lambda t: text_fold(t, max_chars), f"{CHUNK.removeprefix('chunk long, ')}, profile string")
+
+
 def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, block, kind, text) from headings, paragraphs, list items and table rows of HTML, by
     expressions only: raw elements and comments go, each start tag of a block begins one."""

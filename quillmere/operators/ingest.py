@@ -110,12 +110,12 @@ def ingested(docs: DataFrame, index: DataFrame | None = None, max_chars: int = 9
     docs = docs.withColumn("content_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
     if index is not None:
         docs = unseen(docs, index)
-    docs = docs.where(F.coalesce(text.word_count(F.col("text")), F.lit(0)) >= min_words)
+    if min_words > 0:
+        docs = docs.where(F.coalesce(text.word_count(F.col("text")), F.lit(0)) >= min_words)
     found = chunking.blocks(docs)
     blocks = found.select("doc_id", "block", "kind", F.array_join("lines", "\n").alias("text"), "level", "start")
     blocks = layout.with_paths(blocks, level=F.col("level")).withColumn("element_id", layout.element_ids(F.col("kind"), F.lit(1), F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("block"))))
-    profile = chunking.profiles(docs, blocks)
-    chunks = chunk_ids(chunking.structured_chunks(blocks.join(profile, "doc_id"), max_chars=max_chars))
+    chunks = chunk_ids(chunking.text_folds(docs, max_chars))
     concepts = corpus.concepts(docs)
     units = layout.collected_units(chunks)
     meta = docs.select("doc_id", "path", "text").join(concepts, "doc_id", "left").join(units, "doc_id", "left")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,14 +167,7 @@ def fold_text(blocks: list[dict], max_chars: int, overlap: int) -> list[dict]:
 
 
 def text_chunks(docs: DataFrame, max_chars: int = 900, overlap: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, chunk, start, end, text, kind, section_path) of plain texts, by ``fold_text``. One document is one task's row group."""
+    """(id, chunk, start, end, text, kind, section_path) of plain texts, by ``fold_text``, each text where it is."""
     if max_chars <= 0:
         raise ValueError("max_chars must be positive")
-    blocks = chunking.blocks(docs, id_col, text_col).withColumn("rows", F.when(F.col("kind") == "table", chunking.table_rows(F.col("lines"))))
-    columns = [id_col, "chunk", "start", "end", "text", "kind", "section_path"]
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = fold_text(rows.sort_values("block").to_dict("records"), max_chars, overlap)
-        return pd.DataFrame([{id_col: key[0], "chunk": i, **x} for i, x in enumerate(found)], columns=columns)
-
-    return blocks.groupBy(id_col).applyInPandas(run, f"{id_col} long, chunk long, start long, end long, text string, kind string, section_path array<string>")
+    return chunking.of_texts(docs, lambda t: fold_text(chunking.text_blocks(t), max_chars, overlap), "start long, end long, text string, kind string, section_path array<string>", id_col, text_col)

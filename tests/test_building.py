@@ -40,6 +40,29 @@ def test_text_chunks(spark):
     assert got[0][5] == ["Top"] and got[-1][5] == ["Top", "Sub"] and TEXT[got[-1][1] : got[-1][2]].endswith("And more.")
 
 
+def test_texts_fold_where_they_are(spark):
+    """The folds of texts, without an exchange, equal those of the block tables."""
+    rng = random.Random(2)
+    lines = ["", " ", "\t", "# Top", "## Sub \r", "#\u2003x", "1.2 Number", "12 x. Y!", "1 \u0085", "- a", "2) b", "+ c ", "| a | b |", "|---|:-:|", "| 1 | 2 |\r", "a|b|c", "x\ty", "One is. Two? Three", "é \u2028 z", "٣ x", "####### no", "-"]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 30))) for _ in range(300)] + ["", None, "\n", TEXT]
+    docs = spark.createDataFrame([(i, "/x", t) for i, t in enumerate(texts)], "doc_id long, path string, text string").repartition(3)
+    tables = chunking.blocks(docs).withColumn("rows", F.when(F.col("kind") == "table", chunking.table_rows(F.col("lines"))))
+    by = {}
+    for r in tables.orderBy("doc_id", "block").collect():
+        by.setdefault(r["doc_id"], []).append({k: r[k] for k in ("lines", "start", "end", "kind", "level", "rows")})
+    for i, t in enumerate(texts):
+        assert chunking.text_blocks(t or "") == by.get(i, []), repr(t)
+    made = ingest.ingested(docs, max_chars=40)
+    want = chunking.structured_chunks(made["blocks"].join(chunking.profiles(docs, made["blocks"]), "doc_id"), max_chars=40)
+    got = made["chunks"].drop("chunk_id").select(want.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    plain = layout.text_chunks(docs, 40, 10)
+    assert sorted((r["doc_id"], r["chunk"], r["text"]) for r in plain.collect()) == sorted((i, k, x["text"]) for i, b in by.items() for k, x in enumerate(layout.fold_text(b, 40, 10)))
+    for x in (plain, made["chunks"]):
+        plan = x._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapGroups" not in plan and "Window" not in plan and "Join" not in plan
+
+
 def test_ingested_chain(spark):
     long = "The PUMP STATION feeds the tank. Flow rate: 12 m3/h. " + " ".join(f"word{i} filter" for i in range(40))
     docs = spark.createDataFrame([(1, "/a", TEXT), (2, "/b", long), (3, "/c", ""), (4, "/d", None)], "doc_id long, path string, text string")
